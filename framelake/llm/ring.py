@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.llm.rows import joined_back
 from framelake.session import staged
 
 SHARDS = 8
@@ -138,17 +139,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_
 
 
 def with_shards(docs: DataFrame, shards: int = SHARDS, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
-    """docs with columns shard and slot (law "rows"); columns of these names in docs are replaced.
-
-    Rows that agree in doc_id and text change nothing between them, so they are joined back by their number
-    among equals: each takes one of the places that the equals were given.
-    """
-    text, key = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    same = [F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary")), key]
-    names = ["_size", "_crc", "_key"]
-    nth = Window.partitionBy(*names).orderBy(F.lit(1))
-    places = sharded(docs, shards, virtual_nodes).select(
-        F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"), "shard", "slot"
-    ).withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy("shard", "slot")))
-    kept = docs.drop("shard", "slot").withColumns(dict(zip(names, same, strict=True))).withColumn("_nth", F.row_number().over(nth))
-    return kept.join(places, [*names, "_nth"]).drop(*names, "_nth")
+    """docs with columns shard and slot (law "rows"); columns of these names in docs are replaced."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = {"doc_id": F.col("doc_id"), "size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))}
+    return joined_back(docs, sharded(docs, shards, virtual_nodes), keys, {"shard": "shard", "slot": "slot"})
