@@ -89,3 +89,42 @@ def _powers(base: int, n: int) -> np.ndarray:
             step = step * step % (1 << 64)
         _CACHED[base] = have = out
     return have[:n]
+
+
+def _fold_table() -> np.ndarray:
+    """ASCII letters in lower case, digits and bytes of longer characters as they are, all else a blank."""
+    out = np.full(256, 0x20, np.uint8)
+    for c in range(256):
+        if chr(c).isalnum() and c < 128:
+            out[c] = ord(chr(c).lower())
+        elif c >= 128:
+            out[c] = c
+    return out
+
+
+_FOLD = _fold_table()
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes in lower case (ASCII and Latin-1 letters), other ASCII characters as blanks; none is added or lost."""
+    out = _FOLD[data]
+    if len(data) > 1:
+        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][upper] |= 0x20
+    return out
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the words of folded rows."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    inside = data != 0x20
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    begin, end = at[:-1], at[1:]
+    some = end > begin
+    first[begin[some]] = inside[begin[some]]
+    last[end[some] - 1] = inside[end[some] - 1]
+    lo = np.flatnonzero(first)
+    return lo, np.flatnonzero(last) + 1, np.searchsorted(at, lo, side="right") - 1

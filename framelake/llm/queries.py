@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bitsliced, chat, mixing, ring, tokens, warc
+from framelake.llm import bitsliced, chat, mixing, ring, tokens, toxicity, warc
 from framelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to, url
 FROM f
 """
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    scores = toxicity.scored(docs.withColumn("held_out", F.coalesce(toxicity.held_out(), F.lit(False))), model, ["doc_id", "held_out"])
+    return scores.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
