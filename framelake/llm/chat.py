@@ -14,6 +14,7 @@ ignored. The rows of a conversation become one row, as its text is one value.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 HEAD, TURN_END = "### ", "</turn>\n"
 LEARNED = "assistant"
 VOCABULARY = "byte_bpe_50k.json"
+#: Conversations of one output batch.
+AT_ONCE = 256
 _ESCAPES = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|n)")
 #: The end of a turn: an end mark after an even number of backslashes.
@@ -75,6 +78,7 @@ def _tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     out = Tokenizer.from_file(public_tokenizers.path(name))
     out.no_truncation()
     out.no_padding()
@@ -98,14 +102,16 @@ def formatted(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(vocabulary)
         for pdf in batches:
-            made = [render([(x["role"], x["text"]) for x in turns]) for turns in pdf["turns"]]
-            out = []
-            for (text, spans), e in zip(made, t.encode_batch([m[0] for m in made], add_special_tokens=False), strict=True):
-                spans, tokens = _pairs(spans), _pairs(e.offsets)
-                mask = under_mask(spans, tokens)
-                loss = [(max(a, tokens[i, 0]), min(b, tokens[j - 1, 1])) if j > i else (a, a) for (a, b), (i, j) in zip(spans, mask, strict=True)]
-                out.append((text, len(tokens), mask.tolist(), _pairs(loss).tolist()))
-            yield pd.DataFrame(out, columns=["formatted", "n_tokens", "mask", "loss_spans"]).assign(conv_id=pdf["conv_id"].to_numpy())
+            for lo in range(0, len(pdf), AT_ONCE):
+                some = pdf.iloc[lo : lo + AT_ONCE]
+                out = []
+                for turns in some["turns"]:
+                    text, spans = render([(x["role"], x["text"]) for x in turns])
+                    spans, tokens = _pairs(spans), _pairs(t.encode(text, add_special_tokens=False).offsets)
+                    mask = under_mask(spans, tokens)
+                    loss = [(max(a, tokens[i, 0]), min(b, tokens[j - 1, 1])) if j > i else (a, a) for (a, b), (i, j) in zip(spans, mask, strict=True)]
+                    out.append((text, len(tokens), mask.tolist(), _pairs(loss).tolist()))
+                yield pd.DataFrame(out, columns=["formatted", "n_tokens", "mask", "loss_spans"]).assign(conv_id=some["conv_id"].to_numpy())
 
     kind = rows.schema["conv_id"].dataType.simpleString()
     return talks.mapInPandas(encode, f"conv_id {kind}, formatted string, n_tokens long, mask array<array<long>>, loss_spans array<array<long>>").select("conv_id", "formatted", "n_tokens", "mask", "loss_spans")

@@ -11,6 +11,7 @@ Null and empty texts have 0 tokens. A text is handled whole, whatever its length
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -127,6 +128,7 @@ class PrefixCounter:
 def counter(name: str) -> PrefixCounter:
     import public_tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
     return PrefixCounter(public_tokenizers.path(name))
 
 
