@@ -60,10 +60,15 @@ def _revisit(url: str, page_id: int | None, nth: int, size: int, digest: str, re
     return _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id, nth)), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, 1)), ("X-Refers-To-Page", json.dumps(refers_to)), ("X-Page-Id", json.dumps(page_id)), ("X-Payload-Length", str(size)), ("Content-Type", "application/http; msgtype=response")], http)
 
 
-def dictionary(pages: DataFrame) -> bytes:
-    """A dictionary trained on a bounded sample; empty where there is too little to train on."""
-    payload = F.substring(F.col("payload"), 1, DICTIONARY_SAMPLE_BYTES)
-    rows = pages.orderBy("digest", "page_id").limit(DICTIONARY_SAMPLES).select(payload.alias("p")).collect()
+def dictionary(responses: DataFrame) -> bytes:
+    """A dictionary trained on a bounded sample of distinct payloads; empty where there is too little to train on.
+
+    The sample is read through a bound on the digest that lets about twice its rows pass, so no task sends many.
+    """
+    total = responses.count()
+    bound = min(1 << 32, (2 * DICTIONARY_SAMPLES << 32) // max(1, total))
+    near = responses.where(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") < bound)
+    rows = near.orderBy("digest").limit(DICTIONARY_SAMPLES).select(F.substring("payload", 1, DICTIONARY_SAMPLE_BYTES).alias("p")).collect()
     samples = [_response("https://example.org/", 0, 1, bytes(r.p), base32_sha1(bytes(r.p))) for r in rows]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8)), samples).as_bytes()
@@ -82,7 +87,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
     own = F.col("first").isNull() | (F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("nth") == 1))
     ready = numbered.select("page_id", "url", "digest", "nth", F.octet_length("payload").alias("size"), own.alias("own"), F.col("first.page_id").alias("refers_to"), F.when(own, F.col("payload")).alias("payload"))
-    learned = dictionary(read)
+    learned = dictionary(read.dropDuplicates(["digest"]) if min_revisit_bytes else read.select("digest", "payload"))
 
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(learned) if learned else None, write_content_size=True)
