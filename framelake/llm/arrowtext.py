@@ -39,6 +39,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit."""
+    x = np.asarray(x, np.uint64)
+    if not x.ndim:
+        return mixed(x[None])[0]
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
