@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bitsliced, chat, mixing, ring, tokens, toxicity, warc
+from framelake.llm import bitsliced, chat, decontam, mixing, neardup, ring, tokens, toxicity, warc
 from framelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     scores = toxicity.scored(docs.withColumn("held_out", F.coalesce(toxicity.held_out(), F.lit(False))), model, ["doc_id", "held_out"])
     return scores.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
