@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from framelake.llm.arrowtext import Rolling, buffers, mixed, slices
 from framelake.session import staged
 
-LENGTH, GRAM = 400, 16
+LENGTH, GRAM = 400, 100
 WINDOW = LENGTH - GRAM + 1
 HOT = 512
 SHARD_BYTES = 4 << 20
@@ -309,12 +309,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """mark, a, b: byte ranges to remove, not yet united. docs: doc_id, mark, text."""
     anchors = staged(_anchored(docs), "anchors")
     each = anchors.groupBy("f", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("mark", "lo", "starts")).alias("x"))
-    per = each.groupBy("f").agg(F.count("*").alias("d"), F.sum("n").alias("all")).where("all > 1").select("f", "d")
-    known = staged(each.join(per, "f").select("f", "ctx", "n", "d", "x.mark", "x.lo", "x.starts"), "contexts")
+    per = each.groupBy("f").agg(F.count("*").alias("d"), F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").select("f", "d", "least")
+    known = staged(each.join(per, "f").select("f", "ctx", "n", "d", "least", "x.mark", "x.lo", "x.starts"), "contexts")
     again = known.where("n > 1").select("f", "ctx")
     whole = anchors.join(again, ["f", "ctx"]).select("mark", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.col("starts") - 1 + LENGTH).alias("b"))
     parts = F.ceil(F.col("d") / HOT)
-    found = _cut_out(known.where("d > 1"), _packed(docs)).withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("ctx"), F.col("parts")))
+    # where every context of an anchor occurs again, all its strings do
+    found = _cut_out(known.where("d > 1 AND least = 1"), _packed(docs)).withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("ctx"), F.col("parts")))
     found = staged(found, "context-bytes")
     return whole.unionByName(_in_shards(found)).unionByName(_across_shards(found.where("parts > 1")))
 
