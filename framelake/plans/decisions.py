@@ -8,7 +8,8 @@ from framelake.functions.camera import camera_name
 from framelake.functions.confidence import level_of, weakest
 from framelake.functions.dates import date_in_name, month_label
 from framelake.functions.image_type import image_type
-from framelake.operators import duplicates, filters, suggest
+from framelake.functions import templates
+from framelake.operators import classify, duplicates, filters, suggest
 from framelake.plans.registry import query
 from framelake.sources import catalog
 from framelake.sources.catalog import CATALOG_SQL
@@ -162,3 +163,28 @@ def embedding_cosine(spark, sf):
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"), F.col("norm").alias("qn"))
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return a.join(e, "label").where("query_id <> vec_id").withColumn("cosine", dot / (F.col("qn") * F.col("norm"))).where("cosine >= 0.3").select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query(CATALOG_SQL + """, s AS (SELECT user_id, min(folder) AS folder, date_diff('day', min(taken_at), max(taken_at)) AS days, max(country) AS country,
+    CASE WHEN count(gps_lat) > 0 THEN round(max(abs(gps_lat + 22.5)) * 111.0, 6) END AS home_km
+  FROM media LEFT JOIN places USING (location_id) WHERE taken_at IS NOT NULL GROUP BY 1)
+SELECT user_id, CASE WHEN home_km > 100 THEN 'trip' WHEN country IS NOT NULL AND days >= 3 AND home_km IS NULL THEN 'trip' WHEN days <= 2 THEN 'occasion' ELSE 'neutral' END AS kind,
+  CASE WHEN home_km > 100 THEN coalesce(country, 'u_' || user_id) WHEN country IS NOT NULL AND days >= 3 AND home_km IS NULL THEN country WHEN days <= 2 THEN 'u_' || user_id END AS label FROM s""")
+def session_kinds(spark, sf):
+    m = catalog.media(spark, sf).where("taken_at IS NOT NULL").join(F.broadcast(catalog.places(spark, sf)), "location_id", "left")
+    per = m.groupBy("user_id").agg(
+        F.min("folder").alias("folder"),
+        F.date_diff(F.max("taken_at"), F.min("taken_at")).alias("days"),
+        F.max("country").alias("country"),
+        F.round(F.max(F.abs(F.col("gps_lat") + 22.5)) * 111.0, 6).alias("home_km"),
+    )
+    return classify.classified(per, ["ASIA", "EUROPE"]).select("user_id", "kind", "label")
+
+
+@query(CATALOG_SQL + """SELECT id, concat_ws('/', CASE event_type WHEN 'click' THEN 'received' ELSE 'photo' END, concat_ws(' - ', CAST(year(taken_at) AS VARCHAR), 'u_' || user_id), country) AS target
+  FROM media LEFT JOIN places USING (location_id)""")
+def template_targets(spark, sf):
+    m = catalog.media(spark, sf).join(F.broadcast(catalog.places(spark, sf)), "location_id", "left")
+    kind = F.when(F.col("event_type") == "click", "received").otherwise("photo")
+    fields = {"categoria": kind, "ano": F.year("taken_at").cast("string"), "viagem": F.concat(F.lit("u_"), "user_id"), "pais": F.col("country")}
+    return m.select("id", templates.render(templates.DEFAULT, fields).alias("target"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import ingest
 from framelake.plans.registry import query
-from framelake.sources import catalog
+from framelake.sources import catalog, files
 from framelake.sources.catalog import CATALOG_SQL
 
 #: A later scan: without every ninth file, with some grown, and with new ones.
@@ -62,3 +62,25 @@ def metadata_rewrite(spark, sf):
 @query(CATALOG_SQL + "SELECT id, name FROM media WHERE id > 100 ORDER BY id LIMIT 200")
 def reconcile_page(spark, sf):
     return ingest.next_page(catalog.media(spark, sf), 100, 200).select("id", "name")
+
+
+@query("""SELECT page_id, CASE WHEN contains(url, '/fr/') THEN 'derived' ELSE 'own' END AS role, lower(regexp_extract(url, '\\.([^./?#]+)(?:/|$)', 1)) AS host_end FROM pages""")
+def package_roles(spark, sf):
+    """Urls as paths: the parts named fr stand for packages."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    path = F.regexp_replace("url", "/fr/", "/x.photoslibrary/")
+    return pages.select("page_id", files.role_in_package(path).alias("role"), F.lower(F.regexp_extract("url", r"\.([^./?#]+)(?:/|$)", 1)).alias("host_end"))
+
+
+@query("""SELECT event_id, to_timestamp(CAST(json_extract_string(props, '$.k') AS BIGINT)) :: TIMESTAMP :: VARCHAR AS taken FROM events""")
+def json_sidecars(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    side = e.select("event_id", F.concat(F.lit("a/Photos from 2024/"), "event_id").alias("path"), F.concat(F.lit('{"photoTakenTime":{"timestamp":"'), F.get_json_object("props", "$.k"), F.lit('"}}')).alias("json"))
+    return files.takeout(side).select(F.element_at(F.split("path", "/"), -1).cast("long").alias("event_id"), F.date_format("taken_utc", "yyyy-MM-dd HH:mm:ss").alias("taken"))
+
+
+@query("""SELECT p_partkey, lower(p_brand) || '|' || lower(p_type) || ';' || lower(p_brand) || ';' || lower(p_type) AS words FROM part""")
+def keyword_hierarchy(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    text = F.concat(F.lower("p_brand"), F.lit("|"), F.lower("p_type"), F.lit(", "), F.lower("p_type"))
+    return part.select("p_partkey", F.array_join(files.keyword_levels(text), ";").alias("words"))

@@ -187,3 +187,52 @@ def test_weakest_link_of_nothing(spark):
     df = spark.createDataFrame([([],), ([0.9, 0.4],), ([0.8],)], "s array<double>")
     assert [tuple(r) for r in df.select(weakest(F.col("s")), level_of(weakest(F.col("s")))).collect()] == [(0.0, "low"), (0.4, "low"), (0.8, "high")]
     assert suggest.LEVELS == ("low", "medium", "high")
+
+
+def test_discovery_packages_and_sidecars(spark, tmp_path):
+    from framelake.sources import files
+
+    for p in ("a/x.JPG", "a/.hidden.jpg", "b/y.txt", "b/z.mov", ".trash/q.jpg", "a/Thumbs.db", "tmp/w.png"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"123")
+    found = files.discovered(spark, f"file:{tmp_path}", ignored=("*/tmp/*",)).collect()
+    assert {r.path.rpartition("/")[2]: r.ext for r in found} == {"x.JPG": "jpg", "z.mov": "mov"}
+    roles = {"/p/A.photoslibrary/originals/1.jpg": "own", "/p/A.photoslibrary/resources/1.jpg": "derived", "/p/C.lrdata/originals/1.jpg": "derived", "/p/1.jpg": "own"}
+    df = spark.createDataFrame([(p,) for p in roles], "p string")
+    assert {r[0]: r[1] for r in df.select("p", files.role_in_package(F.col("p"))).collect()} == roles
+    tags = "path string, tags map<string,string>"
+    own = spark.createDataFrame([("d/a.jpg", {"EXIF:CreateDate": "2020:01:01 00:00:00", "EXIF:Make": "X"}), ("d/b.jpg", {"EXIF:Make": "Y"}), ("d/b.cr3", {"EXIF:Make": "Y"})], tags)
+    side = spark.createDataFrame([("d/a.jpg.xmp", {"XMP:DateTimeOriginal": "2021:02:03 04:05:06"}), ("d/b.xmp", {"XMP:Make": "Z"})], tags)
+    out = {r.path: r for r in files.from_tags(files.with_sidecars(own, side)).collect()}
+    assert str(out["d/a.jpg"].taken_at) == "2021-02-03 04:05:06" and out["d/a.jpg"].make == "X"
+    assert out["d/b.jpg"].tags == {"EXIF:Make": "Y"}
+    df = spark.createDataFrame([("Trip|Sea, Sea,  Sun",), ("",)], "k string")
+    assert [r[0] for r in df.select(files.keyword_levels(F.col("k"))).collect()] == [["Trip|Sea", "Trip", "Sea", "Sun"], []]
+    j = '{"photoTakenTime":{"timestamp":"86400"},"geoData":{"latitude":0.0,"longitude":0.0},"geoDataExif":{"latitude":1.5,"longitude":2.0},"people":[{"name":"P"}]}'
+    r = files.takeout(spark.createDataFrame([("x/Photos from 2020/i.json", j), ("x/Sea/i.json", "broken")], "path string, json string")).orderBy("path").collect()
+    assert (str(r[0].taken_utc), r[0].gps_lat, r[0].people, r[0].album) == ("1970-01-02 00:00:00", 1.5, ["P"], None) and r[1].album == "Sea"
+
+
+@pytest.mark.parametrize(
+    ("folder", "days", "country", "km", "want"),
+    [
+        ("Serena 15 Anos", 0, None, None, ("occasion", "Serena 15 Anos")), ("Viagens/Praia", 1, None, None, ("trip", "Praia")), ("Japão/Tóquio", 0, None, None, ("trip", "Japão")),
+        ("DCIM", 1, "Brasil", 450.0, ("trip", "Brasil")), ("exports", 5, "França", None, ("trip", "França")), ("DCIM", 0, "Brasil", 3.0, ("neutral", None)), ("DCIM", 6, "Brasil", 2.0, ("neutral", None)),
+        ("Casamento de João e Maria", 2, None, None, ("occasion", "Casamento de João e Maria")), ("2025/Natal 2025", 2, None, None, ("occasion", "Natal 2025")), ("Obra da casa", 10, None, None, ("neutral", None)),
+        ("Quizomba", 0, None, None, ("occasion", "Quizomba")), ("2025_05_24/[Originals]", 0, None, None, ("neutral", None)), ("DCIM", 21, "Tailândia", 9000.0, ("trip", "Tailândia")),
+    ],
+)
+def test_session_cascade(spark, folder, days, country, km, want):
+    from framelake.operators import classify
+
+    df = spark.createDataFrame([(folder, days, country, km)], "folder string, days int, country string, home_km double")
+    r = classify.classified(df, ["japao", "franca"]).first()
+    assert (r.kind, r.label) == want
+
+
+def test_templates_drop_and_trim(spark):
+    from framelake.functions import templates
+
+    df = spark.createDataFrame([("photo", "2024", None, "Rio", "Rio"), (None, None, "Sea", None, "x/y:z"), (None, None, None, None, None)], "categoria string, ano string, viagem string, pais string, cidade string")
+    fields = {c: F.col(c) for c in df.columns}
+    assert [r[0] for r in df.select(templates.render(templates.DEFAULT, fields)).collect()] == ["photo/2024/Rio", "Sea/x y z", ""]
