@@ -26,7 +26,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices of about limit text bytes."""
     for batch in batches:
         _, at = buffers(batch.column(text))

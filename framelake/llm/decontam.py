@@ -203,5 +203,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows in which a benchmark item was found."""
     mark = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = contaminated(docs, benchmark).select(F.col("mark").alias("_bad")).distinct()
-    return docs.withColumn("_mark", mark).join(bad, F.col("_mark") == F.col("_bad"), "left_anti").drop("_mark")
+    bad = contaminated(docs, benchmark).select(F.col("mark").alias("_mark_of_bad")).distinct()
+    return docs.withColumn("_mark_of_row", mark).join(bad, F.col("_mark_of_row") == F.col("_mark_of_bad"), "left_anti").drop("_mark_of_row")

@@ -259,8 +259,8 @@ def test_toxicity_of_odd_rows(spark, sf, odd):
     texts = [prose(20) + (" vile scum" if i % 3 == 0 else "") for i in range(120)]
     marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fitted(documents(spark, texts), marks)
-    out = toxicity.scored(odd, model, odd.columns)
-    assert out.columns[: len(odd.columns)] == odd.columns or "score" in odd.columns
+    same = toxicity.kept(odd, model)
+    assert same.columns == odd.columns and same.count() == odd.count()
     assert all(0 <= r.score <= 1 for r in toxicity.scored(odd, model, ["doc_id"]).collect())
     assert toxicity.scored(odd.limit(0), model, ["doc_id"]).count() == 0
 
