@@ -37,7 +37,7 @@ from framelake.session import staged
 LENGTH, GRAM = 400, 100
 WINDOW = LENGTH - GRAM + 1
 HOT = 512
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _U = np.uint64
 
 
