@@ -11,10 +11,11 @@ hashing. BANDS bands of the slots' samples are the buckets. Texts with equal shi
 
 Candidates come from buckets without all pairs of a group: every node meets the bucket's medoid, and nodes that
 the sketches don't place next to it also meet their nearest by sketch. Candidates are verified by the weighted
-Jaccard similarity of the texts' whole shingle sets. Then the classes found are held against the buckets again,
-and all pairs there that lie in different classes, and whose sketches don't rule them out, are verified too; so
-no link between classes is lost to the choice of partners. Buckets of more than BLOCK nodes are dealt into
-blocks that share the bucket's first node; the second look deals them by sketch instead.
+Jaccard similarity of the texts' whole shingle sets. Buckets of more than BLOCK nodes are dealt into blocks that
+share the bucket's first node. Then the classes found are held against the buckets again, and all pairs there that
+lie in different classes, and whose sketches don't rule them out, are verified too, the nearest first, in rounds
+that leave out what earlier rounds have put into one class; so no link between classes is lost to the choice of
+partners. There every block meets every other block that holds another class, whatever the bucket's size.
 
 Null texts and texts without words: equal texts without words are one class; a null text is a class of its own.
 Rows of one doc_id are one document; rows of a null doc_id are told apart by their text. An empty table gives an
@@ -254,14 +255,59 @@ def _met(sig: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
-def _across(sig: np.ndarray, node: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Second look: all pairs of different classes that the sketches don't rule out."""
-    pairs = []
-    for i in range(len(node) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if len(other):
-            pairs += [(int(node[i]), int(node[j])) for j in other[_agreement(sig, i, other) >= AGAIN]]
-    return pairs
+def _across(lo: int, hi: int):
+    """Second look at two blocks: of each node of side 0 the candidates of ranks lo .. hi - 1 on the other side.
+
+    Candidates are the nodes held in another class when the second look began that the sketches don't rule out, by
+    agreement; so ranks stay the same from round to round. Those of one class by now need no pair. A node with
+    candidates from rank hi on that lie in other classes gives the pair (node, node).
+    """
+
+    def look(sig: np.ndarray, node: np.ndarray, side: np.ndarray, held: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+        pairs, own, far = [], np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for k, i in enumerate(own):
+            other = far if len(far) else own[k + 1 :]
+            other = other[held[other] != held[i]]
+            if not (label[other] != label[i]).any():
+                continue
+            near = _agreement(sig, i, other)
+            order = np.argsort(-near, kind="stable")[: int((near >= AGAIN).sum())]
+            apart = label[other[order]] != label[i]
+            pairs += [(int(node[i]), int(node[j])) for j in other[order[lo:hi][apart[lo:hi]]]]
+            if apart[hi:].any():
+                pairs.append((int(node[i]), int(node[i])))
+        return pairs
+
+    return look
+
+
+def _many_classes(members: DataFrame) -> DataFrame:
+    """The members of the buckets that lie in several classes held."""
+    some = members.groupBy("key").agg(F.min("held").alias("lo"), F.max("held").alias("hi")).where("lo <> hi").select("key")
+    return members.join(some, "key")
+
+
+def _torn(seen: DataFrame) -> DataFrame:
+    """The blocks (key, sub) of each bucket of seen (key, node, sig, held, label) that lies in several classes.
+
+    A bucket of at most BLOCK nodes is one block. In others the largest class held is dealt into blocks of its own and
+    the rest into blocks too; each block of the rest meets itself and all the others, so that every two nodes held in
+    different classes meet. side tells the two blocks that meet apart.
+    """
+    per = seen.groupBy("key", "held").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    torn = per.groupBy("key").agg(F.max(F.struct("n", "held")).alias("most"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    large = F.col("n") > BLOCK
+    mains = F.when(large, F.ceil(F.col("most.n") / BLOCK)).otherwise(F.lit(0))
+    rests = F.when(large, F.ceil((F.col("n") - F.col("most.n")) / BLOCK)).otherwise(F.lit(1))
+    torn = torn.select("key", F.when(large, F.col("most.held")).alias("main"), mains.alias("mains"), rests.alias("rests"))
+    in_main = F.col("held").eqNullSafe(F.col("main"))
+    deal = F.xxhash64("node")
+    own = F.when(in_main, F.col("rests") + F.pmod(deal, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(deal, F.col("rests")))
+    dealt = seen.join(torn, "key").withColumn("own", own)
+    last = F.when(in_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    sub = F.least("own", "with") * (F.col("rests") + F.col("mains")) + F.greatest("own", "with")
+    return meets.select("key", sub.alias("sub"), "node", "sig", (F.col("with") < F.col("own")).cast("int").alias("side"), "held", "label")
 
 
 def _pairs(members: DataFrame, look, columns: list[str]) -> DataFrame:
@@ -298,7 +344,7 @@ def _pairs(members: DataFrame, look, columns: list[str]) -> DataFrame:
             yield flush()
 
     dealt = members.repartition("key", "sub").sortWithinPartitions("key", "sub", "node")
-    return dealt.mapInPandas(run, "a long, b long").where("a <> b").distinct()
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -329,7 +375,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (least id of the class), text_id (least id of equal texts), links (verified, of the text)."""
+    """doc_id, class_id (least id of the class), text_id (least id of equal texts), links_tried (verified links among the pairs tried)."""
     rows = docs.select(F.col("doc_id"), _ids(docs).alias("id"), F.col("text").cast("string").alias("text"))
     idf = levels(*document_counts(rows))
     sketch = staged(sketched(rows, idf), "sketches")
@@ -342,24 +388,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = multi.where(F.col("n") > BLOCK).select("key", F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), F.col("first").alias("node"))
     members = members.select("key", "sub", "node").unionByName(shared.select("key", F.col("sub").cast("long").alias("sub"), "node")).distinct()
     members = staged(members.join(nodes.select("node", "sig"), "node"), "members")
-    tried = staged(_pairs(members, _met, ["node"]), "pairs")
+    tried = staged(_pairs(members, _met, ["node"]).where("a <> b"), "pairs")
     links = staged(verified(tried, rows, idf, similarity).distinct(), "links")
     labels = components(nodes.select("node"), links)
-    seen = members.join(labels, "node")
-    torn = seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    again = seen.drop("sub").join(torn, "key").dropDuplicates(["key", "node"])
-    again = again.withColumn("sub", F.pmod(F.xxhash64(F.substring("sig", 5, 8)), F.ceil(F.col("n") / BLOCK)))
-    rest = _pairs(again, _across, ["node", "label"]).join(tried, ["a", "b"], "left_anti")
-    more = staged(verified(rest, rows, idf, similarity).distinct(), "more-links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(nodes.select("node"), links)
+    held = _many_classes(members.drop("sub").dropDuplicates(["key", "node"]).join(labels.withColumnRenamed("label", "held"), "node"))
+    held = staged(held, "held")
+    lo, hi = 0, NEAREST
+    while True:
+        found = staged(_pairs(_torn(held.join(labels, "node")), _across(lo, hi), ["node", "side", "held", "label"]), "second-look")
+        rest = staged(found.where("a <> b").join(tried, ["a", "b"], "left_anti"), "untried")
+        more = staged(verified(rest, rows, idf, similarity).distinct(), "more-links")
+        tried = tried.unionByName(rest)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(nodes.select("node"), links)
+        if found.where("a = b").isEmpty():
+            break
+        lo, hi = hi, 4 * hi
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named = nodes.select("key", "node").join(labels, "node").join(degree, "node", "left")
     first = sketch.groupBy("key").agg(F.min("id").alias("text_id"))
     ids = sketch.select("id", "key").join(first, "key").join(named.select("node", "label", "links"), F.col("text_id") == F.col("node"), "left")
     mine = rows.select("doc_id", "id").join(ids.groupBy("id").agg(F.min(F.coalesce("label", "text_id")).alias("class_id"), F.min("text_id").alias("text_id"), F.max(F.coalesce("links", F.lit(0))).alias("links")), "id")
-    return mine.select("doc_id", "class_id", "text_id", F.col("links").cast("long").alias("links"))
+    return mine.select("doc_id", "class_id", "text_id", F.col("links").cast("long").alias("links_tried"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -229,6 +229,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_across_blocks_of_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "_met", lambda sig, node: [])  # the second look finds all links without the first
+    rng = random.Random(3)
+    parts, texts = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(60)], []
+    for _ in range(150):  # two of a kind are near duplicates, different kinds are not; all hold common passages only
+        own = sorted(rng.sample(range(60), 42))
+        less = sorted(rng.sample(own, 38))
+        texts += [" ".join(parts[k] for k in own), " ".join(parts[k] for k in less)]
+    order = rng.sample(range(300), 300)
+    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, [texts[i] for i in order])).collect()}
+    kinds = defaultdict(list)
+    for doc, i in enumerate(order):
+        kinds[i // 2].append(doc)
+    assert out == {d: min(v) for v in kinds.values() for d in v}
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64))
     a, b = h[:2000], h[600:]
