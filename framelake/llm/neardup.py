@@ -1,13 +1,15 @@
-"""Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
+"""Near duplicates: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A text's shingles are its runs of FIVE words in lower case; a text of fewer words is one shingle. A shingle that
 occurs tf times in a text and in df of the N texts weighs (1 + ln tf) (1 + min(ln(N / df), ln RARE) / ln RARE):
 what fewer than one text in RARE holds counts as rare, so the weights of a large group of copies stay comparable.
 df is counted over all texts in a count-min table of fixed size, whose mean load stays far under N / RARE.
 
-Sketch: each shingle is hashed to one of SLOTS slots and competes there with its consistent weighted sample
-(r, c, beta of Ioffe's scheme, all from the shingle's hash); slots left empty are filled by further rounds of
-hashing. BANDS bands of the slots' samples are the buckets. Texts with equal shingles and counts are one node.
+Sketch: a shingle of weight w counts as PER_WEIGHT * w elements, a fraction of one by a chance of its hash, so that
+equal shares of elements are equal shares of weight. Each element is hashed to one of SLOTS slots, where the least
+hash wins; slots left empty are filled by further rounds of hashing. So the share of slots that agree estimates the
+weighted Jaccard similarity without bias. BANDS bands of the slots' samples are the buckets. Texts with equal
+shingles and counts are one node.
 
 Candidates come from buckets without all pairs of a group: every node meets the bucket's medoid, and nodes that
 the sketches don't place next to it also meet their nearest by sketch. Candidates are verified by the weighted
@@ -43,10 +45,12 @@ BANDS, ROWS = 20, 4
 SLOTS = 448
 TABLE_BITS, PARTS = 20, 16
 BLOCK, NEAREST = 4096, 8
-_DEVIATION = (SIMILARITY * (1 - SIMILARITY) / SLOTS) ** 0.5
-#: Sketch agreement from which a pair is verified at the first and the second look (SIMILARITY less four and three
-#: standard deviations of SLOTS samples), and from which it is taken to be next to each other.
-MAYBE, AGAIN, SURE = SIMILARITY - 4 * _DEVIATION, SIMILARITY - 3 * _DEVIATION, 0.9
+#: Elements that stand for a shingle of weight 1.
+PER_WEIGHT = 4
+#: Standard deviations under SIMILARITY of the sketch agreement from which a pair is verified at the first and the second
+#: look, and the agreement from which it is taken to be next to each other.
+MAYBE, AGAIN, SURE = 4, 3, 0.9
+_FREE = np.uint64((1 << 64) - 1)
 #: A sketch as bytes: the text's total weight as a float, then the low bits of each slot.
 _SIG = np.dtype([("weight", np.float32), ("slots", np.uint8, SLOTS)])
 ROUNDS = 12
@@ -131,60 +135,46 @@ def weights(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (1 + np.log(count)) * (1 + np.maximum(idf[a], idf[b]) / 255.0)
 
 
-def _samples(h: np.ndarray, log_w: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ln a, token): the consistent weighted sample of each shingle; the least a of a set is its sample."""
-    g = mixed(h ^ mixed(_U(np.array(seed, np.uint64) + _U(0x51ED27))))
-    unit = 1.0 / (1 << 21)
-    low = _U((1 << 21) - 1)
-    r = -np.log(((g & low).astype(np.float64) + 0.5) * unit * ((((g >> _U(21)) & low).astype(np.float64) + 0.5) * unit))
-    beta = (g >> _U(43)).astype(np.float64) * unit
-    g = mixed(g + _U(0x2545F4914F6CDD1D))
-    c = -np.log(((g & low).astype(np.float64) + 0.5) * unit * ((((g >> _U(21)) & low).astype(np.float64) + 0.5) * unit))
-    t = np.floor(log_w / r + beta)
-    return np.log(c) - r * (t - beta + 1), mixed(h + t.astype(np.int64).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+def _elements(row: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the elements that stand for each shingle: PER_WEIGHT times its weight, the last by a chance of its hash.
+
+    The elements of a smaller weight are among those of a larger one, so the share of common elements of two sets is
+    their weighted Jaccard similarity, but for the chance.
+    """
+    mass = w * PER_WEIGHT
+    whole = np.floor(mass).astype(np.int64)
+    last = mixed(h + _U(0x51ED27) + mixed(whole.astype(np.uint64)))
+    n = whole + ((last >> _U(11)).astype(np.float64) * 2.0**-53 < mass - whole)
+    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(row, n), mixed(np.repeat(h, n) + which.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def sketches(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
-    """rows x SLOTS tokens; rows without shingles are 0."""
-    out = np.zeros(rows * SLOTS, np.uint64)
-    best = np.full(rows * SLOTS, np.inf)
-    log_w = np.log(w)
+    """rows x SLOTS tokens; rows without shingles are 0. row is in order."""
+    best = np.full(rows * SLOTS, _FREE)
     has = np.zeros(rows, bool)
     has[row] = True
+    row, h = _elements(row, h, w)
     for seed in range(ROUNDS):
-        slot = row * SLOTS + (mixed(h + _U(seed * 2 + 1)) >> _U(33)).astype(np.int64) % SLOTS
-        if seed:
-            free = out[slot] == 0
-            row, h, log_w, slot = row[free | _open(out, row)], h[free | _open(out, row)], log_w[free | _open(out, row)], slot[free | _open(out, row)]
-            free = out[slot] == 0
-            slot, hs, ws = slot[free], h[free], log_w[free]
-        else:
-            hs, ws = h, log_w
-        if len(slot):
-            a, token = _samples(hs, ws, seed)
-            np.minimum.at(best, slot, a)
-            won = a == best[slot]
-            out[slot[won]] = token[won] | _U(1)
-            best[slot] = np.inf
         if not len(row):
             break
-    empty = np.flatnonzero((out == 0) & np.repeat(has, SLOTS))
-    if len(empty):  # few shingles: each empty slot takes the sample of all of the row's under a seed of its own
+        value = mixed(h + _U(seed * 2 + 1))
+        slot = row * SLOTS + ((value >> _U(33)).astype(np.int64) % SLOTS)
+        value = mixed(value) >> _U(1)
+        free = best[slot] == _FREE
+        np.minimum.at(best, slot[free], value[free])
+        some = (best.reshape(-1, SLOTS) == _FREE).any(axis=1)[row]
+        row, h = row[some], h[some]
+    empty = np.flatnonzero((best == _FREE) & np.repeat(has, SLOTS))
+    if len(empty):  # each takes the least of all of the row's elements under a seed of its own
         per = np.bincount(row, minlength=rows)
         first = np.cumsum(per) - per
         n = per[empty // SLOTS]
         which = np.repeat(first[empty // SLOTS], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         slot = np.repeat(empty, n)
-        a, token = _samples(h[which] + mixed((slot % SLOTS).astype(np.uint64) + _U(77)), log_w[which], ROUNDS)
-        np.minimum.at(best, slot, a)
-        won = a == best[slot]
-        out[slot[won]] = token[won] | _U(1)
-    return out.reshape(rows, SLOTS)
-
-
-def _open(out: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Whether the row of each shingle has empty slots."""
-    return (out.reshape(-1, SLOTS) == 0).any(axis=1)[row]
+        value = mixed(h[which] + mixed((slot % SLOTS).astype(np.uint64) + _U(77))) >> _U(1)
+        np.minimum.at(best, slot, value)
+    return np.where(best == _FREE, _U(0), best | _U(1)).reshape(rows, SLOTS)
 
 
 def _ids(docs: DataFrame) -> Column:
@@ -238,18 +228,29 @@ def _agreement(sig: np.ndarray, i: int, others: np.ndarray | slice = slice(None)
     return np.where(np.minimum(w, sig["weight"][i]) >= 0.999 * SIMILARITY * np.maximum(w, sig["weight"][i]), near, 0)
 
 
+def _gate(sig: np.ndarray, i: int, deviations: float, others: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """SIMILARITY less so many standard deviations of the agreement of node i with others.
+
+    Two parts: SLOTS samples, and the chance of each shingle's last element, whose variance is at most a quarter of an
+    element each: shingles weigh at least 1, so the union has at most as many as its weight, which is at least the larger.
+    """
+    union = np.maximum(np.maximum(sig["weight"][others], sig["weight"][i]), 1)
+    return SIMILARITY - deviations * (SIMILARITY * (1 - SIMILARITY) * (1 / SLOTS + 1 / (4 * PER_WEIGHT**2 * union))) ** 0.5
+
+
 def _met(sig: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
     """First look at a block: pairs of each node with the medoid, and of those far from it with their nearest."""
     m = len(node)
     some = np.linspace(0, m - 1, min(m, 32)).astype(int)
     medoid = int(sum(_agreement(sig, i) for i in some).argmax())
     near = _agreement(sig, medoid)
-    pairs = [(int(node[i]), int(node[medoid])) for i in np.flatnonzero(near >= MAYBE) if i != medoid]
+    pairs = [(int(node[i]), int(node[medoid])) for i in np.flatnonzero(near >= _gate(sig, medoid, MAYBE)) if i != medoid]
     for i in np.flatnonzero(near < SURE):
         own = _agreement(sig, i)
         own[i] = 0
+        own[own < _gate(sig, i, MAYBE)] = 0
         for j in np.argsort(-own, kind="stable")[:NEAREST]:
-            if own[j] < MAYBE:
+            if not own[j]:
                 break
             pairs.append((int(node[i]), int(node[j])))
     return pairs
@@ -271,7 +272,8 @@ def _across(lo: int, hi: int):
             if not (label[other] != label[i]).any():
                 continue
             near = _agreement(sig, i, other)
-            order = np.argsort(-near, kind="stable")[: int((near >= AGAIN).sum())]
+            near[near < _gate(sig, i, AGAIN, other)] = 0
+            order = np.argsort(-near, kind="stable")[: np.count_nonzero(near)]
             apart = label[other[order]] != label[i]
             pairs += [(int(node[i]), int(node[j])) for j in other[order[lo:hi][apart[lo:hi]]]]
             if apart[hi:].any():

@@ -258,6 +258,17 @@ def test_consistent_samples_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - true) < 0.1 and (s != 0).all()
 
 
+def test_agreement_follows_weights_where_shingles_are_few():
+    draw = np.random.default_rng(11)
+    found = []
+    for _ in range(40):  # 160 common shingles of weight 2, 62 more of weight 1.2 on one side: 320 of 394.4
+        h = draw.integers(0, 1 << 63, 222).astype(np.uint64)
+        w = np.where(np.arange(222) < 160, 2.0, 1.2)
+        s = neardup.sketches(np.repeat([0, 1], [160, 222]), np.concatenate([h[:160], h]), np.concatenate([w[:160], w]), 2)
+        found.append((s[0] == s[1]).mean())
+    assert abs(np.mean(found) - 320 / 394.4) < 0.012 and np.mean(np.array(found) > 0.8 - 3 * (0.16 / 448) ** 0.5) > 0.95
+
+
 def test_toxicity_learns_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
