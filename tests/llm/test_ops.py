@@ -281,6 +281,18 @@ def test_toxicity_learns_held_out_rows(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4) == 2 for r in out)
 
 
+def test_few_toxic_rows_give_a_threshold_by_the_same_rule():
+    rng = random.Random(4)
+    y = np.array([1] * 24 + [0] * 300)
+    bad_words = "vilezor grumbax snorvik".split()
+    toxic = lambda: " ".join(w for _ in range(10) for w in (prose(3), rng.choice(bad_words)))
+    texts = [toxic() if c else prose(40) for c in y]
+    model = toxicity.train(texts, y, ["en"] * len(y), np.ones(len(y)))
+    fresh = [toxic() for _ in range(30)] + [prose(40) for _ in range(30)]
+    bad = toxicity._judged(model, pa.array(fresh), pa.array(["en"] * 60))[1]
+    assert model.thresholds[None] < 0.9 and bad[:30].mean() > 0.8 and bad[30:].mean() < 0.2
+
+
 def test_toxicity_of_odd_rows(spark, sf, odd):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     assert toxicity.fitted(odd, labels.limit(0)) is None
