@@ -5,23 +5,24 @@ occurs tf times in a text and in df of the N texts weighs (1 + ln tf) (1 + min(l
 what fewer than one text in RARE holds counts as rare, so the weights of a large group of copies stay comparable.
 df is counted over all texts in a count-min table of fixed size, whose mean load stays far under N / RARE.
 
-Sketch: a shingle of weight w counts as PER_WEIGHT * w elements, a fraction of one by a chance of its hash, so that
+Samples: a shingle of weight w counts as PER_WEIGHT * w elements, a fraction of one by a chance of its hash, so that
 equal shares of elements are equal shares of weight. Each element is hashed to one of SLOTS slots, where the least
 hash wins; slots left empty are filled by further rounds of hashing. So the share of slots that agree estimates the
-weighted Jaccard similarity without bias. BANDS bands of the slots' samples are the buckets. Texts with equal
-shingles and counts are one node.
-
-Candidates come from buckets without all pairs of a group: every node meets the bucket's medoid, and nodes that
-the sketches don't place next to it also meet their nearest by sketch. Candidates are verified by the weighted
-Jaccard similarity of the texts' whole shingle sets. Buckets of more than BLOCK nodes are dealt into blocks that
-share the bucket's first node. Then the classes found are held against the buckets again, and all pairs there that
-lie in different classes, and whose sketches don't rule them out, are verified too, the nearest first, in rounds
-that leave out what earlier rounds have put into one class; so no link between classes is lost to the choice of
-partners. There every block meets every other block that holds another class, whatever the bucket's size.
-
-Null texts and texts without words: equal texts without words are one class; a null text is a class of its own.
-Rows of one doc_id are one document; rows of a null doc_id are told apart by their text. An empty table gives an
-empty result; other columns are ignored.
+weighted Jaccard similarity without bias. BANDS bands of ROWS samples are the buckets. Texts with equal shingles and
+counts are one node, and buckets with the same nodes are one bucket.
+
+Links are found inside buckets, where a task holds the whole shingle sets of a block of nodes and computes the
+weighted Jaccard similarity of every two that its links so far leave apart. It returns only the links that unite two
+classes, at most one less than the block has nodes, whatever the number of similar pairs. A bucket of over BLOCK
+nodes or BLOCK_BYTES of text is dealt into blocks that share one node. If the classes found still tear such a bucket
+apart, then its blocks meet each other: those of its largest class with the rest, those of the rest with each other.
+So every two nodes of a bucket are in one class or have been compared. The links only have to join classes, so their
+number isn't that of all similar pairs.
+
+Null texts and texts without words: equal texts without words are one class; a null text is a class of its own with
+the others of its doc_id. Every row gets the class of its own text, also where several rows share a doc_id. A class
+is named by its least doc_id; where that names another class already, or is null or no whole number, by a hash under
+-2**62. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,29 +33,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framelake.llm.arrowtext import Rolling, buffers, folded, mixed, slices, words
+from framelake.llm.arrowtext import Rolling, buffers, folded, mixed, packed, slices, words
+from framelake.llm.rows import unused
 from framelake.operators.graph import components
 from framelake.session import staged
 
 FIVE, SIMILARITY, RARE = 5, 0.8, 100
 BANDS, ROWS = 20, 4
-#: The bands take the first BANDS * ROWS slots; all serve to compare sketches.
-SLOTS = 448
+SLOTS = BANDS * ROWS
 TABLE_BITS, PARTS = 20, 16
-BLOCK, NEAREST = 4096, 8
+#: Nodes, and bytes of their texts, that a task compares at once.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Elements that stand for a shingle of weight 1.
 PER_WEIGHT = 4
-#: Standard deviations under SIMILARITY of the sketch agreement from which a pair is verified at the first and the second
-#: look, and the agreement from which it is taken to be next to each other.
-MAYBE, AGAIN, SURE = 4, 3, 0.9
 _FREE = np.uint64((1 << 64) - 1)
-#: A sketch as bytes: the text's total weight as a float, then the low bits of each slot.
-_SIG = np.dtype([("weight", np.float32), ("slots", np.uint8, SLOTS)])
 ROUNDS = 12
-#: Text bytes counted and sketched at once: short texts need many samples for each byte.
+#: Text bytes counted and sampled at once: short texts need many samples for each byte.
 COUNTED_BYTES, SKETCHED_BYTES = 2 << 20, 1 << 19
 _U = np.uint64
 
@@ -177,246 +176,198 @@ def sketches(row: np.ndarray, h: np.ndarray, w: np.ndarray, rows: int) -> np.nda
     return np.where(best == _FREE, _U(0), best | _U(1)).reshape(rows, SLOTS)
 
 
-def _ids(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) % (1 << 62)))
+def _sampled(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """doc_id, doc, mark, key (16 bytes: equal for equal shingle counts), bands, bytes of each row (doc_id, doc, mark, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
 
-
-def sketched(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """id, key (16 bytes: equal for equal shingle counts), bands, sig (_SIG) of each row (id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SKETCHED_BYTES):
             data, at = buffers(batch.column("text"))
             n = batch.num_rows
             row, h, count = shingles(data, at)
-            w = weights(h, count, shared.value)
-            slots = sketches(row, h, w, n)
-            sig = np.zeros(n, _SIG)
-            sig["weight"], sig["slots"] = np.bincount(row, w, n), (slots >> _U(16)).astype(np.uint8)
+            slots = sketches(row, h, weights(h, count, shared.value), n)
             bands = np.zeros((n, BANDS), np.uint64)
             for k in range(ROWS):
-                bands = bands * _U(0x9E3779B97F4A7C15) + slots[:, k : BANDS * ROWS : ROWS]
+                bands = bands * _U(0x9E3779B97F4A7C15) + slots[:, k::ROWS]
             bands = mixed(bands + np.arange(BANDS, dtype=np.uint64) * _U(0xD1B54A32D192ED03))
             c = count.astype(np.uint64)
             key = np.zeros((n, 2), np.uint64)
+            ends = np.searchsorted(row, np.arange(n + 1))
             for j, s in enumerate((_U(3), _U(11))):
                 sums = np.concatenate([[_U(0)], np.cumsum(mixed(h * s + c * _U(0x2545F4914F6CDD1D)))])
-                ends = np.searchsorted(row, np.arange(n + 1))
                 key[:, j] = mixed(sums[ends[1:]] - sums[ends[:-1]] + s)
-            has = np.zeros(n, bool)
-            has[row] = True
+            has = ends[1:] > ends[:-1]
             if not has.all():
                 roll = Rolling(data)
                 for i in np.flatnonzero(~has):
                     key[i] = [roll.of(at[i : i + 1], at[i + 1 : i + 2])[0], _U(at[i + 1] - at[i])]
                     if not batch.column("text")[int(i)].is_valid:
-                        key[i] = [_U(batch.column("id")[int(i)].as_py() % (1 << 64)), _U((1 << 64) - 1)]
+                        key[i] = [_U(batch.column("mark")[int(i)].as_py() % (1 << 64)), _U((1 << 64) - 1)]
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(key))]).cast(pa.binary())
-            sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SIG.itemsize), n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
             offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), flat, lists, sig], ["id", "key", "bands", "sig"])
+            kept = [batch.column(c) for c in ("doc_id", "doc", "mark")]
+            yield pa.RecordBatch.from_arrays([*kept, flat, lists, pa.array(np.diff(at))], ["doc_id", "doc", "mark", "key", "bands", "bytes"])
 
-    return docs.select("id", "text").mapInArrow(sketch, "id long, key binary, bands array<bigint>, sig binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(sample, f"doc_id {kind}, doc long, mark long, key binary, bands array<bigint>, bytes long")
 
 
-def _agreement(sig: np.ndarray, i: int, others: np.ndarray | slice = slice(None)) -> np.ndarray:
-    """Of node i with others: 0 where the total weights alone rule the similarity out, as it is at most their ratio."""
-    own, w = sig["slots"][others], sig["weight"][others]
-    near = (own == sig["slots"][i]).mean(axis=1)
-    return np.where(np.minimum(w, sig["weight"][i]) >= 0.999 * SIMILARITY * np.maximum(w, sig["weight"][i]), near, 0)
+def links_of_block(h: np.ndarray, w: np.ndarray, ends: np.ndarray, label: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes that unite all classes of a block that similar pairs connect.
 
-
-def _gate(sig: np.ndarray, i: int, deviations: float, others: np.ndarray | slice = slice(None)) -> np.ndarray:
-    """SIMILARITY less so many standard deviations of the agreement of node i with others.
-
-    Two parts: SLOTS samples, and the chance of each shingle's last element, whose variance is at most a quarter of an
-    element each: shingles weigh at least 1, so the union has at most as many as its weight, which is at least the larger.
-    """
-    union = np.maximum(np.maximum(sig["weight"][others], sig["weight"][i]), 1)
-    return SIMILARITY - deviations * (SIMILARITY * (1 - SIMILARITY) * (1 / SLOTS + 1 / (4 * PER_WEIGHT**2 * union))) ** 0.5
-
-
-def _met(sig: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
-    """First look at a block: pairs of each node with the medoid, and of those far from it with their nearest."""
-    m = len(node)
-    some = np.linspace(0, m - 1, min(m, 32)).astype(int)
-    medoid = int(sum(_agreement(sig, i) for i in some).argmax())
-    near = _agreement(sig, medoid)
-    pairs = [(int(node[i]), int(node[medoid])) for i in np.flatnonzero(near >= _gate(sig, medoid, MAYBE)) if i != medoid]
-    for i in np.flatnonzero(near < SURE):
-        own = _agreement(sig, i)
-        own[i] = 0
-        own[own < _gate(sig, i, MAYBE)] = 0
-        for j in np.argsort(-own, kind="stable")[:NEAREST]:
-            if not own[j]:
-                break
-            pairs.append((int(node[i]), int(node[j])))
-    return pairs
-
-
-def _across(lo: int, hi: int):
-    """Second look at two blocks: of each node of side 0 the candidates of ranks lo .. hi - 1 on the other side.
-
-    Candidates are the nodes held in another class when the second look began that the sketches don't rule out, by
-    agreement; so ranks stay the same from round to round. Those of one class by now need no pair. A node with
-    candidates from rank hi on that lie in other classes gives the pair (node, node).
+    h, w: hashes and weights of the nodes' shingles, node by node up to ends; label: the nodes' classes so far; side:
+    where both 0 and 1 occur, only pairs across are compared.
     """
-
-    def look(sig: np.ndarray, node: np.ndarray, side: np.ndarray, held: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-        pairs, own, far = [], np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for k, i in enumerate(own):
-            other = far if len(far) else own[k + 1 :]
-            other = other[held[other] != held[i]]
-            if not (label[other] != label[i]).any():
-                continue
-            near = _agreement(sig, i, other)
-            near[near < _gate(sig, i, AGAIN, other)] = 0
-            order = np.argsort(-near, kind="stable")[: np.count_nonzero(near)]
-            apart = label[other[order]] != label[i]
-            pairs += [(int(node[i]), int(node[j])) for j in other[order[lo:hi][apart[lo:hi]]]]
-            if apart[hi:].any():
-                pairs.append((int(node[i]), int(node[i])))
-        return pairs
-
-    return look
-
-
-def _many_classes(members: DataFrame) -> DataFrame:
-    """The members of the buckets that lie in several classes held."""
-    some = members.groupBy("key").agg(F.min("held").alias("lo"), F.max("held").alias("hi")).where("lo <> hi").select("key")
-    return members.join(some, "key")
-
-
-def _torn(seen: DataFrame) -> DataFrame:
-    """The blocks (key, sub) of each bucket of seen (key, node, sig, held, label) that lies in several classes.
-
-    A bucket of at most BLOCK nodes is one block. In others the largest class held is dealt into blocks of its own and
-    the rest into blocks too; each block of the rest meets itself and all the others, so that every two nodes held in
-    different classes meet. side tells the two blocks that meet apart.
-    """
-    per = seen.groupBy("key", "held").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    torn = per.groupBy("key").agg(F.max(F.struct("n", "held")).alias("most"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    large = F.col("n") > BLOCK
-    mains = F.when(large, F.ceil(F.col("most.n") / BLOCK)).otherwise(F.lit(0))
-    rests = F.when(large, F.ceil((F.col("n") - F.col("most.n")) / BLOCK)).otherwise(F.lit(1))
-    torn = torn.select("key", F.when(large, F.col("most.held")).alias("main"), mains.alias("mains"), rests.alias("rests"))
-    in_main = F.col("held").eqNullSafe(F.col("main"))
-    deal = F.xxhash64("node")
-    own = F.when(in_main, F.col("rests") + F.pmod(deal, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(deal, F.col("rests")))
-    dealt = seen.join(torn, "key").withColumn("own", own)
-    last = F.when(in_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
-    meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    sub = F.least("own", "with") * (F.col("rests") + F.col("mains")) + F.greatest("own", "with")
-    return meets.select("key", sub.alias("sub"), "node", "sig", (F.col("with") < F.col("own")).cast("int").alias("side"), "held", "label")
-
-
-def _pairs(members: DataFrame, look, columns: list[str]) -> DataFrame:
-    """a < b: the pairs that look finds in each block (key, sub) of members."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def flush() -> pd.DataFrame:
-            block = pd.concat(held)
-            sig = np.frombuffer(b"".join(block["sig"]), _SIG)
-            block = block[columns]
-            out = look(sig, *(block[c].to_numpy() for c in columns))
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}) if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-        last = None
-        for pdf in batches:
-            change = np.flatnonzero((pdf["key"].to_numpy()[1:] != pdf["key"].to_numpy()[:-1]) | (pdf["sub"].to_numpy()[1:] != pdf["sub"].to_numpy()[:-1])) + 1
-            outs = []
-            for part in np.split(np.arange(len(pdf)), change):
-                if not len(part):
-                    continue
-                block = pdf.iloc[part]
-                name = (block["key"].iloc[0], block["sub"].iloc[0])
-                if last is not None and name != last and held:
-                    outs.append(flush())
+    size = np.diff(ends, prepend=0)
+    total = np.add.reduceat(w, ends - size)
+    order = np.argsort(total, kind="stable")
+    total, label, side = total[order], label[order].copy(), side[order]
+    size = size[order]
+    at = np.concatenate([[0], np.cumsum(size)])
+    entry = np.arange(at[-1]) + np.repeat((ends - np.diff(ends, prepend=0))[order] - at[:-1], size)
+    _, name, count = np.unique(h[entry], return_inverse=True, return_counts=True)
+    common = count[name] > 1  # what one node alone holds is in no intersection
+    w, name = w[entry][common], name[common]
+    at = np.concatenate([[0], np.cumsum(common)])[at]
+    across, held, out = bool(side.any()) and not side.all(), np.zeros(len(count)), []
+    # a similarity is at most the ratio of the total weights, so candidates follow each other
+    last = np.searchsorted(total, total * (1 + 1e-9) / similarity, side="right")
+    for i in range(len(total) - 1):
+        apart = label[i + 1 : last[i]] != label[i]
+        if across:
+            apart &= side[i + 1 : last[i]] != side[i]
+        apart = np.flatnonzero(apart) + i + 1
+        if not len(apart) or at[i] == at[i + 1]:
+            continue
+        lo, hi = at[apart[0]], at[apart[-1] + 1]
+        mine = name[at[i] : at[i + 1]]
+        held[mine] = w[at[i] : at[i + 1]]
+        sums = np.concatenate([[0.0], np.cumsum(np.minimum(held[name[lo:hi]], w[lo:hi]))])
+        shared = sums[at[apart + 1] - lo] - sums[at[apart] - lo]
+        held[mine] = 0
+        near = apart[shared >= (similarity - 1e-9) * (total[i] + total[apart] - shared)]
+        if len(near):
+            labels, one = np.unique(label[near], return_index=True)
+            out += [(int(order[i]), int(order[j])) for j in near[one]]
+            label[np.isin(label, labels)] = label[i]
+    return out
+
+
+def _links(blocks: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """a < b: what links_of_block finds in each block (key, sub) of blocks (key, sub, node, label, side, blob)."""
+    shared = blocks.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, held, last = zstandard.ZstdDecompressor(), [], None
+
+        def flush() -> list[tuple[int, int]]:
+            node, label, side, size, h, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            pairs = links_of_block(h, w, np.cumsum(size), label, side, similarity) if len(node) > 1 else []
+            return [(min(p), max(p)) for p in ((int(node[i]), int(node[j])) for i, j in pairs)]
+
+        for batch in slices(batches, "blob", 1 << 18):
+            text = [z.decompress(x.as_py()) for x in batch.column("blob")]
+            row, h, count = shingles(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)]))
+            w = weights(h, count, shared.value)
+            at = np.searchsorted(row, np.arange(len(text) + 1))
+            key, sub, node, label, side = (batch.column(c).to_numpy() for c in ("key", "sub", "node", "label", "side"))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
+            found: list[tuple[int, int]] = []
+            for lo, hi in zip([0, *cut], [*cut, len(text)], strict=True):
+                if held and last != (key[lo], sub[lo]):
+                    found += flush()
                     held = []
-                last = name
-                held.append(block)
-            if outs:
-                yield pd.concat(outs)
-        if held:
-            yield flush()
+                last = (key[lo], sub[lo])
+                held.append((node[lo:hi], label[lo:hi], side[lo:hi], np.diff(at[lo : hi + 1]), h[at[lo] : at[hi]], w[at[lo] : at[hi]]))
+            if found:
+                yield _pairs(found)
+        if held and (found := flush()):
+            yield _pairs(found)
 
-    dealt = members.repartition("key", "sub").sortWithinPartitions("key", "sub", "node")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    dealt = blocks.repartition("key", "sub").sortWithinPartitions("key", "sub", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity: the pairs whose weighted Jaccard similarity reaches similarity. texts: id, text."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a", 2 << 20):
-            n = batch.num_rows
-            sides = []
-            for name in ("text_a", "text_b"):
-                row, h, count = shingles(*buffers(batch.column(name)))
-                sides.append((row, h, weights(h, count, shared.value)))
-            total = [np.bincount(row, w, n) for row, _, w in sides]
-            row, h, w = (np.concatenate(x) for x in zip(*sides, strict=True))
-            order = np.lexsort((h, row))
-            row, h, w = row[order], h[order], w[order]
-            both = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
-            common = np.bincount(row[both], np.minimum(w[both], w[both + 1]), n)
-            j = common / np.maximum(total[0] + total[1] - common, 1e-12)
-            keep = pa.array(j >= similarity - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(j).filter(keep)], ["a", "b", "similarity"])
-
-    own = texts.select("id", "text")
-    left = pairs.join(own.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = left.join(own.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long, similarity double")
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """key, sub, node, parts: members of the buckets of several nodes, one bucket for each set of nodes, and their blocks."""
+    each = nodes.select("node", "bytes", F.explode("bands").alias("key"))
+    same = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    several = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"), F.min("node").alias("hub"), *same).where("n > 1")
+    several = several.groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key"), F.max("size").alias("size"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_BYTES))
+    several = several.select("key", "hub", F.least(parts, F.col("n")).alias("parts"))
+    dealt = each.join(several, "key").where("parts = 1 OR node <> hub").select("key", F.expr("pmod(xxhash64(node), parts)").alias("sub"), "node", "parts")
+    hubs = several.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sub"), F.col("hub").alias("node"), "parts")
+    return dealt.unionByName(hubs)
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (least id of the class), text_id (least id of equal texts), links_tried (verified links among the pairs tried)."""
-    rows = docs.select(F.col("doc_id"), _ids(docs).alias("id"), F.col("text").cast("string").alias("text"))
+
+def _torn(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, sub, node, label, side: pairs of blocks of the dealt buckets that lie in several classes.
+
+    The nodes of a bucket's largest class and the rest are dealt into blocks of their own; each block of the rest meets
+    itself and all others. side tells the two blocks that meet apart.
+    """
+    seen = members.where("parts > 1").dropDuplicates(["key", "node"]).join(labels, "node")
+    per = seen.groupBy("key", "label", "parts").agg(F.count("*").alias("n"))
+    torn = per.groupBy("key", "parts").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    share = lambda n: F.ceil(F.col("parts") * n / F.col("n"))
+    torn = torn.select("key", F.col("most.label").alias("main"), share(F.col("most.n")).alias("mains"), share(F.col("n") - F.col("most.n")).alias("rests"))
+    dealt = seen.join(torn, "key").withColumn("own", F.expr("if(label = main, rests + pmod(xxhash64(node), mains), pmod(xxhash64(node), rests))"))
+    meets = dealt.withColumn("with", F.explode(F.expr("sequence(0L, if(label = main, rests, rests + mains) - 1)")))
+    return meets.select("key", F.expr("least(own, with) * (rests + mains) + greatest(own, with)").alias("sub"), "node", "label", F.expr("int(own > with)").alias("side"))
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, mark, key) and nodes (key, node, label, mark of the row that stands for the node)."""
+    rows = docs.select("doc_id", _number(docs).alias("doc"), _mark(docs).alias("mark"), F.col("text").cast("string").alias("text"))
     idf = levels(*document_counts(rows))
-    sketch = staged(sketched(rows, idf), "sketches")
-    groups = sketch.groupBy("key").agg(F.min(F.struct("id", "bands", "sig")).alias("x"))
-    nodes = staged(groups.select("key", F.col("x.id").alias("node"), "x.bands", "x.sig").dropDuplicates(["node"]), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    multi = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    subs = F.ceil(F.col("n") / BLOCK)
-    members = buckets.join(multi, "key").withColumn("sub", F.pmod(F.xxhash64("node"), subs))
-    shared = multi.where(F.col("n") > BLOCK).select("key", F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), F.col("first").alias("node"))
-    members = members.select("key", "sub", "node").unionByName(shared.select("key", F.col("sub").cast("long").alias("sub"), "node")).distinct()
-    members = staged(members.join(nodes.select("node", "sig"), "node"), "members")
-    tried = staged(_pairs(members, _met, ["node"]).where("a <> b"), "pairs")
-    links = staged(verified(tried, rows, idf, similarity).distinct(), "links")
+    sampled = staged(_sampled(rows, idf), "samples")
+    first = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "mark", "bands", "bytes")).alias("x")
+    groups = sampled.groupBy("key").agg(first).select("key", "x.doc", "x.mark", "x.bands", "x.bytes")
+    hashed = F.xxhash64("key")
+    nth = F.row_number().over(Window.partitionBy("doc", F.when(F.col("doc").isNull(), hashed)).orderBy("key"))
+    node = F.when(F.col("doc").isNotNull() & (nth == 1), F.col("doc")).otherwise(-(1 << 62) - 1 - F.pmod(hashed, F.lit(1 << 62)))
+    nodes = staged(groups.select("key", node.alias("node"), "mark", "bands", "bytes"), "nodes")
+    members = staged(_buckets(nodes), "members")
+    wanted = members.select("node").distinct().join(nodes.select("node", "mark"), "node")
+    blobs = packed(rows.select("mark", "text")).join(wanted, "mark").dropDuplicates(["node"])
+    blobs = staged(blobs.select("node", "blob"), "blobs")
+    own = members.join(blobs, "node").withColumns({"label": F.col("node"), "side": F.lit(0)})
+    links = staged(_links(own, idf, similarity), "links")
     labels = components(nodes.select("node"), links)
-    held = _many_classes(members.drop("sub").dropDuplicates(["key", "node"]).join(labels.withColumnRenamed("label", "held"), "node"))
-    held = staged(held, "held")
-    lo, hi = 0, NEAREST
-    while True:
-        found = staged(_pairs(_torn(held.join(labels, "node")), _across(lo, hi), ["node", "side", "held", "label"]), "second-look")
-        rest = staged(found.where("a <> b").join(tried, ["a", "b"], "left_anti"), "untried")
-        more = staged(verified(rest, rows, idf, similarity).distinct(), "more-links")
-        tried = tried.unionByName(rest)
+    if not members.where("parts > 1").isEmpty():
+        more = staged(_links(_torn(members, labels).join(blobs, "node"), idf, similarity), "more-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(nodes.select("node"), links)
-        if found.where("a = b").isEmpty():
-            break
-        lo, hi = hi, 4 * hi
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    named = nodes.select("key", "node").join(labels, "node").join(degree, "node", "left")
-    first = sketch.groupBy("key").agg(F.min("id").alias("text_id"))
-    ids = sketch.select("id", "key").join(first, "key").join(named.select("node", "label", "links"), F.col("text_id") == F.col("node"), "left")
-    mine = rows.select("doc_id", "id").join(ids.groupBy("id").agg(F.min(F.coalesce("label", "text_id")).alias("class_id"), F.min("text_id").alias("text_id"), F.max(F.coalesce("links", F.lit(0))).alias("links")), "id")
-    return mine.select("doc_id", "class_id", "text_id", F.col("links").cast("long").alias("links_tried"))
+            labels = components(nodes.select("node"), links.unionByName(more))
+    return sampled.select("doc_id", "mark", "key"), nodes.select("key", "node", "mark").join(labels, "node")
+
+
+def _number(docs: DataFrame) -> Column:
+    """doc_id where it is a whole number."""
+    return F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(None).cast("long")
+
+
+def _mark(docs: DataFrame) -> Column:
+    """Tells rows of different ids or texts apart."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("doc_id"), F.col("text"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (least id of the class), text_id (least id of equal texts) of each row."""
+    rows, nodes = _classes(docs, similarity)
+    named = nodes.select("key", F.col("label").alias("class_id"), F.col("node").alias("text_id"))
+    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "text_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of its least id."""
-    classes = near_duplicates(docs, similarity).select(F.col("class_id").alias("_class_of_row")).distinct()
-    kept = docs.withColumn("_node_of_row", _ids(docs)).join(classes, F.col("_node_of_row") == F.col("_class_of_row"), "left_semi")
-    return kept.dropDuplicates(["_node_of_row"]).drop("_node_of_row")
+    _, nodes = _classes(docs, similarity)
+    mark = unused(docs, "mark")
+    kept = nodes.where("node = label").select(F.col("mark").alias(mark))
+    return docs.withColumn(mark, _mark(docs)).join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.arrowtext import Rolling, buffers, mixed, slices
+from framelake.llm.arrowtext import Rolling, buffers, mixed, packed, slices
 from framelake.session import staged
 
 LENGTH, GRAM = 400, 100
@@ -174,21 +174,6 @@ def _runs(starts: np.ndarray) -> list[list[int]]:
     return [[int(a), int(b) + LENGTH] for a, b in zip(starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)], strict=True)]
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, n_bytes, blob: texts compressed, as they are about to be dealt by mark."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches):
-            data, at = buffers(batch.column("text"))
-            raw = data.tobytes()
-            blobs = [z.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(blobs, pa.binary())], ["doc_id", "mark", "blob"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(pack, f"doc_id {kind}, mark long, blob binary")
-
-
 def _anchored(docs: DataFrame) -> DataFrame:
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -198,7 +183,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.select("mark", "text").mapInArrow(anchor, "mark long, f long, ctx long, lo int, starts int")
 
 
-def _cut_out(wanted: DataFrame, packed: DataFrame) -> DataFrame:
+def _cut_out(wanted: DataFrame, blobs: DataFrame) -> DataFrame:
     """wanted with the bytes of each context."""
     lists = wanted.groupBy("mark").agg(F.collect_list(F.struct("f", "ctx", "n", "d", "lo", "starts")).alias("w"))
 
@@ -215,7 +200,7 @@ def _cut_out(wanted: DataFrame, packed: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["mark", "f", "ctx", "n", "d", "lo", "bytes"])
 
     # rows that repeat as a whole share a mark and would cut the same contexts
-    return packed.select("mark", "blob").join(lists, "mark").mapInPandas(cut, "mark long, f long, ctx long, n long, d long, lo int, bytes binary").dropDuplicates(["f", "ctx"])
+    return blobs.join(lists, "mark").mapInPandas(cut, "mark long, f long, ctx long, n long, d long, lo int, bytes binary").dropDuplicates(["f", "ctx"])
 
 
 def _in_shards(found: DataFrame) -> DataFrame:
@@ -315,7 +300,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = anchors.join(again, ["f", "ctx"]).select("mark", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.col("starts") - 1 + LENGTH).alias("b"))
     parts = F.ceil(F.col("d") / HOT)
     # where every context of an anchor occurs again, all its strings do
-    found = _cut_out(known.where("d > 1 AND least = 1"), _packed(docs)).withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("ctx"), F.col("parts")))
+    found = _cut_out(known.where("d > 1 AND least = 1"), packed(docs.select("mark", "text"))).withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("ctx"), F.col("parts")))
     found = staged(found, "context-bytes")
     return whole.unionByName(_in_shards(found)).unionByName(_across_shards(found.where("parts > 1")))
 
@@ -346,5 +331,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).assign(doc_id=pdf["doc_id"].to_numpy())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _packed(read).join(spans, "mark", "left").select("doc_id", "blob", "spans")
+    joined = packed(read).join(spans, "mark", "left").select("doc_id", "blob", "spans")
     return joined.mapInPandas(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")

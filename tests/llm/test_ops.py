@@ -229,9 +229,67 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_force_classes(texts):
+    """Class by least place, over all pairs, by the weighted similarity that the operator defines."""
+    sets = [Counter() if t is None else shingle_counts(t) for t in texts]
+    df = Counter(x for s in sets for x in s)
+    weigh = [{x: (1 + np.log(c)) * (1 + round(255 * min(np.log(len(texts) / df[x]), np.log(100)) / np.log(100)) / 255) for x, c in s.items()} for s in sets]
+    total = [sum(w.values()) for w in weigh]
+    label, near = list(range(len(texts))), {}
+    for i in range(len(texts)):
+        for j in range(i):
+            common = sum(min(v, weigh[j][x]) for x, v in weigh[i].items() if x in weigh[j])
+            near[i, j] = common / (total[i] + total[j] - common) if common else 0.0
+            if near[i, j] >= 0.8 - 1e-9:
+                label = [min(label[i], label[j]) if c in (label[i], label[j]) else c for c in label]
+    return label, near
+
+
+def shingle_counts(text):
+    w = re.findall(r"[a-z0-9]+", text.lower())
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def near_the_border(rng, kinds=40):
+    """Texts with common passages and repeated shingles, whose copies lie on both sides of a similarity of 0.8."""
+    common, texts = " ".join(rng.choice(WORDS) for _ in range(80)), []
+    for _ in range(kinds):
+        own = [rng.choice(WORDS) for _ in range(150)]
+        own += own[20:40]
+        texts.append(" ".join(own) + " " + common)
+        for cuts in (1, 3, 4, 5, 6, 8):
+            v = list(own)
+            for i in rng.sample(range(len(v)), cuts):
+                v[i] = rng.choice(WORDS)
+            texts.append(" ".join(v) + (" " + common if rng.random() < 0.7 else ""))
+    return rng.sample(texts, len(texts))
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_duplicates_against_weighted_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = near_the_border(random.Random(5))
+    want, near = brute_force_classes(texts)
+    assert sum(0.7 < x < 0.8 for x in near.values()) > 30 and sum(0.8 <= x < 0.9 for x in near.values()) > 30
+    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, texts)).collect()}
+    assert out == dict(enumerate(want))
+
+
+def test_rows_of_one_id_and_other_kinds_of_ids(spark):
+    a, b = prose(60), prose(60)
+    df = spark.createDataFrame([(1, a), (1, b), (5, b), (7, a), (None, a), (None, prose(20)), (1, a)], "doc_id long, text string")
+    out = [(r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()]
+    of_a = {c for d, c in out if d == 7}
+    of_b = {c for d, c in out if d == 5}
+    assert len(out) == 7 and of_a | of_b > {1} and len(of_a | of_b) == 2 and sum(c in of_a for _, c in out) == 4 and sum(c in of_b for _, c in out) == 2
+    kept = neardup.one_of_each(df).collect()
+    assert {r.text for r in kept} > {a, b} and len(kept) == 3
+    named = neardup.near_duplicates(df.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()
+    assert len({r.class_id for r in named}) == 3 and len(named) == 7
+
+
 def test_links_across_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 2)
-    monkeypatch.setattr(neardup, "_met", lambda sig, node: [])  # the second look finds all links without the first
     rng = random.Random(3)
     parts, texts = [" ".join(rng.choice(WORDS) for _ in range(20)) for _ in range(60)], []
     for _ in range(150):  # two of a kind are near duplicates, different kinds are not; all hold common passages only
@@ -246,6 +304,33 @@ def test_links_across_blocks_of_a_large_bucket(spark, monkeypatch):
     assert out == {d: min(v) for v in kinds.values() for d in v}
 
 
+def test_links_of_a_block_are_a_forest_of_its_classes():
+    rng = random.Random(9)
+    texts = near_the_border(rng, 12)
+    from framelake.llm.arrowtext import buffers
+
+    data, at = buffers(pa.array(texts))
+    row, h, count = neardup.shingles(data, at)
+    w = 1 + np.log(count)
+    ends = np.searchsorted(row, np.arange(1, len(texts) + 1))
+    n = len(texts)
+    sets = [dict(zip(h[a:b].tolist(), w[a:b].tolist())) for a, b in zip(np.append(0, ends), ends)]
+    common = lambda x, y: sum(min(v, y[k]) for k, v in x.items() if k in y)
+    near = {(i, j) for i in range(n) for j in range(i) if (c := common(sets[i], sets[j])) >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - c)}
+
+    def classes(pairs):
+        label = list(range(n))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+    out = neardup.links_of_block(h, w, ends, np.arange(n), np.zeros(n, int), 0.8)
+    assert len(out) < n and classes(out) == classes(near) and all((max(p), min(p)) in near for p in out)
+    side = np.arange(n) % 2
+    out = neardup.links_of_block(h, w, ends, np.arange(n), side, 0.8)
+    assert classes(out) == classes([p for p in near if side[p[0]] != side[p[1]]])
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     h = np.unique(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64))
     a, b = h[:2000], h[600:]
@@ -261,12 +346,12 @@ def test_consistent_samples_estimate_weighted_jaccard():
 def test_agreement_follows_weights_where_shingles_are_few():
     draw = np.random.default_rng(11)
     found = []
-    for _ in range(40):  # 160 common shingles of weight 2, 62 more of weight 1.2 on one side: 320 of 394.4
+    for _ in range(400):  # 160 common shingles of weight 2, 62 more of weight 1.2 on one side: 320 of 394.4
         h = draw.integers(0, 1 << 63, 222).astype(np.uint64)
         w = np.where(np.arange(222) < 160, 2.0, 1.2)
         s = neardup.sketches(np.repeat([0, 1], [160, 222]), np.concatenate([h[:160], h]), np.concatenate([w[:160], w]), 2)
         found.append((s[0] == s[1]).mean())
-    assert abs(np.mean(found) - 320 / 394.4) < 0.012 and np.mean(np.array(found) > 0.8 - 3 * (0.16 / 448) ** 0.5) > 0.95
+    assert abs(np.mean(found) - 320 / 394.4) < 0.012 and np.mean(np.array(found) > 0.8 - 3 * (0.16 / neardup.SLOTS) ** 0.5) > 0.99
 
 
 def test_toxicity_learns_held_out_rows(spark):
