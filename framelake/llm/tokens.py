@@ -2,17 +2,22 @@
 
 A BPE tokenizer never merges across the pieces that its pre-tokenizer cuts, so the number of tokens of a prefix
 is a sum that runs along the pieces: count(text[:i]) = count(text[:s]) + count(text[s:i]), s being the start of
-the piece that holds i. The table of these sums answers how long a text is, what it costs to cut it at a place,
-and how much of it a budget buys, without encoding again. Whole pieces repeat, so each worker keeps their
-counts; the library itself counts a piece the first time it is seen, normaliser and all.
-
-Null and empty texts have 0 tokens. A text is handled whole, whatever its length; rows are independent.
+the piece that holds i. Inside a piece the same sum runs along its words and signs, and each of these has a row with
+the count of every prefix. So the tables answer, to the character, how long a text is, what it costs to cut it at a
+place, and how much of it a budget buys, without encoding the text again. Whole pieces repeat, so each worker keeps
+their counts, and the rows of prefixes of those that a cut has fallen into; the library itself counts a piece or prefix
+the first time it is seen, normaliser and all. Words of over LONG letters get no row: their prefixes are counted one by
+one as a cut asks for them, by halving.
+
+Null and empty texts have 0 tokens. A text is handled whole, whatever its length; rows are independent, so repeated
+rows give a row each and an empty table an empty result; other columns of docs are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,9 @@ PIECES_AT_ONCE = 4096
 #: What Unicode calls white space: the tokenizer makes one blank of it and drops that, so pieces end there.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
+#: The words and signs that the vocabulary's pre-tokenizer cuts pieces into.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", regex.IGNORECASE)
+LONG = 256
 PIECES, WORDS, SEPARATORS = re.compile(f"[{_SPACE}]+|[^{_SPACE}]+"), re.compile(f"[^{_SPACE}]+"), re.compile("[\\x1c-\\x1f]")
 
 
@@ -44,6 +53,7 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.counts: dict[str, int] = {}
+        self.rows: dict[str, list[int]] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
@@ -112,16 +122,65 @@ class PrefixCounter:
         for (a, b), w in zip(found, words, strict=True):
             yield a, b, 0 if w[0] in SPACES else self.counts[w]
 
+    def _row(self, part: str) -> list[int]:
+        """The counts of all prefixes of a part, the empty one first."""
+        if part not in self.rows:
+            if len(self.rows) > CACHED_PIECES:
+                self.rows.clear()
+            each = self.tokenizer.encode_batch([part[:j] for j in range(1, len(part) + 1)], add_special_tokens=False)
+            self.rows[part] = [0, *(len(e.ids) for e in each)]
+        return self.rows[part]
+
+    def _parts(self, piece: str) -> list[tuple[int, str]]:
+        """(start, part): where a piece can be cut without changing the tokens of either side."""
+        if not unicodedata.is_normalized("NFC", piece):  # characters may unite across parts
+            return [(0, piece)]
+        return [(m.start(), m.group()) for m in PARTS.finditer(piece)]
+
+    def _inside(self, piece: str, i: int) -> int:
+        """The count of piece[:i]."""
+        parts = self._parts(piece)
+        k = bisect_right([a for a, _ in parts], i) - 1
+        if k < 0:
+            return 0
+        if self.special is not None and "<" in piece:  # a prefix may end in a special string's beginning
+            return self.encoded(piece[:i])
+        self._missing([p for _, p in parts[:k]])
+        start, part = parts[k]
+        return sum(self.counts[p] for _, p in parts[:k]) + (self._row(part)[i - start] if len(part) <= LONG else self.encoded(part[: i - start]))
+
+    def _reach(self, piece: str, budget: int) -> int:
+        """The largest i with at most budget tokens in piece[:i]; in a part of over LONG characters, as halving finds it."""
+        parts = self._parts(piece)
+        self._missing([p for _, p in parts])
+        at, left = 0, budget
+        for start, part in parts:
+            if self.counts[part] <= left:
+                left -= self.counts[part]
+                at = start + len(part)
+                continue
+            if len(part) <= LONG:
+                return start + max(j for j, n in enumerate(self._row(part)) if n <= left)
+            lo, hi = 0, len(part)
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if self.encoded(part[:mid]) <= left else (lo, mid)
+            return start + lo
+        return at
+
     def at(self, text: str, i: int) -> int:
-        """The count of text[:i], from the table and the piece that i falls in."""
+        """The count of text[:i], from the tables of the text and of the piece that i falls in."""
         ends, tokens = self.prefixes(text)
         k = bisect_right(ends, i) - 1
-        return tokens[k] + (self.encoded(text[ends[k] : i]) if i > ends[k] else 0)
+        return tokens[k] + (self._inside(text[ends[k] : ends[k + 1]], i - ends[k]) if i > ends[k] else 0)
 
     def within(self, text: str, budget: int) -> int:
-        """The largest i, at a piece end, with at most budget tokens in text[:i]."""
+        """The largest i with at most budget tokens in text[:i] and in what precedes the piece that i falls in."""
         ends, tokens = self.prefixes(text)
-        return ends[bisect_right(tokens, budget) - 1]
+        k = bisect_right(tokens, budget) - 1
+        if k == len(ends) - 1 or (piece := text[ends[k] : ends[k + 1]]) in self.specials:
+            return ends[k]
+        return ends[k] + self._reach(piece, budget - tokens[k])
 
 
 @lru_cache(maxsize=4)
