@@ -9,8 +9,10 @@ so one band holds them all; bands that reach the bound are verified by banded al
 The items' q-gram index goes to the executors in pieces of at most INDEX_CHARS characters of items, one pass
 over the documents for each, so what is broadcast is bounded however large the benchmark is.
 
-Null texts are empty; items of fewer than Q characters after folding are not looked for; equal items are found
-under each of their ids, repeated documents each; an empty table of either kind gives an empty result.
+Items of fewer than Q characters after folding have no q-gram and no edits to spare: they are found exactly, as whole
+words. Null texts are empty; items without a letter or digit are not looked for; equal items are found under each of
+their ids, repeated documents each; an empty table of either kind gives an empty result; other columns of either
+table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.arrowtext import buffers, folded, slices
+from framelake.llm.rows import unused
 
 Q = 10
 EDIT_SHARE = 0.08
@@ -65,11 +68,18 @@ class Index:
         data, at, _ = squeezed(*buffers(pa.array(texts, pa.string())))
         rows = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         rows = [r[:-1] if len(r) and r[-1] == 0x20 else r for r in rows]
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for i, r in zip(ids, rows, strict=True):
+            if 0 < len(r) < Q:
+                self.short.setdefault(len(r), {}).setdefault(r.tobytes(), []).append(i)
         kept = [(i, r) for i, r in zip(ids, rows, strict=True) if len(r) >= Q]
         self.ids, self.items = [i for i, _ in kept], [r for _, r in kept]
         self.size = np.array([len(r) for r in self.items], np.int64)
         self.budget = np.array([edits(len(r)) for r in self.items], np.int64)
         self.bound = self.size - Q + 1 - self.budget * Q
+        #: The items of fewer than Q characters come after the others.
+        self.ids += [i for by in self.short.values() for own in by.values() for i in own]
+        self.reach = int(self.size.max()) if len(self.size) else 0
         codes = [_codes(r) for r in self.items]
         self.codes = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         self.item = np.repeat(np.arange(len(codes)), [len(c) for c in codes]).astype(np.int64)
@@ -85,9 +95,9 @@ class Index:
 
     def find(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of the items in squeezed rows; places are within data."""
-        codes = _codes(data)
+        exact, codes = self._exact(data, at), _codes(data)
         if not len(codes) or not len(self.codes):
-            return []
+            return exact
         hit = np.flatnonzero(self.filter[self._slot(codes)])
         lo = np.searchsorted(self.codes, codes[hit], side="left")
         count = np.searchsorted(self.codes, codes[hit], side="right") - lo
@@ -100,8 +110,9 @@ class Index:
         start = pos - self.place[which]  # the diagonal, as a place in data: it tells the row but at a row's border
         half = self.budget[item] + 1
         # bands start at multiples of half and are twice as wide; a band is named by item and its number
-        band = (start + (1 << 20)) // half
-        span = np.int64((len(data) + (1 << 21)) + 2)
+        band = (start + self.reach) // half
+        span = np.int64(len(data) + self.reach + 2)
+        band += 1  # so that the one before the first has a number too
         keys = np.concatenate([item * span + band, item * span + band - 1])
         keys, n = np.unique(keys, return_counts=True)
         item = keys // span
@@ -109,9 +120,31 @@ class Index:
         found = []
         for it, b in zip(item[keep].tolist(), (keys[keep] % span).tolist(), strict=True):
             k = int(self.budget[it])
-            first = b * (k + 1) - (1 << 20)
+            first = (b - 1) * (k + 1) - self.reach
             found += self._verified(data, at, it, first - k, first + 2 * (k + 1) + k)
-        return _apart(found)
+        return exact + _apart(found)
+
+    def _exact(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The items without a q-gram, where they stand as whole words."""
+        found, item = [], len(self.items)
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = (data[1:] == 0x20) | (data[:-1] == 0x20)
+        edge[at] = True
+        for n, by in self.short.items():
+            number = {}
+            for text, ids in by.items():
+                number[text] = range(item, item + len(ids))
+                item += len(ids)
+            if len(data) < n:
+                continue
+            head = {t[0] for t in by}
+            first = np.zeros(256, bool)
+            first[list(head)] = True
+            for p in np.flatnonzero(edge[: len(data) - n + 1] & edge[n:] & first[data[: len(data) - n + 1]]).tolist():
+                row = int(np.searchsorted(at, p, side="right")) - 1
+                if p + n <= at[row + 1]:
+                    found += [(row, k, p, p + n, 0) for k in number.get(data[p : p + n].tobytes(), ())]
+        return found
 
     def _verified(self, data: np.ndarray, at: np.ndarray, it: int, lo: int, hi: int) -> list[tuple[int, int, int, int, int]]:
         """The best region of each row among those that start on diagonals lo .. hi - 1."""
@@ -203,5 +236,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows in which a benchmark item was found."""
     mark = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    bad = contaminated(docs, benchmark).select(F.col("mark").alias("_mark_of_bad")).distinct()
-    return docs.withColumn("_mark_of_row", mark).join(bad, F.col("_mark_of_row") == F.col("_mark_of_bad"), "left_anti").drop("_mark_of_row")
+    own = unused(docs, "mark")
+    bad = contaminated(docs, benchmark).select(F.col("mark").alias(own)).distinct()
+    return docs.withColumn(own, mark).join(bad, own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
