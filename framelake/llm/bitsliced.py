@@ -9,7 +9,8 @@ and the smallest ids among them fill the last places.
 Rows meet queries in blocks: each block of rows is one row of the index table, and each block of queries is
 dealt to every block of rows by an equi-join. Vectors that are null or hold null or non-finite components take
 no part; components missing from a shorter vector count as 0; repeated ids are all candidates, except for
-queries of that id; a query with no other row gets no result.
+queries of that id; a query with no other row gets no result. An empty table gives an empty result, and other columns
+are ignored. Scores are longs: a query whose scores might leave that range ends the job with an OverflowError.
 """
 
 from __future__ import annotations
@@ -49,20 +50,36 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 class BitSlices:
     """The slices of one block: of each dimension, its least value and the binary digits above that."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, least: np.ndarray, digits: np.ndarray, words: np.ndarray):
+        self.ids, self.least, self.digits = ids, least, digits
+        cut = np.cumsum(digits)[:-1]
+        self.slices = np.split(words.reshape(int(digits.sum()), -(-len(ids) // 64)), cut)
+        self.all = _packed(np.ones((1, len(ids)), np.uint8))[0]
+
+    @classmethod
+    def of(cls, ids: np.ndarray, x: np.ndarray) -> BitSlices:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
-        n = len(ids)
-        self.least = self.x.min(axis=0) if x.size else np.zeros(x.shape[1], np.int64)
-        above = self.x - self.least
-        self.digits = [int(v).bit_length() for v in (above.max(axis=0) if x.size else self.least)]
-        self.all = _packed(np.ones((1, n), np.uint8))[0]
-        self.slices = [_packed(((above[:, d] >> np.arange(b)[:, None]) & 1).astype(np.uint8)) for d, b in enumerate(self.digits)]
+        ids, x = ids[order], x[order]
+        least = x.min(axis=0)
+        above = x - least
+        digits = np.array([int(v).bit_length() for v in above.max(axis=0)], np.int64)
+        each = [_packed(((above[:, d] >> np.arange(b)[:, None]) & 1).astype(np.uint8)) for d, b in enumerate(digits) if b]
+        return cls(ids, least, digits, np.concatenate(each) if each else np.zeros((0, -(-len(ids) // 64)), np.uint64))
+
+    def stored(self) -> list[bytes]:
+        """ids, least, digits and words as bytes, which read() takes."""
+        return [x.tobytes() for x in (self.ids, self.least, self.digits, np.concatenate(self.slices))]
+
+    @classmethod
+    def read(cls, ids: bytes, least: bytes, digits: bytes, words: bytes) -> BitSlices:
+        return cls(*(np.frombuffer(b, t) for b, t in ((ids, np.int64), (least, np.int64), (digits, np.int64), (words, np.uint64))))
 
     def scores(self, q: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices, offset): a row's score is offset plus its number in the slices, least significant first."""
         columns: dict[int, list[np.ndarray]] = {}
         offset = int(sum(int(a) * int(b) for a, b in zip(q, self.least, strict=True)))
+        if sum(abs(int(w)) * (abs(int(a)) + (1 << int(b))) for w, a, b in zip(q, self.least, self.digits, strict=True)) >> 62:
+            raise OverflowError("scores of this query may not fit a long")
         for d, w in enumerate(map(int, q)):
             if not w or not self.digits[d]:
                 continue
@@ -94,7 +111,7 @@ class BitSlices:
 
     def top(self, q: np.ndarray, k: int, but: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score); rows of id but take no part."""
-        slices, _ = self.scores(q)
+        slices, offset = self.scores(q)
         lo, hi = np.searchsorted(self.ids, [but, but + 1])
         equal = self.all.copy()
         if hi > lo:
@@ -116,7 +133,10 @@ class BitSlices:
         if len(picked) < k:  # rows on the boundary, all of one score
             edge = np.flatnonzero(np.unpackbits(equal.view(np.uint8), bitorder="little"))
             picked = np.concatenate([picked, edge[: k - len(picked)]])
-        return [(int(self.ids[i]), int(self.x[i] @ q)) for i in picked]
+        score = np.full(len(picked), offset, np.int64)
+        for level, own in enumerate(slices):
+            score += ((own[picked // 64] >> (picked % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << level
+        return [(int(self.ids[i]), int(v)) for i, v in zip(picked, score, strict=True)]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
@@ -125,24 +145,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     counted = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("w")).first()
     blocks, groups, width = max(1, -(-counted.n // ROWS)), max(1, -(-counted.q // QUERIES)), counted.w
 
-    def packed(columns: str, name: str):
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = _matrix(pdf["x"], width)
-            return pd.DataFrame([[int(pdf[name].iloc[0]), pdf["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes()]], columns=columns.split())
+    def sliced(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = BitSlices.of(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["x"], width))
+        return pd.DataFrame([[int(pdf["block"].iloc[0]), *own.stored()]], columns=["block", "ids", "least", "digits", "words"])
 
-        return pack
+    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[int(pdf["grp"].iloc[0]), pdf["vec_id"].to_numpy(np.int64).tobytes(), _matrix(pdf["x"], width).tobytes()]], columns=["grp", "qids", "q"])
 
     spread = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.col("x")), F.lit(blocks)))
-    index = staged(spread.groupBy("block").applyInPandas(packed("block ids x", "block"), "block long, ids binary, x binary"), "bit-slices")
+    index = staged(spread.groupBy("block").applyInPandas(sliced, "block long, ids binary, least binary, digits binary, words binary"), "bit-slices")
     asked = rows.where(is_query).dropDuplicates(["vec_id"]).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
-    asked = asked.groupBy("grp").applyInPandas(packed("grp qids q", "grp"), "grp long, qids binary, q binary")
+    asked = asked.groupBy("grp").applyInPandas(gathered, "grp long, qids binary, q binary")
     pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(index.hint("shuffle_hash"), "block")
 
     def searched(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for r in pdf.itertuples():
-            ids, queries = np.frombuffer(r.ids, np.int64), np.frombuffer(r.qids, np.int64)
-            slices = BitSlices(ids, np.frombuffer(r.x, np.int64).reshape(len(ids), width))
+            queries, slices = np.frombuffer(r.qids, np.int64), BitSlices.read(r.ids, r.least, r.digits, r.words)
             for qid, q in zip(queries, np.frombuffer(r.q, np.int64).reshape(len(queries), width), strict=True):
                 found += [(int(qid), v, s) for v, s in slices.top(q, k, int(qid))]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
