@@ -65,8 +65,27 @@ def test_counts_of_prefixes():
     hard = ["it's i'd we'll 's", "áb é́ x̀ ", "<|endoftext|> hi<|endoftext|>x", "\x1cq\x1d z\x85y\xa0z k", "12345 a1b2 ###!! 你好"]
     for text in hard + ["".join(rng.choice(hard)[:6] for _ in range(4)) for _ in range(15)]:
         assert c.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
-        for i in range(len(text) + 1):
-            assert c.at(text, i) == len(lib.encode(text[:i], add_special_tokens=False).ids)
+        each = [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert [c.at(text, i) for i in range(len(text) + 1)] == each
+        if "<" not in text:
+            for budget in range(each[-1] + 1):
+                i = c.within(text, budget)
+                assert each[i] <= budget and (i == len(text) or each[i + 1] > budget or text[i].isspace())
+
+
+def test_cuts_are_exact_to_the_character():
+    c = tokens.counter("word_bpe_49k.json")
+    text = "字" * 700 + "。" + "word" * 100
+    for budget in (0, 1, 5, 300, 700):
+        i = c.within(text, budget)
+        assert c.encoded(text[:i]) <= budget < c.encoded(text[: i + 1])
+    calls, encoded = [], c.encoded
+    c.encoded = lambda t: calls.append(t) or encoded(t)
+    try:
+        again = "some plain words, and more of them"
+        assert [c.at(again, i) for i in range(len(again))] and not calls  # rows of prefixes answer, no encoding
+    finally:
+        del c.encoded
 
 
 def test_chat_reads_back(spark):
@@ -151,6 +170,10 @@ def test_archives_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len((h or "").encode()), warc.base32_sha1((h or "").encode()))
         assert (r.record_type, r.refers_to) == (("response", None) if first[h or ""] == i else ("revisit", first[h or ""]))
     assert sorted(r.record_type for r in by[3]) == ["response", "revisit"]
+    strange = ["http://x/a\r\nX-Page-Id: 7", "http://x/ b", "\x7f\t", "http://x/é", ""]
+    urls = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(strange)], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in warc.read_back(warc.write(urls)).collect()} == dict(enumerate(strange))
+    assert warc.write(urls).first().content[:4] == b"\x5d\x2a\x4d\x18"  # too little to train on: the samples serve
     content = archives.first().content
     assert content[:4] == b"\x5d\x2a\x4d\x18" and content[8:12] == b"\x37\xa4\x30\xec"
     assert all(r.record_type == "response" for r in warc.read_back(warc.write(df, min_revisit_bytes=10**9)).collect())
@@ -390,6 +413,78 @@ def test_toxicity_of_odd_rows(spark, sf, odd):
     assert toxicity.scored(odd.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_scores_against_a_plain_forward_pass(spark):
+    texts = [prose(k) + (" vile scum" if k % 3 == 0 else "") for k in (1, 3, 30, 64, 65, 200)] * 4 + ["", None, "!!", "a"]
+    marks = spark.createDataFrame([(i, int(i % 3 == 1)) for i in range(len(texts))], "doc_id long, toxic int")
+    df = documents(spark, texts)
+    m = toxicity.fitted(df, marks)
+    for r in toxicity.scored(df, m, ["doc_id"]).collect():
+        words = re.findall("[a-z0-9]+", (texts[r.doc_id] or "").lower())
+        raw = [np.frombuffer(w.encode(), np.uint8) for w in words]
+        name = lambda b: int(toxicity.Rolling(b).of(np.array([0]), np.array([len(b)]))[0])
+        part = lambda b, p: (name(b[:p]) + p) % (1 << 64)
+        x = [sum(m.table[h % (toxicity.BUCKETS - 1) + 1].astype(float) for h in [name(b), *(part(b, p) for p in toxicity.PREFIXES)]) for b in raw]
+        x += [np.zeros(toxicity.WIDTH)] * toxicity.GAP
+        stretches = []
+        for lo in range(0, len(raw), toxicity.STRETCH):
+            # a text's last stretch also looks at the empty rows that end it
+            last = min(lo + toxicity.STRETCH, len(raw)) if lo + toxicity.STRETCH < len(raw) else len(raw) + toxicity.GAP
+            own = []
+            for w, kernel in m.kernels.items():
+                y = [sum((x[i + o] if i + o < len(x) else np.zeros(toxicity.WIDTH)) @ kernel[o] for o in range(w)) for i in range(lo, last)]
+                own += list(np.maximum(np.max(y, axis=0) + m.biases[w], 0))
+            stretches.append(own)
+        f = sum(toxicity.FILTERS.values())
+        features = np.concatenate([np.max(stretches, axis=0), np.mean(stretches, axis=0)]) if stretches else np.zeros(2 * f)
+        z = m.scale[0] * (features @ m.out + m.bias) + m.scale[1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 2e-3, (r.doc_id, len(words))
+
+
+def test_sample_takes_whole_texts_within_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", {0: 4000, 1: 3000})
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs, weights: seen.update(texts=texts, y=y))
+    texts = [prose(40) + (" tail" if i % 2 else "") for i in range(100)] + ["long " * 2000 + "end"]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(101)] * 2, "doc_id long, toxic int")
+    toxicity.fitted(documents(spark, texts).unionByName(documents(spark, texts[:30])), marks)
+    assert set(seen["texts"]) <= set(texts[:100]) and len(set(seen["y"])) == 2
+    for c in (0, 1):
+        own = [len(t) for t, y in zip(seen["texts"], seen["y"]) if y == c]
+        assert 2000 < sum(own) <= (4000, 3000)[c]
+
+
+def walked(rows, shards, nodes):
+    """Rows (doc_id, text) one by one: {row number: (shard, slot)}, by a sequential walk of the ring."""
+    place = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:12], 16)
+    points = sorted((place(f"{i % shards}:{i // shards}"), i % shards) for i in range(shards * nodes))
+    arcs = defaultdict(list)
+    for k, (doc, text) in enumerate(rows):
+        p = place(text or "")
+        arcs[next((i for i, (at, _) in enumerate(points) if p <= at), 0)].append(k)
+    ways = {i: list(dict.fromkeys(points[(i + d) % len(points)][1] for d in range(len(points)))) for i in arcs}
+    cells = max(1, -(-len(rows) // ring.CELL_ROWS))
+    key = lambda k: (lambda tie: (tie % cells, tie, rows[k][0], len((rows[k][1] or "").encode()) + 1, zlib.crc32((rows[k][1] or "").encode())))(place(f"tie:{rows[k][0]}"))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    left, filled, out = {i: sorted(own, key=key) for i, own in arcs.items()}, [0] * shards, {}
+    for r in range(shards):
+        for i in sorted(arcs):
+            s = ways[i][r]
+            taken, left[i] = left[i][: room[s]], left[i][room[s] :]
+            room[s] -= len(taken)
+            for k in taken:
+                out[k] = (s, filled[s])
+                filled[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("cell", [2048, 16])
+def test_shards_against_a_sequential_walk(spark, monkeypatch, cell):
+    monkeypatch.setattr(ring, "CELL_ROWS", cell)
+    texts = [prose(5) for _ in range(200)] + ["same"] * 150 + [None, "", "é" * 9]
+    want = walked(list(enumerate(texts)), ring.SHARDS, ring.VIRTUAL_NODES)
+    assert {r.doc_id: (r.shard, r.slot) for r in ring.sharded(documents(spark, texts)).collect()} == want
+
+
 def test_shards_are_even_and_stable(spark, odd):
     df = documents(spark, [prose(5) for _ in range(500)] + ["same"] * 300)
     out = ring.sharded(df).collect()
@@ -437,6 +532,39 @@ def test_planted_passages_are_found(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def least_edits(item, text):
+    """Of item and any stretch of text, letter by letter."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_contamination_against_brute_force(spark):
+    items = [prose(k) for k in (3, 4, 6, 10, 20, 30)] + ["tiny", "a b", "Word!", "no", "?!"]
+    plain = lambda t: " ".join(re.findall("[a-z0-9]+", (t or "").lower()))
+    texts = [prose(12) for _ in range(20)] + ["a b", "so tiny a thing", "atiny", "word, no", "nothing", "tiny", "", None]
+    for i in range(90):
+        s = list(items[i % 6])
+        for _ in range(rng.randint(0, int(0.14 * len(s)))):
+            p = rng.randrange(len(s))
+            s[p : p + 1] = rng.choice([[], [rng.choice("abc")], [rng.choice("xyz"), s[p]]])
+        texts.append(prose(rng.randint(0, 9)) + " " + "".join(s) + " " + prose(rng.randint(0, 9)))
+    want = set()
+    for i, t in enumerate(map(plain, texts)):
+        for k, it in enumerate(map(plain, items)):
+            if len(it) >= decontam.Q and least_edits(it, t) <= decontam.edits(len(it)) or 0 < len(it) < decontam.Q and f" {it} " in f" {t} ":
+                want.add((i, k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(documents(spark, texts), bench).collect()}
+    assert found == want and any(k >= 6 for _, k in want) and len(want) > 40
+    long = prose(300)  # an item that starts before the text
+    assert decontam.contaminated(documents(spark, [long + " end", prose(30)]), spark.createDataFrame([(1, "start of it " + long)], "item_id long, text string")).count() == 1
+
+
 def test_index_in_pieces_finds_the_same(spark, odd, monkeypatch):
     items = [prose(30) for _ in range(6)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -470,6 +598,9 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     out = bitsliced.top_k(df, F.col("vec_id") % 100 == 0).collect()
     assert sorted(map(tuple, out)) == sorted(want)
     assert bitsliced.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    huge = bitsliced.BitSlices.of(np.arange(2), np.array([[1 << 40], [3]]))
+    with pytest.raises(OverflowError):
+        huge.top(np.array([1 << 40]), 1, 0)
 
 
 def test_buffers_of_slices_and_nulls():

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from compare import of_spark
+from pyspark.sql import functions as F
 
 from framelake.llm import decontam, neardup
 
@@ -32,3 +33,23 @@ def test_stages(spark, sf):
 
 def test_reruns_agree(spark, sf):
     assert of_spark(corpus_pipeline.run(spark, sf)) == of_spark(corpus_pipeline.run(spark, sf))
+
+
+def test_stages_handle_odd_rows(spark, sf):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named like those that stages use inside."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    odd = [(None, None, None, None, None), (-1, "", "", "", 0), (-2, "w " * 30_000, None, "x", 1), (-3, "?!", "en", None, None), (-3, "other words of one id", "en", None, None), (None, "null id", "en", "x", 3)]
+    rows = docs.unionByName(spark.createDataFrame(odd + odd[:3], docs.schema))
+    for c in ("mark", "key", "node", "label", "_node_of_row", "_mark_of_row", "copies", "copy", "nth", "key_doc_id", "_nth", "score", "size", "taken", "target", "at", "arc", "text_"):
+        rows = rows.withColumn(c, F.lit("kept"))
+    n, before = rows.count(), rows
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.staged(stage(spark, before, sf), "odd")
+        assert set(before.columns) <= set(after.columns) and all(r.copies == r.mark == r.nth == r.score == r["at"] == "kept" for r in after.select("copies", "mark", "nth", "score", "at").collect()), name
+        if name == "toxicity":
+            assert after.count() >= n - 2
+        if name == "near duplicates":
+            ids = sorted(r.doc_id for r in after.where("doc_id < 0").collect())
+            assert ids == [-3, -3, -2, -1] and after.where("doc_id IS NULL").count() == 2
+        before = after
+    assert before.count() > 0 and before.where("slot IS NULL").count() == 0
