@@ -70,6 +70,16 @@ def panorama(media: DataFrame, suggestions: DataFrame) -> DataFrame:
     return one.select(F.explode(pairs).alias("x")).select("x.*")
 
 
+def panorama_by(media: DataFrame) -> DataFrame:
+    """facet (year, camera, extension), value, n: counts by year (null: no date), by shown camera name, by extension."""
+    year = media.groupBy(F.coalesce(F.year("taken_at").cast("string"), F.lit("no date")).alias("value")).agg(F.count("*").alias("n"))
+    pairs = media.groupBy("make", "model").agg(F.count("*").alias("n"))
+    camera = pairs.groupBy(F.coalesce(camera_name(F.col("make"), F.col("model")), F.lit("unknown")).alias("value")).agg(F.sum("n").alias("n"))
+    ext = media.groupBy(F.col("ext").alias("value")).agg(F.count("*").alias("n"))
+    parts = [x.select(F.lit(name).alias("facet"), "value", "n") for name, x in (("year", year), ("camera", camera), ("extension", ext))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def year_by_source(media: DataFrame) -> DataFrame:
     return media.groupBy(F.coalesce(F.year("taken_at").cast("string"), F.lit("no date")).alias("year"), "source_id").agg(F.count("*").alias("n"))
 
@@ -87,22 +97,21 @@ def statistics(media: DataFrame) -> DataFrame:
 
 def _known(media: DataFrame, sources: DataFrame) -> DataFrame:
     """One row for each photo known by its path, over all sources that hold it."""
-    reach = F.broadcast(sources.select("source_id", "available"))
+    reach = sources.select("source_id", "available")
     path = F.lower(F.concat("folder", F.lit("/"), "name"))
     per = media.join(reach, "source_id").withColumn("reachable", F.col("available") & ~F.col("missing") & ~F.col("offline"))
     per = per.withColumn("ready", F.col("reachable") & (F.col("role") == "holding"))
-    return per.groupBy(path.alias("path")).agg(F.count("*").alias("records"), F.max("reachable").alias("reachable"), F.max("ready").alias("ready"), F.collect_set("source_id").alias("held_by"), F.min("folder").alias("folder"))
+    return per.groupBy(path.alias("path")).agg(F.count("*").alias("records"), F.max("reachable").alias("reachable"), F.max("ready").alias("ready"), F.min("folder").alias("folder"))
 
 
 def inventory(media: DataFrame, sources: DataFrame) -> DataFrame:
-    """Photos by root volume: how many are known, within reach and ready, and by how many sources."""
-    known = _known(media, sources)
-    return known.groupBy(root_of(F.col("folder")).alias("root")).agg(
-        F.count("*").alias("photos"),
-        F.count_if("reachable").alias("reachable"),
-        F.count_if("ready").alias("ready"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("held_by")))).cast("long").alias("sources"),
-    )
+    """Photos by root volume: how many are known, within reach and ready, and by how many sources.
+
+    The sources are counted over folders, of which there are far fewer than files.
+    """
+    photos = _known(media, sources).groupBy(root_of(F.col("folder")).alias("root")).agg(F.count("*").alias("photos"), F.count_if("reachable").alias("reachable"), F.count_if("ready").alias("ready"))
+    held = media.select("folder", "source_id").distinct().groupBy(root_of(F.col("folder")).alias("root")).agg(F.countDistinct("source_id").alias("sources"))
+    return photos.join(held, "root")
 
 
 def funnel(media: DataFrame, sources: DataFrame) -> DataFrame:
@@ -114,8 +123,9 @@ def namespace_weight(keywords: DataFrame) -> DataFrame:
 
 
 def siblings(media: DataFrame) -> DataFrame:
-    """Captures of one moment and camera that exist in several formats."""
-    per = media.where("taken_at IS NOT NULL").groupBy("source_id", F.date_trunc("hour", "taken_at").alias("hour"), "make", "model")
+    """Holdings of one exact moment, source and known camera that exist in several formats."""
+    own = media.where("role = 'holding' AND taken_at IS NOT NULL AND (make IS NOT NULL OR model IS NOT NULL)")
+    per = own.groupBy("source_id", "taken_at", "make", "model")
     return per.agg(F.count("*").alias("n"), F.countDistinct("ext").alias("exts"), F.array_join(F.array_sort(F.collect_set("ext")), "+").alias("formats")).where("exts > 1")
 
 

@@ -28,6 +28,7 @@ class Context:
 @dataclass(frozen=True)
 class MediaFilters:
     reach: str = "all"
+    role: str | None = None
     search: str | None = None
     ext: str | None = None
     month: str | None = None
@@ -46,7 +47,7 @@ def ready(media: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     own = media.where((F.col("role") == "holding") & ~F.col("missing") & ~F.col("offline"))
     if sources is None:
         return own
-    return own.join(F.broadcast(sources.where("NOT available").select("source_id")), "source_id", "left_anti")
+    return own.join(sources.where("NOT available").select("source_id"), "source_id", "left_anti")
 
 
 def under_folder(path: str) -> Column:
@@ -96,7 +97,7 @@ def filtered(media: DataFrame, filters: MediaFilters, context: Context = Context
     if filters.reach != "all":
         inside = (F.col("role") == "holding") & ~F.col("missing") & ~F.col("offline")
         if context.sources is not None:
-            reachable = F.broadcast(context.sources.select("source_id", F.col("available").alias("_available")))
+            reachable = context.sources.select("source_id", F.col("available").alias("_available"))
             out = out.join(reachable, "source_id", "left")
             inside = inside & F.coalesce("_available", F.lit(True))
         out = out.where(inside if filters.reach == "ready" else ~inside).select(*media.columns)
@@ -108,7 +109,7 @@ def filtered(media: DataFrame, filters: MediaFilters, context: Context = Context
             out = out.join(tagged, out["id"] == F.col("_tagged"), "left")
             hit = hit | F.col("_tagged").isNotNull()
         out = out.where(hit).select(*media.columns)
-    for name, column in (("ext", "ext"), ("source_id", "source_id")):
+    for name, column in (("ext", "ext"), ("source_id", "source_id"), ("role", "role")):
         if getattr(filters, name) is not None:
             conditions.append(F.col(column) == getattr(filters, name))
     if filters.month:
@@ -167,11 +168,8 @@ def parse_tokens(text: str) -> MediaFilters:
             raise ValueError(f"field {name!r} is given twice")
         else:
             found[TOKENS[name]] = value
-    if "role" in found:
-        role = found.pop("role")
-        if role not in ("holding", "witness"):
-            raise ValueError(f"unknown role {role!r}")
-        found["reach"] = "ready" if role == "holding" else "lacking"
+    if found.get("role", "holding") not in ("holding", "witness"):
+        raise ValueError(f"unknown role {found['role']!r}")
     if free:
         found["search"] = " ".join(free)
     return MediaFilters(**found)
@@ -179,8 +177,8 @@ def parse_tokens(text: str) -> MediaFilters:
 
 def serialise_tokens(filters: MediaFilters) -> str:
     """The text that parse_tokens reads back to the same filters."""
-    back = {v: k for k, v in TOKENS.items() if k != "role"}
-    words = [f'{back[f.name]}:"{getattr(filters, f.name)}"' for f in fields(filters) if f.name in back and getattr(filters, f.name) is not None]
-    if filters.reach != "all":
-        words.insert(0, f"role:{'holding' if filters.reach == 'ready' else 'witness'}")
-    return " ".join([*words, *([f'"{filters.search}"'] if filters.search else [])])
+    from shlex import quote
+
+    back = {v: k for k, v in TOKENS.items()}
+    words = [f"{back[f.name]}:{quote(getattr(filters, f.name))}" for f in fields(filters) if f.name in back and getattr(filters, f.name) is not None]
+    return " ".join([*words, *([quote(filters.search)] if filters.search else [])])

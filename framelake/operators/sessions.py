@@ -66,6 +66,12 @@ def by_rhythm(df: DataFrame, key: str, time: str, floor_s: float, always_s: floa
     return rows.withColumn("_cut", cut.cast("int")).withColumn("event", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_gap", "_usual", "_moved", "_cut")
 
 
+def by_policy(df: DataFrame, key: list[str], time: str, is_trip: str, event: str, most_hours: float = 20.0) -> DataFrame:
+    """block of each row: 0 for all of a session (key) that is a trip or spans over most_hours, else its event."""
+    spans = df.where(F.col(time).isNotNull()).groupBy(*key).agg(((seconds(F.max(time), F.min(time)) > most_hours * 3600) | F.bool_or(is_trip)).alias("_whole"))
+    return df.where(F.col(time).isNotNull()).join(spans, key).withColumn("block", F.when(F.col("_whole"), F.lit(0)).otherwise(F.col(event)).cast("long")).drop("_whole")
+
+
 def absorb_small(blocks: DataFrame, key: str, block: str, size: str, least: int = 10) -> DataFrame:
     """merged block of each block: a small one joins the block before it, a small first group the one after it."""
     w = Window.partitionBy(key).orderBy(block)
@@ -95,7 +101,9 @@ def legs(df: DataFrame, session: list[str], place: str, time: str, least: int =
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Of an even number of values the upper one of the middle two."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.get(F.array_sort(F.collect_list(value)), (F.count("*") / 2).cast("int")).alias("median"))
+    w = Window.partitionBy(*keys)
+    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("median"), F.row_number().over(w.orderBy(value)).alias("_i"), F.count("*").over(w).alias("n"))
+    return ranked.where("_i = n div 2 + 1").select(*keys, "n", "median")
 
 
 def overlapping(spans: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:

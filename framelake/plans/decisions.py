@@ -22,23 +22,42 @@ def dup_exact(spark, sf):
     return duplicates.exact(docs, F.col("text").cast("binary"), F.octet_length("text"), "doc_id")
 
 
-_BITS = ", ".join(f"CAST((length(text) - length(replace(text, '{t}', ''))) / {len(t)} AS BIGINT) % 2" for t in duplicates.TRAITS)
+#: Signs of embeddings, and of each a twin with its first 0 to 11 bits turned.
+_SIGNED = """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+s AS (SELECT 2 * vec_id AS id, b FROM v UNION ALL SELECT 2 * vec_id + 1, list_transform(range(1, 65), lambda i: CASE WHEN i <= vec_id % 12 THEN 1 - b[i] ELSE b[i] END) FROM v),
+u AS (SELECT b, min(id) AS id, count(*) AS n, row_number() OVER (ORDER BY min(id)) AS k FROM s GROUP BY b),
+p AS (SELECT x.id AS a, y.id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i]))) AS INTEGER) AS distance FROM u x JOIN u y ON x.id < y.id)"""
+_GREEDY = _SIGNED + """, near AS (SELECT a, b, distance FROM p WHERE distance <= 8 UNION ALL SELECT b, a, distance FROM p WHERE distance <= 8),
+nb AS (SELECT u.k, u.id, u.n, coalesce(list(struct_pack(id := near.b, d := CAST(distance AS BIGINT))) FILTER (near.b IS NOT NULL), []) AS ns FROM u LEFT JOIN near ON near.a = u.id GROUP BY 1, 2, 3),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seen, CAST([] AS STRUCT(seed BIGINT, id BIGINT, d BIGINT)[]) AS found UNION ALL
+  SELECT nb.k, CASE WHEN list_contains(seen, nb.id) THEN seen ELSE list_concat(list_concat(seen, [nb.id]), CASE WHEN n = 1 THEN list_transform(list_filter(ns, lambda x: NOT list_contains(seen, x.id)), lambda x: x.id) ELSE [] END) END,
+    CASE WHEN list_contains(seen, nb.id) THEN found ELSE list_concat(list_concat(found, [struct_pack(seed := nb.id, id := nb.id, d := CAST(0 AS BIGINT))]),
+      CASE WHEN n = 1 THEN list_transform(list_filter(ns, lambda x: NOT list_contains(seen, x.id)), lambda x: struct_pack(seed := nb.id, id := x.id, d := x.d)) ELSE [] END) END FROM r JOIN nb ON nb.k = r.k + 1),
+g AS (SELECT unnest(found) AS x FROM r WHERE k = (SELECT max(k) FROM r)), m AS (SELECT x.seed AS seed, s.id, x.d AS distance FROM g JOIN u ON u.id = x.id JOIN s ON s.b = u.b)
+SELECT seed, id, distance FROM m WHERE seed IN (SELECT seed FROM m GROUP BY 1 HAVING count(*) > 1)"""
 
 
 def _signed(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), duplicates.text_signature(F.col("text")).alias("sig"))
+    own = spark.read.parquet(f"{sf}/embeddings.parquet").select((2 * F.col("vec_id")).alias("id"), duplicates.sign_bits(F.col("embedding")).alias("sig"))
+    turned = F.col("sig").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), ((F.col("id") / 2) % 12).cast("int")) - 1)
+    return own.unionByName(own.select((F.col("id") + 1).alias("id"), turned.alias("sig")))
 
 
-@query(f"""WITH s AS (SELECT doc_id AS id, [{_BITS}] AS b FROM documents), u AS (SELECT b, min(id) AS id FROM s GROUP BY b),
-p AS (SELECT x.id AS a, y.id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i]))) AS INTEGER) AS distance FROM u x JOIN u y ON x.id < y.id)
-SELECT a, b, distance FROM p WHERE distance <= 8 UNION ALL SELECT u.id, s.id, 0 FROM s JOIN u ON s.b = u.b WHERE s.id <> u.id""")
+@query(_SIGNED + " SELECT a, b, distance FROM p WHERE distance <= 8")
 def dup_hamming_pairs(spark, sf):
-    return duplicates.near_pairs(_signed(spark, sf))
+    return duplicates.near_pairs(_signed(spark, sf).groupBy("sig").agg(F.min("id").alias("id")))
 
 
-@query()
+@query(_GREEDY)
 def dup_greedy_groups(spark, sf):
-    return duplicates.greedy_groups(duplicates.near_pairs(_signed(spark, sf)))
+    return duplicates.greedy_groups(_signed(spark, sf))
+
+
+@query(CATALOG_SQL + """SELECT event_type, user_id, count(*) AS n, count(DISTINCT ext) > 1 AND bool_or(ext = 'cr3') AS is_variant FROM media GROUP BY 1, 2""")
+def dup_variants(spark, sf):
+    m = catalog.media(spark, sf).withColumns({"name": F.concat(F.lit("IMG."), "ext"), "grp": F.concat("event_type", F.lit("|"), "user_id")})
+    out = duplicates.is_variant(m, "grp")
+    return out.select(F.split_part("grp", F.lit("|"), F.lit(1)).alias("event_type"), F.split_part("grp", F.lit("|"), F.lit(2)).cast("long").alias("user_id"), "n", "is_variant")
 
 
 @query(CATALOG_SQL + """, k AS (SELECT media_id, count(*) AS richness FROM keywords GROUP BY 1), m AS (
@@ -110,10 +129,10 @@ def suggestions_from_evidence(spark, sf):
     return suggest.suggested(suggest.evidence(catalog.media(spark, sf), catalog.places(spark, sf)))
 
 
-@query(CATALOG_SQL + """, r AS (SELECT s.*, folder FROM suggestions s JOIN media ON id = media_id), f AS (
+@query(CATALOG_SQL + """, r AS (SELECT s.*, folder, gps_lat, location_id, missing, offline FROM suggestions s JOIN media ON id = media_id), f AS (
   SELECT destination, folder, count(*) AS n, row_number() OVER (PARTITION BY destination ORDER BY count(*) DESC, folder) AS rank FROM r GROUP BY 1, 2)
 SELECT destination, count(*) AS n, CASE min(CASE level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS level,
-  count(*) FILTER (status = 'pending') AS pending, (SELECT string_agg(folder, ', ' ORDER BY rank) FROM f WHERE f.destination = r.destination AND rank <= 3) AS folders FROM r GROUP BY destination""")
+  count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (gps_lat IS NULL AND location_id IS NOT NULL) AS estimated, count(*) FILTER (missing OR offline) AS unreachable, (SELECT string_agg(folder, ', ' ORDER BY rank) FROM f WHERE f.destination = r.destination AND rank <= 3) AS folders FROM r GROUP BY destination""")
 def suggestion_groups(spark, sf):
     return suggest.groups(catalog.suggestions(spark, sf), catalog.media(spark, sf))
 
@@ -128,22 +147,33 @@ def orphan_purge(spark, sf):
     return suggest.purged(catalog.suggestions(spark, sf), filters.ready(catalog.media(spark, sf)))
 
 
-_PLAN = CATALOG_SQL + """, p AS (SELECT media_id, destination, folder || '/' || name AS source, regexp_replace(name, '[0-9]+', '', 'g') AS base FROM suggestions JOIN media ON id = media_id WHERE status IN ('approved', 'corrected')),
-n AS (SELECT *, row_number() OVER (PARTITION BY destination, base ORDER BY media_id) AS nth FROM p),
-plan AS (SELECT media_id, source, destination || '/' || regexp_replace(base, '\\.[^.]*$', '') || CASE WHEN nth > 1 THEN ' (' || nth || ')' ELSE '' END || regexp_extract(base, '\\.[^.]*$') AS target FROM n)
+_PLAN = CATALOG_SQL + """, p AS (SELECT media_id, destination, folder || '/' || name AS source, CASE WHEN media_id % 50 = 1 THEN 'IMG (2).' || ext WHEN media_id % 10 = 1 THEN 'IMG.' || ext ELSE name END AS name
+  FROM suggestions JOIN media ON id = media_id WHERE status IN ('approved', 'corrected') AND media_id % 17 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY destination, name ORDER BY media_id) AS nth, regexp_replace(name, '\\.[^.]*$', '') AS stem, regexp_extract(name, '\\.[^.]*$') AS ext FROM p),
+c AS (SELECT *, nth + CASE WHEN stem = 'IMG' AND EXISTS (SELECT 1 FROM n o WHERE o.destination = n.destination AND o.name = 'IMG (2)' || n.ext) THEN 1 ELSE 0 END AS k FROM n),
+plan AS (SELECT media_id, source, destination || '/' || CASE WHEN nth = 1 THEN name ELSE stem || ' (' || k || ')' || ext END AS target,
+  CASE WHEN nth > 1 THEN 'taken; renamed to ' || stem || ' (' || k || ')' || ext END AS conflict FROM c)
 """
 
 
+def _plan(spark, sf):
+    m = catalog.media(spark, sf)
+    name = F.when(F.col("id") % 50 == 1, F.concat(F.lit("IMG (2)."), "ext")).when(F.col("id") % 10 == 1, F.concat(F.lit("IMG."), "ext")).otherwise(F.col("name"))
+    copied = m.where("id % 17 = 0").select(F.col("id").alias("media_id"))
+    plan = suggest.copy_plan(catalog.suggestions(spark, sf), m.withColumn("name", name), copied)
+    return plan.drop("source").join(m.select(F.col("id").alias("media_id"), F.concat("folder", F.lit("/"), "name").alias("source")), "media_id")
+
+
 @query(_PLAN + "SELECT * FROM plan")
 def copy_plan(spark, sf):
-    return suggest.copy_plan(catalog.suggestions(spark, sf), catalog.media(spark, sf))
+    return _plan(spark, sf)
 
 
 @query(_PLAN + """SELECT CASE WHEN missing THEN 'missing' WHEN offline THEN 'offline' WHEN read_error IS NOT NULL THEN 'unreadable' WHEN bytes = 0 THEN 'empty' ELSE 'fine' END AS verdict,
   count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM plan JOIN media ON id = media_id GROUP BY 1""")
 def audit_verdict(spark, sf):
     m = catalog.media(spark, sf)
-    return suggest.verdicts(suggest.copy_plan(catalog.suggestions(spark, sf), m), m)
+    return suggest.verdicts(_plan(spark, sf), m)
 
 
 @query(CATALOG_SQL + """SELECT v.variant, count(*) AS n, count(*) FILTER (CASE v.variant WHEN 'by_value' THEN (value > 50) WHEN 'by_place' THEN (location_id IS NOT NULL) ELSE true END = (gps_lat IS NOT NULL)) AS right
@@ -171,7 +201,7 @@ def embedding_cosine(spark, sf):
 SELECT user_id, CASE WHEN home_km > 100 THEN 'trip' WHEN country IS NOT NULL AND days >= 3 AND home_km IS NULL THEN 'trip' WHEN days <= 2 THEN 'occasion' ELSE 'neutral' END AS kind,
   CASE WHEN home_km > 100 THEN coalesce(country, 'u_' || user_id) WHEN country IS NOT NULL AND days >= 3 AND home_km IS NULL THEN country WHEN days <= 2 THEN 'u_' || user_id END AS label FROM s""")
 def session_kinds(spark, sf):
-    m = catalog.media(spark, sf).where("taken_at IS NOT NULL").join(F.broadcast(catalog.places(spark, sf)), "location_id", "left")
+    m = catalog.media(spark, sf).where("taken_at IS NOT NULL").join(catalog.places(spark, sf), "location_id", "left")
     per = m.groupBy("user_id").agg(
         F.min("folder").alias("folder"),
         F.date_diff(F.max("taken_at"), F.min("taken_at")).alias("days"),
@@ -184,7 +214,7 @@ def session_kinds(spark, sf):
 @query(CATALOG_SQL + """SELECT id, concat_ws('/', CASE event_type WHEN 'click' THEN 'received' ELSE 'photo' END, concat_ws(' - ', CAST(year(taken_at) AS VARCHAR), 'u_' || user_id), country) AS target
   FROM media LEFT JOIN places USING (location_id)""")
 def template_targets(spark, sf):
-    m = catalog.media(spark, sf).join(F.broadcast(catalog.places(spark, sf)), "location_id", "left")
+    m = catalog.media(spark, sf).join(catalog.places(spark, sf), "location_id", "left")
     kind = F.when(F.col("event_type") == "click", "received").otherwise("photo")
     fields = {"categoria": kind, "ano": F.year("taken_at").cast("string"), "viagem": F.concat(F.lit("u_"), "user_id"), "pais": F.col("country")}
     return m.select("id", templates.render(templates.DEFAULT, fields).alias("target"))

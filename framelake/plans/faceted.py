@@ -78,7 +78,7 @@ def filter_low_confidence_semi(spark, sf):
     return _filtered(spark, sf, gap="low_confidence").select("id")
 
 
-@query(CATALOG_SQL + f"SELECT id, name FROM media WHERE {REACH} AND ext = 'png' AND coalesce(make, '') || ' ' || coalesce(model, '') ILIKE '%iPhone 15%'")
+@query(CATALOG_SQL + "SELECT id, name FROM media WHERE role = 'holding' AND ext = 'png' AND coalesce(make, '') || ' ' || coalesce(model, '') ILIKE '%iPhone 15%'")
 def filter_token_language(spark, sf):
     return filters.filtered(catalog.media(spark, sf), filters.parse_tokens('role:holding ext:png camera:"iPhone 15"'), _context(spark, sf)).select("id", "name")
 
@@ -188,10 +188,11 @@ def namespace_weight(spark, sf):
     return facets.namespace_weight(catalog.keywords(spark, sf))
 
 
-@query(CATALOG_SQL + """SELECT source_id, date_trunc('hour', taken_at) AS hour, make, model, count(*) AS n, count(DISTINCT ext) AS exts,
-  array_to_string(list_sort(list(DISTINCT ext)), '+') AS formats FROM media WHERE taken_at IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT ext) > 1""")
+@query(CATALOG_SQL + """SELECT source_id, date_trunc('hour', taken_at) AS taken_at, make, model, count(*) AS n, count(DISTINCT ext) AS exts,
+  array_to_string(list_sort(list(DISTINCT ext)), '+') AS formats FROM media WHERE taken_at IS NOT NULL AND role = 'holding' AND (make IS NOT NULL OR model IS NOT NULL) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT ext) > 1""")
 def siblings_having(spark, sf):
-    return facets.siblings(catalog.media(spark, sf))
+    hours = F.date_trunc("hour", "taken_at").cast("timestamp_ntz")  # clocks of the hour, so that captures coincide
+    return facets.siblings(catalog.media(spark, sf).withColumn("taken_at", hours))
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice, CAST(rank AS INTEGER) AS rank FROM (

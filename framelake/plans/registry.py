@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from framelake.plans import decisions, faceted, keeping, timelines  # noqa: E402, F401  they fill the tables above
+from framelake.plans import cards, decisions, faceted, keeping, timelines  # noqa: E402, F401  they fill the tables above

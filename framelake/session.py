@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -29,14 +26,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session takes a folder in its warehouse; on a cluster it must be set, as a folder of
+    one machine would lose what the others write.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="framelake-")
-    return _FALLBACK[app]
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/framelake-scratch"
 
 
 def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

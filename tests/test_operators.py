@@ -126,7 +126,8 @@ def test_filters_reject_what_they_do_not_know(spark, sf):
     for bad in ("colour:red", "ext:jpg ext:png", "role:other", "ext:"):
         with pytest.raises(ValueError):
             filters.parse_tokens(bad)
-    text = 'role:holding ext:jpg camera:"EOS R6" sea side'
+    text = """role:witness ext:jpg camera:"EOS R6" folder:'/a "b" c' sea side"""
+    assert filters.parse_tokens(text).folder == '/a "b" c' and filters.parse_tokens(text).reach == "all"
     assert filters.parse_tokens(filters.serialise_tokens(filters.parse_tokens(text))) == filters.parse_tokens(text)
 
 
@@ -139,22 +140,121 @@ def test_signatures_differ_by_at_most_eight(spark):
         for b in rng.sample(range(63), rng.randint(0, 10)):
             x ^= 1 << b
         rows.append((100 + i, x))
-    out = duplicates.near_pairs(spark.createDataFrame(rows, "id long, sig long")).collect()
-    per = {}
-    for i, s in rows:
-        per.setdefault(s, []).append(i)
-    first = {s: min(v) for s, v in per.items()}
-    want = {(min(a, b), max(a, b)) for s, a in first.items() for t, b in first.items() if s != t and bin(s ^ t).count("1") <= 8}
-    want |= {(min(v), i) for v in per.values() for i in v if i != min(v)}
-    assert {(r.a, r.b) for r in out} == want
+    first = {}
+    for i, x in rows:
+        first.setdefault(x, i)
+    out = duplicates.near_pairs(spark.createDataFrame([(i, x) for x, i in first.items()], "id long, sig long")).collect()
+    want = {(min(a, b), max(a, b)): bin(s ^ t).count("1") for s, a in first.items() for t, b in first.items() if s != t and bin(s ^ t).count("1") <= 8}
+    assert {(r.a, r.b): r.distance for r in out} == want
 
 
 def test_greedy_groups_in_id_order(spark):
-    pairs = spark.createDataFrame([(1, 2, 3), (2, 3, 0), (1, 4, 5), (3, 4, 2), (7, 8, 0), (7, 9, 4)], "a long, b long, distance int")
+    rng = random.Random(6)
+    base, rows = [rng.getrandbits(63) for _ in range(8)], []
+    for i in range(160):
+        x = base[i % 8]
+        for b in rng.sample(range(63), rng.choice([0, 1, 3, 4, 5, 6])):
+            x ^= 1 << b
+        rows.append((i, x))
+    rng.shuffle(rows)
+    sig, free, want = dict(rows), sorted(i for i, _ in rows), {}
+    while free:
+        seed = free[0]
+        same = [i for i in free[1:] if sig[i] == sig[seed]]
+        own = same or [i for i in free[1:] if bin(sig[i] ^ sig[seed]).count("1") <= 8]
+        if own:
+            want[seed] = {seed, *own}
+        free = [i for i in free if i != seed and i not in own]
     out = {}
-    for r in duplicates.greedy_groups(pairs).collect():
+    for r in duplicates.greedy_groups(spark.createDataFrame(rows, "id long, sig long")).collect():
+        assert r.distance == bin(sig[r.seed] ^ sig[r.id]).count("1")
         out.setdefault(r.seed, set()).add(r.id)
-    assert out == {1: {1, 2, 4}, 7: {7, 8}}
+    assert out == want and len(want) > 10
+
+
+def test_copy_plan_keeps_names_and_numbers_collisions(spark):
+    from framelake.operators import ranks, suggest
+
+    names = ["IMG_1234.jpg", "IMG_9876.jpg", "a.jpg", "a.jpg", "a (2).jpg", "a.jpg", "a (4).jpg", "a.jpg", ".hidden", ".hidden", "b", "b", "x.jpg", "y.jpg", "a (2).jpg"]
+    media = spark.createDataFrame([(i, "/src", n) for i, n in enumerate(names)], "id long, folder string, name string")
+    said = spark.createDataFrame([(i, {12: "../up", 13: "x/./ y "}.get(i, "d"), "approved") for i in range(len(names))], "media_id long, destination string, status string")
+    out = {r.media_id: (r.target, r.conflict) for r in suggest.copy_plan(said, media).collect()}
+    targets = [out[i][0] for i in range(len(names))]
+    assert targets == ["d/IMG_1234.jpg", "d/IMG_9876.jpg", "d/a.jpg", "d/a (3).jpg", "d/a (2).jpg", "d/a (5).jpg", "d/a (4).jpg", "d/a (6).jpg", "d/.hidden", "d/.hidden (2)", "d/b", "d/b (2)", "", "x/y/y.jpg", "d/a (2) (2).jpg"]
+    assert out[3][1] == "taken; renamed to a (3).jpg" and out[12][1] == "unsafe destination" and out[0][1] is None
+    left = suggest.copy_plan(said, media, said.where("media_id < 2"), said.where("media_id = 4"), root="/src/out").collect()
+    assert {r.media_id for r in left} == set(range(len(names))) - {0, 1, 4} and all(r.conflict for r in left)
+    rows = spark.range(50).select((F.col("id") % 2).alias("g"), "id")
+    got = {r.id: r.n for r in ranks.numbered(rows, ["g"], "id", "n", cell_ids=7).collect()}
+    assert got == {i: i // 2 + 1 for i in range(50)}
+
+
+def test_dates_in_folders(spark):
+    from framelake.functions import folders
+
+    cases = {
+        "Visconde de Maua - Abril 2015": ("Visconde de Maua", "2015-04"), "2025_05_24": ("", "2025-05-24"), "Serena 15 Anos": ("Serena 15 Anos", None), "24.05.2025 Praia": ("Praia", "2025-05-24"),
+        "29 de outubro de 2016": ("", "2016-10-29"), "Pantanal Jul.2023": ("Pantanal", "2023-07"), "2015-13": ("13", "2015"), "novembro 30": ("", None), "Mar 85": ("Mar 85", None), "Rio 2016 04": ("Rio 04", "2016"),
+        "Viagem novembro 30": ("Viagem novembro 30", None), "Março/2015": ("", "2015-03"), "1750": ("1750", None),
+    }
+    rows = folders.part_dates(spark.createDataFrame([(k,) for k in cases], "n string"), "n").withColumn("x", F.struct("year", "month", "day"))
+    assert {r.n: (r.rest, r.label) for r in rows.select("n", "rest", folders.date_label(F.col("x")).alias("label")).collect()} == cases
+    paths = {"/2015/Abril 2015/x": "2015-04", "/2014/Abril 2015": "2015-04", "/Abril 2015/2015": "2015-04", "/a/b": None, "/2015-04-02/2016": "2016"}
+    rows = folders.path_dates(spark.createDataFrame([(k,) for k in paths], "p string"), "p")
+    assert {r.p: r.d for r in rows.select("p", folders.date_label(F.col("date")).alias("d")).collect()} == paths
+    rows = spark.createDataFrame([(999.4, 59.0), (1500.0, 3599.0), (50_000.0, 7200.0), (1000.0, 7260.0)], "m double, s double")
+    assert [tuple(r) for r in rows.select(folders.readable_metres(F.col("m")), folders.readable_time(F.col("s"))).collect()] == [("999 m", "59 s"), ("1,5 km", "59 min"), ("50 km", "2 h"), ("1 km", "2 h 1 min")]
+
+
+def test_nearest_city_meets_across_the_date_line_and_near_poles(spark):
+    from framelake.operators import details
+
+    rng = random.Random(8)
+    points = [(i, rng.uniform(-89.5, 89.5), rng.choice([rng.uniform(-180, 180), rng.uniform(179, 180), rng.uniform(-180, -179)])) for i in range(120)]
+    cities = [(f"c{k}", max(-89.9, min(89.9, points[k % 120][1] + rng.uniform(-1, 1))), (points[k % 120][2] + rng.uniform(-2, 2) + 180) % 360 - 180) for k in range(200)]
+
+    def km(a, b, c, d):
+        import math
+
+        p, q, l = math.radians(a), math.radians(c), math.radians(d - b)
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(l / 2) ** 2)))
+
+    want = {}
+    for i, lat, lon in points:
+        d, c = min((km(lat, lon, y, x), n) for n, y, x in cities)
+        if d <= 120:
+            want[i] = c
+    out = details.nearest_city(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(cities, "city string, city_lat double, city_lon double"), within_km=120.0)
+    assert {r.id: r.city for r in out.collect()} == want and len(want) > 60
+
+
+def test_contracts_of_sources_and_snapshots(spark, tmp_path):
+    from framelake.operators import review
+    from framelake.sources import scan
+
+    rows = spark.createDataFrame([("u", "/p", "n", at(0), "America/Sao_Paulo", 0.0, 0.0, True, ["a"], None)], "uuid string, original_path string, original_name string, date timestamp_ntz, zone string, lat double, lon double, favorite boolean, albums array<string>, keywords array<string>")
+    got = scan.apple_assets(rows)
+    assert got.schema.simpleString() == scan.ASSET.simpleString()
+    r = got.first()
+    assert r.gps_lat is None and (r.taken_at_utc - r.taken_at).total_seconds() == 3 * 3600
+    old, new = spark.range(1), spark.range(1).selectExpr("id", "cast(id as string) as s")
+    assert review.schema_changes(old.schema, new.schema) == ["s is missing"] and review.schema_changes(new.schema, new.selectExpr("cast(id as int) as id", "s").schema) == ["id was bigint"]
+    review.snapshot(old, str(tmp_path), "1")
+    with pytest.raises(Exception):
+        review.snapshot(old, str(tmp_path), "1")
+
+
+def test_reconciliation_freezes_and_wraps(spark):
+    from framelake.sources import scan
+
+    media = spark.createDataFrame([(i, 1 if i != 6 else 2, "/f", f"n{i}", False, i == 2) for i in range(1, 9)], "id long, source_id long, folder string, name string, missing boolean, offline boolean")
+    sources = spark.createDataFrame([(1, True), (2, False)], "source_id long, available boolean")
+    here = media.where("id <> 3").select("id")
+    changed, next_ = scan.reconciled(media, sources, here, 0, rows=4)
+    assert {r.id: r.offline for r in changed.collect()} == {2: False, 3: True} and next_ == 4
+    changed, next_ = scan.reconciled(media, sources, here, 4, rows=4)
+    assert changed.count() == 0 and next_ == 5
+    assert scan.reconciled(media, sources.withColumn("available", F.lit(True)), here, 6, rows=4)[1] == 0
 
 
 def test_components_of_a_chain(spark):
