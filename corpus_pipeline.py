@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs.
+
+Null texts are empty texts to all stages but the near duplicates, to which they are one text for each doc_id. Nulls in
+other columns, equal texts, repeated rows and repeated or null doc_ids are kept apart as rows; near duplicates keep one
+row of a class. Mixing hands on a row as often as the mix takes it, sharding gives each of them a slot. Columns of any
+other names are handed on as they are, but shard and slot are replaced by the last stage. An empty table of documents,
+or one without labels or benchmark items, gives an empty table or passes through.
 """
 
 from __future__ import annotations

@@ -56,7 +56,7 @@ def folder_level(media: DataFrame, prefix: str, ready: Column, limit: int = 400)
 def by_source(media: DataFrame, sources: DataFrame) -> DataFrame:
     """Every source with its number of files, 0 for those without."""
     per = media.groupBy("source_id").agg(F.count("*").alias("n"))
-    return F.broadcast(sources).join(per, "source_id", "left").select("source_id", "kind", "available", F.coalesce("n", F.lit(0)).alias("n"))
+    return sources.join(per, "source_id", "left").select("source_id", "kind", "available", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def panorama(media: DataFrame, suggestions: DataFrame) -> DataFrame:

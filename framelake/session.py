@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -28,15 +33,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Where that is unset, a local session takes a folder in its warehouse; on a cluster it must be set, as a folder of
-    one machine would lose what the others write.
+    Where that is unset, a local session, whose executors are the driver, gets a temporary folder that goes when it
+    ends; on a cluster it must be set, as a folder of one machine would lose what the others write.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/framelake-scratch"
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="framelake-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return f"file://{_OWN[app]}"
 
 
 def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
