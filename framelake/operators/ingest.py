@@ -9,7 +9,9 @@ from framelake.functions.paths import on_filesystem
 
 
 def changes(catalog: DataFrame, seen: DataFrame) -> DataFrame:
-    """path, change of what a scan saw: new, changed (size or mtime by a microsecond) or same."""
+    """path, change of what a scan saw: new, changed (size or mtime by a microsecond) or same; a path seen twice counts
+    as it was seen last."""
+    seen = once(seen.select("path", "bytes", "mtime"), "path", "mtime")
     old = catalog.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_old"))
     apart = F.coalesce(F.abs(F.timestamp_diff("MICROSECOND", F.col("_mtime"), F.col("mtime"))) >= 1, F.lit(True))
     same = F.col("bytes").eqNullSafe(F.col("_bytes")) & (F.col("mtime").eqNullSafe(F.col("_mtime")) | ~apart)
@@ -17,9 +19,16 @@ def changes(catalog: DataFrame, seen: DataFrame) -> DataFrame:
     return seen.join(old, "path", "left").select("path", change.alias("change"))
 
 
+def once(rows: DataFrame, key: str, last: str) -> DataFrame:
+    """One row of each key: that of the largest last, and of the largest values where several have that."""
+    rest = [c for c in rows.columns if c not in (key, last)]
+    return rows.groupBy(key).agg(F.max(F.struct(last, *rest)).alias("_x")).select(key, "_x.*").select(*rows.columns)
+
+
 def upserted(catalog: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
-    """The catalog with seen rows in place of its own; columns as in the catalog."""
-    return catalog.join(seen.select(key), key, "left_anti").unionByName(seen.select(*catalog.columns))
+    """The catalog with seen rows in place of its own, one of each key; columns as in the catalog."""
+    new = seen.select(*catalog.columns)
+    return catalog.join(new.select(key), key, "left_anti").unionByName(once(new, key, next(c for c in ("mtime", *catalog.columns) if c in catalog.columns and c != key)))
 
 
 def gone(catalog: DataFrame, seen: DataFrame, complete: Column | bool = True) -> DataFrame:

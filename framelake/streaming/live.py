@@ -19,11 +19,16 @@ def sessions(stream: DataFrame, key: str = "user_id", gap: str = "3 days", late:
     return stream.withWatermark("ts", late).groupBy(w, key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upserts(stream: DataFrame, target: str, key: str, checkpoint: str) -> DataStreamWriter:
-    """Append each batch's last row of every key as a version; latest() reads the catalog of all versions."""
+def upserts(stream: DataFrame, target: str, key: str, checkpoint: str, time: str = "ts") -> DataStreamWriter:
+    """Append each batch's last row of every key, by time, as a version; latest() reads the catalog of all versions.
+
+    A batch that runs again after a failure writes its own version again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{target}/version={number}")
+        row = F.struct(*(c for c in batch.columns if c != key))
+        last = batch.groupBy(key).agg(F.max_by(row, time).alias("_x")).select(key, "_x.*")
+        last.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

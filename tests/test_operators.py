@@ -264,6 +264,25 @@ def test_components_of_a_chain(spark):
     assert all(out[i] == 0 for i in range(31)) and out[101] == 100 and out[50] == 50
 
 
+def test_repeated_paths_and_versions(spark, tmp_path):
+    from framelake.streaming import live
+
+    old = spark.createDataFrame([("a", 1, at(0)), ("b", 1, at(0))], "path string, bytes long, mtime timestamp_ntz")
+    seen = spark.createDataFrame([("a", 1, at(0)), ("a", 5, at(9)), ("c", 1, at(0)), ("c", 1, at(0))], "path string, bytes long, mtime timestamp_ntz")
+    assert sorted((r.path, r.change) for r in ingest.changes(old, seen).collect()) == [("a", "changed"), ("c", "new")]
+    assert sorted((r.path, r.bytes) for r in ingest.upserted(old, seen).collect()) == [("a", 5), ("b", 1), ("c", 1)]
+    folder = str(tmp_path / "in")
+    for k, rows in enumerate([[(1, 10, "x"), (1, 30, "z"), (1, 20, "y"), (2, 5, "only")], [(1, 40, "later")]]):
+        frame = spark.createDataFrame(rows, "id long, s long, v string").select("id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "v")
+        frame.coalesce(1).write.parquet(f"{folder}/batch{k}")
+        stream = spark.readStream.schema("id long, ts timestamp_ntz, v string").parquet(f"{folder}/batch{k}")
+        query = live.upserts(stream, str(tmp_path / "out"), "id", str(tmp_path / f"ck{k}")).start()
+        query.awaitTermination(60)
+        if k == 0:
+            first = spark.read.parquet(str(tmp_path / "out"))
+            assert {(r.id, r.v) for r in live.latest(first, "id").collect()} == {(1, "z"), (2, "only")}
+
+
 def test_ingest_cases(spark):
     old = spark.createDataFrame([("a", 1, at(0), False), ("b", 1, at(0), False), ("c", 1, None, True), ("x://1", 1, at(0), False)], "path string, bytes long, mtime timestamp_ntz, missing boolean")
     seen = spark.createDataFrame([("a", 1, at(0)), ("b", 2, at(0)), ("c", 1, None), ("d", 1, at(0))], "path string, bytes long, mtime timestamp_ntz")
