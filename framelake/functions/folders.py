@@ -113,7 +113,7 @@ def zones(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def readable_metres(m: Column) -> Column:
-    km = F.regexp_replace(F.regexp_replace(F.format_string("%.1f", m / 1000), r"\.?0+$", ""), r"\.", ",")
+    km = F.translate(F.call_function("format_number", m / 1000, F.lit("0.#")), ".", ",")  # ties by the double itself, halves to even
     return F.when(m < 1000, F.concat(F.format_string("%.0f", F.bround(m)), F.lit(" m"))).otherwise(F.concat(km, F.lit(" km")))
 
 

@@ -208,7 +208,8 @@ def session_kinds(spark, sf):
         F.max("country").alias("country"),
         F.round(F.max(F.abs(F.col("gps_lat") + 22.5)) * 111.0, 6).alias("home_km"),
     )
-    return classify.classified(per, ["ASIA", "EUROPE"]).select("user_id", "kind", "label")
+    aliases = catalog.places(spark, sf).select(F.col("country").alias("alias"), "country").distinct()
+    return classify.classified(per.withColumn("period", F.concat(F.lit("u_"), "user_id")), aliases, "user_id").select("user_id", "kind", "label")
 
 
 @query(CATALOG_SQL + """SELECT id, concat_ws('/', CASE event_type WHEN 'click' THEN 'received' ELSE 'photo' END, concat_ws(' - ', CAST(year(taken_at) AS VARCHAR), 'u_' || user_id), country) AS target
