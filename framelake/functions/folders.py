@@ -31,8 +31,8 @@ ADMIN_AFTER = r"(?i)\s+(province|state|region|prefecture|county|district|governo
 
 def month_number(name: Column) -> Column:
     """1 .. 12 of a month's number or name."""
-    named = F.create_map(*(F.lit(x) for k, own in enumerate(MONTHS, 1) for n in own for x in (n, k)))
-    return F.coalesce(name.try_cast("int"), F.try_element_at(named, F.lower(name)))
+    named = F.str_to_map(F.lit(",".join(f"{n}:{k}" for k, own in enumerate(MONTHS, 1) for n in own)), F.lit(","), F.lit(":"))
+    return F.coalesce(name.try_cast("int"), F.try_element_at(named, F.lower(name)).cast("int"))
 
 
 def _trimmed(text: Column) -> Column:
@@ -52,6 +52,11 @@ def _first_valid(part: Column, form: str, y: int, m: int, d: int) -> Column:
     return F.get(F.filter(F.transform(found, read), lambda x: x.isNotNull()), F.lit(0))
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with long expressions as columns that later conditions read: the optimizer would copy them into each of those."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def part_dates(parts: DataFrame, part: str) -> DataFrame:
     """parts with rest, year, month, day of each folder name: the first form that gives a valid date; rest is the name
     without it. A month and day without a year leave no name and no date."""
@@ -63,7 +68,7 @@ def part_dates(parts: DataFrame, part: str) -> DataFrame:
     day_only = F.regexp_extract(F.trim(part), _DAY_ONLY, 1).try_cast("int").between(1, 31)
     rows = rows.withColumn("_day_only", F.coalesce(day_only, F.lit(False)))
     name = F.when(F.col("_date").isNotNull(), _trimmed(rest)).when(F.col("_day_only"), "").otherwise(_trimmed(F.col(part)))
-    rows = rows.withColumns({"rest": name, **{c: F.col(f"_date.{c}") for c in ("year", "month", "day")}})
+    rows = settled(rows, rest=name, **{c: F.col(f"_date.{c}") for c in ("year", "month", "day")})
     return rows.drop("_date", "_at", "_day_only")
 
 

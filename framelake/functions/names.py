@@ -78,8 +78,9 @@ def _ascii(text: Column) -> Column:
     """The ASCII characters of the compatibility decomposition; all others go."""
     single, plain, pairs, pattern = _spellings()
     table = F.str_to_map(F.lit(pairs), F.lit(_PAIR), F.lit(_SIDE))
-    long_form = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    spelled = F.when(text.rlike(pattern), long_form).otherwise(text)
+    other = F.regexp_replace(text, r"[\x00-\x7F]+", "")  # the long pattern is slow, so it sees these alone
+    found = F.array_distinct(F.regexp_extract_all(other, F.lit(pattern), F.lit(0)))
+    spelled = F.aggregate(found, text, lambda done, c: F.replace(done, c, F.try_element_at(table, c)))
     return F.regexp_replace(F.translate(spelled, single, plain), r"[^\x00-\x7F]", "")
 
 

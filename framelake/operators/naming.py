@@ -23,9 +23,9 @@ def folder_facts(folders: DataFrame, aliases: DataFrame, lexicon: DataFrame | No
     read = names.listed_countries(reading.part_dates(each, "_part").drop("year", "month", "day"), "_part", aliases)
     read = names.canonical_country(read, "_part", aliases).withColumnRenamed("country", "_named")
     read = names.canonical_country(read, "rest", aliases).withColumnRenamed("country", "_is_country")
-    plain = names.folded(F.col("rest"))
+    read = reading.settled(read, _plain=names.folded(F.col("rest")))
     own = ~F.coalesce(names.folded(F.col("_up")).isin(*USER_PARENTS), F.lit(False))
-    read = read.withColumn("_names", own & (F.col("rest") != "") & names.content(plain) & F.col("_is_country").isNull()).withColumn("_kw", names.occasion(plain))
+    read = read.withColumn("_names", own & (F.col("rest") != "") & names.content(F.col("_plain")) & F.col("_is_country").isNull()).withColumn("_kw", names.occasion(F.col("_plain")))
     if lexicon is None:
         read = read.withColumn("_kind", F.lit(None).cast("string"))
     else:
@@ -69,15 +69,16 @@ def album_names(rows: DataFrame, album: str, cameras: DataFrame | None = None) -
     A camera counts where the name is its own or, from eight characters on, holds it; the two meet by the eight first
     characters of the camera, so names and cameras are never paired one by one."""
     read = reading.part_dates(rows.select(F.col(album).alias("_raw")).where("_raw IS NOT NULL").distinct(), "_raw").select("_raw", F.trim("rest").alias("_name"))
-    read = read.where((F.col("_name") != "") & names.tells(names.folded(F.col("_raw"))) & names.tells(names.folded(F.col("_name"))))
+    read = reading.settled(read, _whole=names.folded(F.col("_raw")), _plain=names.folded(F.col("_name")))
+    read = read.where((F.col("_name") != "") & names.tells(F.col("_whole")) & names.tells(F.col("_plain")))
     if cameras is not None:
         n = names.LEAST_CAMERA
-        forms = read.select("_raw", F.explode(F.array(names.folded(F.col("_raw")), names.folded(F.col("_name")))).alias("_f"))
+        forms = read.select("_raw", F.explode(F.array("_whole", "_plain")).alias("_f"))
         grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_f") - (n - 1), F.lit(1))), lambda i: F.substring("_f", i, F.lit(n))))
         held = forms.withColumn("_g", F.explode(grams)).join(cameras.where(F.length("camera") >= n).withColumn("_g", F.substring("camera", 1, n)), "_g").where(F.col("_f").contains(F.col("camera"))).select("_raw")
         same = forms.join(cameras, F.col("_f") == F.col("camera")).select("_raw")
         read = read.join(held.unionByName(same).distinct(), "_raw", "left_anti")
-    read = read.select("_raw", F.col("_name").alias("name"), names.folded(F.col("_name")).isin(*names.SHELVES).alias("shelf"))
+    read = read.select("_raw", F.col("_name").alias("name"), F.col("_plain").isin(*names.SHELVES).alias("shelf"))
     return rows.join(read, F.col(album) == F.col("_raw"), "left").drop("_raw")
 
 
