@@ -56,18 +56,21 @@ def nearest_donor(items: DataFrame, window_s: float = WINDOW_S, hold_out: bool =
     return out.where("donor_id IS NOT NULL")
 
 
-def anchors(media: DataFrame, key: str = "quick_hash") -> DataFrame:
-    """a < b: pairs of one key in different sources of which exactly one side has GPS.
+def anchors(media: DataFrame, *keys: str) -> DataFrame:
+    """a < b: pairs that share one of the keys (quick_hash if none is named), each pair once, in different sources, of
+    which exactly one side has GPS.
 
     A key is a file's content, so its group is as small as a file has copies.
     """
-    own = media.where(F.col(key).isNotNull() & F.col("taken_at").isNotNull()).select("id", key, "source_id", "taken_at", "make", "model", F.col("gps_lat").isNotNull().alias("gps"))
+    held = F.array_distinct(F.filter(F.array(*map(F.col, keys or ("quick_hash",))), lambda k: F.coalesce(k, F.lit("")) != ""))
+    own = media.where("taken_at IS NOT NULL").select("id", F.explode(held).alias("key"), "source_id", "taken_at", "make", "model", F.col("gps_lat").isNotNull().alias("gps"))
     a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.source_id") != F.col("b.source_id")) & (F.col("a.gps") != F.col("b.gps")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.source_id") != F.col("b.source_id")) & (F.col("a.gps") != F.col("b.gps")))
     side = lambda g: F.when(F.col("a.gps") == g, F.struct("a.id", "a.taken_at", "a.make", "a.model")).otherwise(F.struct("b.id", "b.taken_at", "b.make", "b.model"))
     x = pairs.select(side(True).alias("ref"), side(False).alias("cam"))
     known = F.col("cam.make").isNotNull() | F.col("cam.model").isNotNull()
-    return x.where(known).select(F.col("ref.id").alias("ref_id"), F.col("cam.id").alias("cam_id"), F.col("cam.make").alias("make"), F.col("cam.model").alias("model"), seconds(F.col("ref.taken_at"), F.col("cam.taken_at")).alias("delta_s"))
+    out = x.where(known).select(F.col("ref.id").alias("ref_id"), F.col("cam.id").alias("cam_id"), F.col("cam.make").alias("make"), F.col("cam.model").alias("model"), seconds(F.col("ref.taken_at"), F.col("cam.taken_at")).alias("delta_s"))
+    return out.dropDuplicates(["ref_id", "cam_id"]) if len(keys) > 1 else out
 
 
 def clock_offsets(pairs: DataFrame, least: int = 2, most_mad_s: float = 180.0) -> DataFrame:

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions.confidence import level_of
+
 REACHES = ("all", "ready", "lacking")
 #: Named gaps: what a file lacks or what waits for an answer.
 GAPS = ("no_date", "no_gps", "inherited_place", "not_photo", "type_to_confirm", "no_group", "no_camera", "no_suggestion", "low_confidence", "medium_confidence", "read_error")
@@ -23,6 +25,7 @@ class Context:
     places: DataFrame | None = None
     keywords: DataFrame | None = None
     suggestions: DataFrame | None = None
+    evidence: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,9 @@ class MediaFilters:
     keyword: str | None = None
     folder: str | None = None
     gap: str | None = None
+    confidence: str | None = None
+    origin: str | None = None
+    position: str | None = None
 
 
 def ready(media: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -120,6 +126,8 @@ def filtered(media: DataFrame, filters: MediaFilters, context: Context = Context
         conditions.append(camera_like(filters.camera))
     if filters.folder:
         conditions.append(under_folder(filters.folder))
+    if filters.position:
+        conditions.append(F.col("gps_lat" if filters.position == "measured" else "inherited_lat").isNotNull())
     if filters.gap and (known := gap(filters.gap, media.columns)) is not None:
         conditions.append(known)
     if conditions:
@@ -131,6 +139,10 @@ def filtered(media: DataFrame, filters: MediaFilters, context: Context = Context
     if filters.keyword:
         tagged = context.keywords.where((F.col("namespace") == "curated") & (F.col("key") == "keyword") & F.col("value").ilike(filters.keyword))
         out = out.join(tagged.select(F.col("media_id").alias("id")), "id", "left_semi").select(*media.columns)
+    # a file's evidence of a level and its evidence of an origin may be two rows
+    for name, wanted in (("confidence", level_of(F.col("score")) == filters.confidence), ("origin", F.col("origin") == filters.origin)):
+        if getattr(filters, name):
+            out = out.join(context.evidence.where(wanted).select("id"), "id", "left_semi").select(*media.columns)
     if filters.gap == "no_suggestion":
         out = out.join(context.suggestions.select(F.col("media_id").alias("id")), "id", "left_anti").select(*media.columns)
     if filters.gap in ("low_confidence", "medium_confidence"):
@@ -150,7 +162,9 @@ def page(media: DataFrame, sort: str = "date_desc", limit: int = 100, offset: in
 
 
 #: The token language: field:value pairs and free text.
-TOKENS = {"role": "role", "ext": "ext", "camera": "camera", "place": "country", "keyword": "keyword", "folder": "folder"}
+TOKENS = {"role": "role", "ext": "ext", "camera": "camera", "place": "country", "keyword": "keyword", "folder": "folder", "confidence": "confidence", "origin": "origin", "position": "position"}
+#: What fields of a closed vocabulary may say.
+VOCABULARY = {"role": ("holding", "witness"), "confidence": ("low", "medium", "high"), "position": ("estimated", "measured")}
 
 
 def parse_tokens(text: str) -> MediaFilters:
@@ -160,6 +174,7 @@ def parse_tokens(text: str) -> MediaFilters:
     found, free = {}, []
     for word in shlex.split(text):
         name, colon, value = word.partition(":")
+        name = name.strip().lower()
         if not colon:
             free.append(word)
         elif name not in TOKENS or not value:
@@ -168,8 +183,11 @@ def parse_tokens(text: str) -> MediaFilters:
             raise ValueError(f"field {name!r} is given twice")
         else:
             found[TOKENS[name]] = value
-    if found.get("role", "holding") not in ("holding", "witness"):
-        raise ValueError(f"unknown role {found['role']!r}")
+    for name, values in VOCABULARY.items():
+        if name in found:
+            found[name] = found[name].strip().lower()
+            if found[name] not in values:
+                raise ValueError(f"{name} is one of {', '.join(values)}, not {found[name]!r}")
     if free:
         found["search"] = " ".join(free)
     return MediaFilters(**found)

@@ -121,6 +121,13 @@ def evidence_union(spark, sf):
     return suggest.evidence(catalog.media(spark, sf), catalog.places(spark, sf)).select("id", "field", "origin", "value", "score")
 
 
+@query(_EVIDENCE + """SELECT id, name FROM media WHERE role = 'holding' AND id IN (SELECT id FROM evidence WHERE score >= 0.5 AND score < 0.8) AND id IN (SELECT id FROM evidence WHERE origin = 'exif')""")
+def filter_provenance(spark, sf):
+    media = catalog.media(spark, sf)
+    context = filters.Context(evidence=suggest.evidence(media, catalog.places(spark, sf)))
+    return filters.filtered(media, filters.parse_tokens("role:holding confidence:medium origin:exif"), context).select("id", "name")
+
+
 @query(_EVIDENCE + """, f AS (SELECT id, max(CASE WHEN field = 'kind' THEN value END) AS kind, max(CASE WHEN field = 'kind' THEN score END) AS ks, max(CASE WHEN field = 'year' THEN value END) AS y,
   max(CASE WHEN field = 'year' THEN score END) AS ys, max(CASE WHEN field = 'country' THEN value END) AS c, max(CASE WHEN field = 'country' THEN score END) AS cs FROM evidence GROUP BY id),
 u AS (SELECT id, coalesce(nullif(concat_ws('/', CASE WHEN kind = 'photo' THEN c ELSE kind END, y), ''), 'unsorted') AS destination, coalesce(least(CASE WHEN kind = 'photo' THEN cs ELSE ks END, ys), 0.0) AS score FROM f)

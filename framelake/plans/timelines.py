@@ -139,6 +139,14 @@ def clock_offsets_mad(spark, sf):
     return out.withColumns({"offset_s": F.round("offset_s", 6), "mad_s": F.round("mad_s", 6)})
 
 
+@query(CATALOG_SQL + _ANCHORS.replace("a.quick_hash = b.quick_hash", "(a.quick_hash = b.quick_hash OR a.id % 3001 = b.id % 3001)") + """ SELECT m.make, m.model, m.n, round(m.o, 6) AS offset_s, round(quantile_cont(abs(k.d - m.o), 0.5), 6) AS mad_s, m.n >= 2 AND quantile_cont(abs(k.d - m.o), 0.5) <= 180 AS kept
+  FROM known k JOIN mid m ON k.make IS NOT DISTINCT FROM m.make AND k.model IS NOT DISTINCT FROM m.model GROUP BY 1, 2, 3, 4, m.o""")
+def clock_offsets_either_key(spark, sf):
+    media = catalog.media(spark, sf).withColumn("perceptual_hash", F.concat(F.lit("p"), F.col("id") % 3001))
+    out = asof.clock_offsets(asof.anchors(media, "quick_hash", "perceptual_hash"))
+    return out.withColumns({"offset_s": F.round("offset_s", 6), "mad_s": F.round("mad_s", 6)})
+
+
 @query(CATALOG_SQL + """SELECT id, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(gps_lat - -22.9) / 2), 2) + cos(radians(-22.9)) * cos(radians(gps_lat)) * pow(sin(radians(gps_lon - -43.2) / 2), 2)))), 6) AS km
   FROM media WHERE gps_lat IS NOT NULL""")
 def haversine(spark, sf):

@@ -123,12 +123,16 @@ def test_filters_reject_what_they_do_not_know(spark, sf):
     m = catalog.media(spark, sf)
     with pytest.raises(ValueError):
         filters.filtered(m, filters.MediaFilters(gap="nothing"))
-    for bad in ("colour:red", "ext:jpg ext:png", "role:other", "ext:"):
+    for bad in ("colour:red", "ext:jpg ext:png", "role:other", "ext:", "confidence:sure", "position:guessed", "confidence:low confidence:high"):
         with pytest.raises(ValueError):
             filters.parse_tokens(bad)
     text = """role:witness ext:jpg camera:"EOS R6" folder:'/a "b" c' sea side"""
     assert filters.parse_tokens(text).folder == '/a "b" c' and filters.parse_tokens(text).reach == "all"
+    text += " confidence:low origin:'some where' Position:Measured"
+    assert filters.parse_tokens(text).position == "measured"
     assert filters.parse_tokens(filters.serialise_tokens(filters.parse_tokens(text))) == filters.parse_tokens(text)
+    both = m.withColumn("inherited_lat", F.when(F.col("id") % 2 == 0, 1.0))
+    assert filters.filtered(both, filters.parse_tokens("position:estimated")).count() == both.where("id % 2 = 0").count()
 
 
 def test_signatures_differ_by_at_most_eight(spark):
