@@ -141,7 +141,7 @@ def country_lists(spark, sf):
 
 @query("""WITH t AS (SELECT event_id % 4 AS source, CASE WHEN event_id % 9 <> 0 THEN ts + to_days(CAST(event_id % 366 AS INTEGER)) END AS taken FROM events)
 SELECT source, CASE WHEN taken IS NULL THEN 'undated' WHEN amb THEN 'ambiguous' ELSE 'shifted' END AS verdict,
-  CASE WHEN taken IS NULL OR amb THEN NULL WHEN taken >= TIMESTAMP '2024-03-10 03:00:00' AND taken < TIMESTAMP '2024-11-03 01:00:00' THEN 4.0 ELSE 5.0 END AS hours, count(*) AS n
+  CASE WHEN taken IS NULL OR amb THEN NULL WHEN taken >= TIMESTAMP '2024-03-10 03:00:00' AND taken < TIMESTAMP '2024-11-03 01:00:00' THEN CAST(4 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS hours, count(*) AS n
 FROM (SELECT *, taken >= TIMESTAMP '2024-03-10 02:00:00' AND taken < TIMESTAMP '2024-03-10 03:00:00' OR taken >= TIMESTAMP '2024-11-03 01:00:00' AND taken < TIMESTAMP '2024-11-03 02:00:00' AS amb FROM t) GROUP BY 1, 2, 3""")
 def takeout_shifts(spark, sf):
     e = table(spark, sf, "events")
