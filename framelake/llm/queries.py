@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framelake.llm import bitsliced, chat, clusters, crosstokens, decontam, mixing, neardup, repeats, ring, tokens, toxicity, warc
+from framelake.llm import bitsliced, chat, clusters, crosstokens, decontam, licenses, mixing, neardup, repeats, ring, tokens, toxicity, warc
 from framelake.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstokens.alignments(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
+@query
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
