@@ -34,6 +34,8 @@ PHRASE_RUN, TEXT_RUN = 2, 4
 #: Share of a text template's words that votes must cover to be looked at, and that must stand in the document in order.
 LOOKED_AT, SIMILAR = 0.3, 0.8
 SENT, POSITIONS = 1 << 18, 1 << 16
+#: Text bytes whose runs are made at once: they take some 60 times as much memory.
+AT_ONCE = 1 << 20
 
 
 class Template(NamedTuple):
@@ -122,7 +124,7 @@ def _runs_of(read: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         begin = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
+        for batch in slices(batches, limit=AT_ONCE):
             n = batch.num_rows
             data, at = buffers(batch.column("text"))
             data = folded(data)
@@ -164,7 +166,7 @@ def _verified(templates: tuple[Template, ...]) -> object:
     spelled = [t.words for t in templates]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, limit=AT_ONCE):
             data, at = buffers(batch.column("text"))
             data = folded(data)
             lo, hi, row = words(data, at)
