@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.rows import joined_back
+from framelake.llm.rows import joined_back, unused
 from framelake.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,5 +147,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it. Columns are those of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     taken = mixed(docs, **how).where("copies > 0")
-    kept = joined_back(docs, taken, {"doc_id": F.col("doc_id"), "source": F.col("source").cast("string"), "mark": F.xxhash64("doc_id", text)}, {"copies": "_copies"})
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_copy")
+    kept = joined_back(docs, taken, {"doc_id": F.col("doc_id"), "source": F.col("source").cast("string"), "mark": F.xxhash64("doc_id", text)}, {"copies": (times := unused(docs, "copies"))})
+    return kept.withColumn(unused(kept, "copy"), F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
