@@ -10,7 +10,9 @@ Rows meet queries in blocks: each block of rows is one row of the index table, a
 dealt to every block of rows by an equi-join. Vectors that are null or hold null or non-finite components take
 no part; components missing from a shorter vector count as 0; repeated ids are all candidates, except for
 queries of that id; a query with no other row gets no result. An empty table gives an empty result, and other columns
-are ignored. Scores are longs: a query whose scores might leave that range ends the job with an OverflowError.
+are ignored. Components beyond a long are taken as the greatest or smallest one. Where a query's scores might leave the
+range of a long, its block is ranked by exact Python integers, and scores beyond a long are given as the greatest or
+smallest one, which ranks them as equal to each other across blocks.
 """
 
 from __future__ import annotations
@@ -61,9 +63,9 @@ class BitSlices:
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         least = x.min(axis=0)
-        above = x - least
+        above = x.astype(np.uint64) - least.astype(np.uint64)  # right modulo 2**64, also where the difference is no long
         digits = np.array([int(v).bit_length() for v in above.max(axis=0)], np.int64)
-        each = [_packed(((above[:, d] >> np.arange(b)[:, None]) & 1).astype(np.uint8)) for d, b in enumerate(digits) if b]
+        each = [_packed(((above[:, d] >> np.arange(b, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(np.uint8)) for d, b in enumerate(digits) if b]
         return cls(ids, least, digits, np.concatenate(each) if each else np.zeros((0, -(-len(ids) // 64)), np.uint64))
 
     def stored(self) -> list[bytes]:
@@ -74,12 +76,23 @@ class BitSlices:
     def read(cls, ids: bytes, least: bytes, digits: bytes, words: bytes) -> BitSlices:
         return cls(*(np.frombuffer(b, t) for b, t in ((ids, np.int64), (least, np.int64), (digits, np.int64), (words, np.uint64))))
 
+    def fits(self, q: np.ndarray) -> bool:
+        """Whether all sums on the way to a score of q are sure to be longs."""
+        return not sum(abs(int(w)) * (abs(int(a)) + (1 << int(b))) for w, a, b in zip(q, self.least, self.digits, strict=True)) >> 62
+
+    def exact(self, q: list[int]) -> list[int]:
+        """The scores of all rows as Python integers, read off the slices."""
+        out = [0] * len(self.ids)
+        for own, a, w in zip(self.slices, self.least.tolist(), q, strict=True):
+            bits = [np.unpackbits(s.view(np.uint8), bitorder="little")[: len(out)] for s in np.ascontiguousarray(own)]
+            for i in range(len(out)):
+                out[i] += int(w) * (a + sum(1 << b for b, s in enumerate(bits) if s[i]))
+        return out
+
     def scores(self, q: np.ndarray) -> tuple[list[np.ndarray], int]:
         """(slices, offset): a row's score is offset plus its number in the slices, least significant first."""
         columns: dict[int, list[np.ndarray]] = {}
         offset = int(sum(int(a) * int(b) for a, b in zip(q, self.least, strict=True)))
-        if sum(abs(int(w)) * (abs(int(a)) + (1 << int(b))) for w, a, b in zip(q, self.least, self.digits, strict=True)) >> 62:
-            raise OverflowError("scores of this query may not fit a long")
         for d, w in enumerate(map(int, q)):
             if not w or not self.digits[d]:
                 continue
@@ -111,6 +124,9 @@ class BitSlices:
 
     def top(self, q: np.ndarray, k: int, but: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score); rows of id but take no part."""
+        if not self.fits(q):
+            all_scores = sorted((-s, int(i)) for s, i in zip(self.exact(q.tolist()), self.ids, strict=True) if i != but)
+            return [(i, max(-(1 << 63), min(-s, (1 << 63) - 1))) for s, i in all_scores[:k]]
         slices, offset = self.scores(q)
         lo, hi = np.searchsorted(self.ids, [but, but + 1])
         equal = self.all.copy()
