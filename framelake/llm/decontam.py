@@ -17,6 +17,7 @@ table are ignored, whatever their names.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -147,13 +148,13 @@ class Index:
         return found
 
     def _verified(self, data: np.ndarray, at: np.ndarray, it: int, lo: int, hi: int) -> list[tuple[int, int, int, int, int]]:
-        """The best region of each row among those that start on diagonals lo .. hi - 1."""
+        """The best region of each row among those that lie on diagonals lo .. hi - 1."""
         m, k, out = int(self.size[it]), int(self.budget[it]), []
-        a, b = max(lo, 0), min(hi + m + k, len(data))
+        a, b = max(lo, 0), min(hi + m, len(data))
         for row in range(int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, max(a, b - 1), side="right"))):
             s, e = max(a, int(at[row])), min(b, int(at[row + 1]))
             if e - s >= m - k:
-                best = aligned(self.items[it], data[s:e], k)
+                best = aligned(self.items[it], data[s:e], k, lo - s, hi - s)
                 if best is not None:
                     out.append((row, it, s + best[0], s + best[1], best[2]))
         return out
@@ -161,35 +162,57 @@ class Index:
 
 def _apart(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Of regions of one item and row that overlap, the one with the fewest edits."""
-    kept: list[tuple[int, int, int, int, int]] = []
-    for x in sorted(set(found), key=lambda x: (x[0], x[1], x[4], x[2], x[3])):
-        if not any(y[0] == x[0] and y[1] == x[1] and y[2] < x[3] and x[2] < y[3] for y in kept):
-            kept.append(x)
-    return kept
-
-
-def aligned(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the region of text nearest to item, if it is within k edits."""
-    row = _distances(item, text, free=True)
-    if row.min() > k:
+    kept: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for row, item, start, end, edits_ in sorted(set(found), key=lambda x: (x[4], x[2], x[3])):
+        own = kept.setdefault((row, item), [])  # in order, no two of them overlap
+        i = bisect_left(own, (start, end))
+        if not (i and own[i - 1][1] > start) and not (i < len(own) and own[i][0] < end):
+            own.insert(i, (start, end, edits_))
+    return [(row, item, *x) for (row, item), own in kept.items() for x in own]
+
+
+def aligned(item: np.ndarray, text: np.ndarray, k: int, lo: int | None = None, hi: int | None = None) -> tuple[int, int, int] | None:
+    """(start, end, edits) of the region of text nearest to item, if it is within k edits and on diagonals lo .. hi - 1."""
+    lo, hi = (-k if lo is None else lo), (len(text) - len(item) + k + 1 if hi is None else hi)
+    row = _banded(item, text, lo, hi, k, free=True)
+    if row is None or row.min() > k:
         return None
-    end = int(row.argmin())
-    back = _distances(item[::-1], text[:end][::-1][: len(item) + k], free=False)
-    return end - int(back.argmin()), end, int(row[end])
+    end = len(item) + lo + int(row.argmin())
+    back = _banded(item[::-1], text[:end][::-1], -k, k + 1, k, free=False)
+    return end - (len(item) - k + int(back.argmin())), end, int(row.min())
 
 
-def _distances(item: np.ndarray, text: np.ndarray, free: bool) -> np.ndarray:
-    """Edits from item to the best stretch of text that ends at each place; it starts anywhere if free, else at 0.
+def _banded(item: np.ndarray, text: np.ndarray, lo: int, hi: int, k: int, free: bool) -> np.ndarray | None:
+    """Edits from item to the best stretch of text that ends on each of the diagonals lo .. hi - 1; None if all exceed k.
 
-    The text handed in is as wide as the band of diagonals, so each row of the table is the band's row.
+    The stretch begins on any of them if free, else at 0. A row of the table has one number for each diagonal; the
+    band moves on by one place in text with each character of item.
     """
-    steps = np.arange(len(text) + 1, dtype=np.int32)
-    row = np.zeros(len(text) + 1, np.int32) if free else steps.copy()
-    for i, c in enumerate(item, 1):
-        new = row + 1
-        np.minimum(new[1:], row[:-1] + (text != c), out=new[1:])
-        new[0] = i
-        row = np.minimum.accumulate(new - steps) + steps
+    n, width, far = len(text), hi - lo, np.int32(1 << 29)
+    padded = np.full(n + 2 * (width + len(item)) + 2, -1, np.int16)
+    shift = width + len(item) + 1
+    padded[shift : shift + n] = text
+    ends = lo + np.arange(width)
+    steps = np.arange(width, dtype=np.int32)
+    row = np.where((ends >= 0) & (ends <= n), 0 if free else ends, far).astype(np.int32)
+    new, differs = np.empty(width, np.int32), np.empty(width, bool)
+    for i, c in enumerate(item.tolist(), 1):
+        at = shift + i - 1 + lo
+        if at < 0 or at + width > len(padded):
+            return None
+        np.not_equal(padded[at : at + width], c, out=differs)
+        np.add(row, differs, out=new)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        first, last = max(0, -(i + lo)), max(0, n + 1 - i - lo)  # diagonals that end inside text
+        new[:first] = far
+        new[last:] = far
+        new -= steps
+        np.minimum.accumulate(new, out=new)
+        new += steps
+        new[last:] = far
+        row, new = new, row
+        if i % 64 == 0 and row.min() > k:
+            return None
     return row
 
 
