@@ -398,7 +398,7 @@ def test_few_toxic_rows_give_a_threshold_by_the_same_rule():
     model = toxicity.train(texts, y, ["en"] * len(y), np.ones(len(y)))
     fresh = [toxic() for _ in range(30)] + [prose(40) for _ in range(30)]
     bad = toxicity._judged(model, pa.array(fresh), pa.array(["en"] * 60))[1]
-    assert model.thresholds[None] < 0.9 and bad[:30].mean() > 0.8 and bad[30:].mean() < 0.2
+    assert model.threshold < 0.9 and bad[:30].mean() > 0.8 and bad[30:].mean() < 0.2
 
 
 def test_toxicity_of_odd_rows(spark, sf, odd):
@@ -443,16 +443,35 @@ def test_scores_against_a_plain_forward_pass(spark):
 def test_sample_takes_whole_texts_within_its_bound(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_CHARS", {0: 4000, 1: 3000})
     seen = {}
-    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs, weights: seen.update(texts=texts, y=y))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs, weights, **how: seen.update(texts=texts, y=y))
     texts = [prose(40) + (" tail" if i % 2 else "") for i in range(100)] + ["long " * 2000 + "end"]
     marks = spark.createDataFrame([(i, i % 2) for i in range(101)] * 2, "doc_id long, toxic int")
     toxicity.fitted(documents(spark, texts).unionByName(documents(spark, texts[:30])), marks)
     assert set(seen["texts"]) <= set(texts[:100]) and len(set(seen["y"])) == 2
+    assert len(seen["texts"]) == len(set(seen["texts"])) >= 16  # what no longer fits is passed over, rows count once
+
     for c in (0, 1):
         own = [len(t) for t, y in zip(seen["texts"], seen["y"]) if y == c]
         assert 2000 < sum(own) <= (4000, 3000)[c]
 
 
+def test_null_and_empty_are_languages(spark):
+    texts = [prose(30) + (" vile scum" if i % 3 == 0 else "") for i in range(240)]
+    langs = [(None, "", "en")[i % 4 % 3] for i in range(240)]
+    model = toxicity.train(texts, np.array([int(i % 3 == 0) for i in range(240)]), langs, np.ones(240))
+    assert set(model.thresholds) == {None, "", "en"}
+    model.threshold, model.thresholds = 0.5, {None: 1.1, "": -1.0}
+    assert toxicity._judged(model, pa.array(["x", "x", "x"]), pa.array([None, "", "en"]))[1].tolist()[:2] == [False, True]
+
+
+def test_scores_do_not_depend_on_the_next_text():
+    texts = [prose(30) + (" vile scum" if i % 3 == 0 else "") for i in range(120)]
+    model = toxicity.train(texts, np.array([int(i % 3 == 0) for i in range(120)]), ["en"] * 120, np.ones(120))
+    alone = [float(toxicity._judged(model, pa.array([t]), pa.array(["en"]))[0][0]) for t in texts[:40]]
+    together = toxicity._judged(model, pa.array(texts[:40]), pa.array(["en"] * 40))[0]
+    assert np.allclose(alone, together, atol=1e-5)
+
+
 def walked(rows, shards, nodes):
     """Rows (doc_id, text) one by one: {row number: (shard, slot)}, by a sequential walk of the ring."""
     place = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:12], 16)
@@ -582,6 +601,46 @@ def test_alignment_counts_edits():
     assert decontam.aligned(row("kitten"), row("dog"), 2) is None
 
 
+def test_band_is_the_whole_table():
+    """Regions found in a band of diagonals have the edits that the whole table gives, wherever the region starts in it."""
+    letters = "abcdefgh "
+    for n in range(200):
+        m = rng.randint(20, 120)
+        item = "".join(rng.choice(letters) for _ in range(m))
+        k = rng.randint(0, m // 8)
+        near = list(item)
+        for _ in range(rng.randint(0, k)):
+            at = rng.randrange(len(near))
+            near[at : at + 1] = rng.choice(["", rng.choice(letters), near[at] + rng.choice(letters)])
+        before = rng.randint(0, 40)
+        text = "".join(rng.choice(letters) for _ in range(before)) + "".join(near) + "".join(rng.choice(letters) for _ in range(n % 30))
+        found = decontam.aligned(*(np.frombuffer(x.encode(), np.uint8) for x in (item, text)), k, before - k - 3, before + k + 4)
+        row = list(range(m + 1))
+        least = row[m]
+        for c in text:
+            last, row = row, [0]
+            for i, x in enumerate(item, 1):
+                row.append(min(last[i] + 1, row[i - 1] + 1, last[i - 1] + (x != c)))
+            least = min(least, row[m])
+        assert found is not None and found[2] == least <= k
+        assert abs(found[1] - found[0] - m) <= k
+
+
+def test_long_items_are_aligned_quickly():
+    import time
+
+    item = np.frombuffer(rng.randbytes(20_000), np.uint8)
+    text = np.concatenate([item[:5000], item[5003:12_000], np.zeros(40, np.uint8), item[12_000:]])
+    began = time.process_time()
+    assert decontam.aligned(item, text, decontam.edits(len(item)))[2] == 43
+    assert time.process_time() - began < 4
+
+
+def test_regions_of_common_items_stay_apart():
+    many = [(0, 0, 10 * i, 10 * i + 9, i % 3) for i in range(20_000)] + [(0, 0, 10 * i + 5, 10 * i + 14, 5) for i in range(20_000)]
+    assert len(decontam._apart(many)) == 20_000
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(bitsliced, "ROWS", 64)
     monkeypatch.setattr(bitsliced, "QUERIES", 2)
@@ -598,9 +657,17 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     out = bitsliced.top_k(df, F.col("vec_id") % 100 == 0).collect()
     assert sorted(map(tuple, out)) == sorted(want)
     assert bitsliced.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
-    huge = bitsliced.BitSlices.of(np.arange(2), np.array([[1 << 40], [3]]))
-    with pytest.raises(OverflowError):
-        huge.top(np.array([1 << 40]), 1, 0)
+    big = spark.createDataFrame([(100, [1e30, 2.0]), (1, [2e30, 1.0]), (2, [-1e30, 0.5]), (3, [1.0, 1.0]), (4, [5e12, 1.0]), (5, [5e12, 1.0])], "vec_id long, embedding array<double>")
+    top = [(r.rank, r.vec_id) for r in bitsliced.top_k(big, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert top == [(1, 1), (2, 3), (3, 4), (4, 5), (5, 2)]  # the first four scores exceed a long
+
+
+def test_slices_of_large_numbers_give_exact_scores():
+    x = np.array([[1 << 62, -5], [-(1 << 62), 7], [3, 4], [(1 << 62) - 1, 9]])
+    own = bitsliced.BitSlices.of(np.arange(4), x)
+    own = bitsliced.BitSlices.read(*own.stored())
+    assert own.exact([1 << 62, 3]) == [sum(int(a) * b for a, b in zip(r, (1 << 62, 3), strict=True)) for r in x]
+    assert [i for i, _ in own.top(np.array([1 << 62, 3]), 4, 2)] == [0, 3, 1] and own.top(np.array([1 << 62, 3]), 1, 2)[0][1] == (1 << 63) - 1
 
 
 def test_buffers_of_slices_and_nulls():

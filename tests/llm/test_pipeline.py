@@ -40,7 +40,7 @@ def test_stages_handle_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
     odd = [(None, None, None, None, None), (-1, "", "", "", 0), (-2, "w " * 30_000, None, "x", 1), (-3, "?!", "en", None, None), (-3, "other words of one id", "en", None, None), (None, "null id", "en", "x", 3)]
     rows = docs.unionByName(spark.createDataFrame(odd + odd[:3], docs.schema))
-    for c in ("mark", "key", "node", "label", "_node_of_row", "_mark_of_row", "copies", "copy", "nth", "key_doc_id", "_nth", "score", "size", "taken", "target", "at", "arc", "text_"):
+    for c in ("mark", "key", "node", "label", "_node_of_row", "_mark_of_row", "copies", "copy", "nth", "key_doc_id", "_nth", "score", "size", "taken", "target", "at", "arc", "text_", "_copies", "_copy", "_text_of_row", "_lang_of_row", "text_of_row", "lang_of_row"):
         rows = rows.withColumn(c, F.lit("kept"))
     n, before = rows.count(), rows
     for name, stage in corpus_pipeline.STAGES:
