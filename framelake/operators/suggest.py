@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framelake.functions.confidence import LEVELS, level_of, level_rank, score_of, weakest
 from framelake.functions.dates import date_in_name
 from framelake.functions.image_type import image_type
-from framelake.functions.paths import extension_of, safe_relative, stem_of
+from framelake.functions.paths import extension_of, inside, safe_relative, stem_of
 from framelake.operators.ranks import numbered
 
 
@@ -30,8 +30,13 @@ def evidence(media: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def suggested(found: DataFrame) -> DataFrame:
-    """id, destination, score, level: the fields used and their weakest link; what is no photo goes apart."""
-    per = found.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("value", "score"))))).alias("f"))
+    """id, destination, score, level: the fields used and their weakest link; what is no photo goes apart.
+
+    Of several evidences of a field the last counts, by a column nth if there is one, else by score, origin and value.
+    """
+    last = F.col("nth") if "nth" in found.columns else F.struct("score", "origin", "value")
+    single = found.groupBy("id", "field").agg(F.max_by(F.struct("value", "score"), last).alias("x"))
+    per = single.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "x")))).alias("f"))
     part = lambda name: F.try_element_at("f", F.lit(name))
     photo = part("kind")["value"] == "photo"
     used = F.filter(F.transform(F.when(photo, F.array(part("country"), part("year"))).otherwise(F.array(part("kind"), part("year"))), lambda x: x), lambda x: x.isNotNull())
@@ -60,15 +65,21 @@ def purged(suggestions: DataFrame, ready: DataFrame) -> DataFrame:
     return suggestions.where("status <> 'pending'").unionByName(suggestions.where("status = 'pending'").join(alive, "media_id", "left_semi"))
 
 
-def copy_plan(suggestions: DataFrame, media: DataFrame, copied: DataFrame | None = None, versions: DataFrame | None = None, root: str = "") -> DataFrame:
+def copy_plan(suggestions: DataFrame, media: DataFrame, copied: DataFrame | None = None, versions: DataFrame | None = None, root: str = "", sources: DataFrame | None = None) -> DataFrame:
     """media_id, source, target, conflict: approved files under their destination, none over another.
 
     Files in copied (media_id: those that an earlier plan has finished) and in versions (media_id: redundant copies
     of a group whose principal is settled) are left out. The first file of a name, by id, keeps it; the others get
     the least free number before the extension, from ` (2)` on, where names that other files bear are not free. A
-    destination that leaves root has no target, and one whose root lies in the file's own folder is marked.
+    destination that leaves root has no target. A file whose source (sources: source_id, path; without it the file's own
+    folder) holds root is marked, as the next scan would find the copies; that mark comes before a new name's.
     """
-    rows = suggestions.where("status IN ('approved', 'corrected')").join(media.select(F.col("id").alias("media_id"), "folder", "name"), "media_id")
+    files = media.select(F.col("id").alias("media_id"), "folder", "name", *([] if sources is None else ["source_id"]))
+    if sources is None:
+        files = files.withColumn("_tree", F.col("folder"))
+    else:
+        files = files.join(sources.select("source_id", F.col("path").alias("_tree")), "source_id", "left")
+    rows = suggestions.where("status IN ('approved', 'corrected')").join(files, "media_id")
     for gone in (copied, versions):
         if gone is not None:
             rows = rows.join(gone.select("media_id"), "media_id", "left_anti")
@@ -87,7 +98,7 @@ def copy_plan(suggestions: DataFrame, media: DataFrame, copied: DataFrame | None
     placed = rows.join(number, "media_id", "left")
     name = F.when(F.col("number").isNull(), F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("number").cast("string"), F.lit(")"), ext))
     target = F.when(F.col("safe").isNotNull(), F.concat(F.lit(root.rstrip("/") + "/" if root else ""), "safe", F.lit("/"), name)).otherwise("")
-    conflict = F.when(F.col("safe").isNull(), "unsafe destination").when(F.lit(bool(root)) & F.concat(F.lit(root), F.lit("/")).startswith(F.concat("folder", F.lit("/"))), "destination inside the source")
+    conflict = F.when(F.col("safe").isNull(), "unsafe destination").when(F.lit(bool(root)) & F.coalesce(inside(F.lit(root), F.col("_tree")), F.lit(False)), "destination inside the source")
     conflict = conflict.when(F.col("number").isNotNull(), F.concat(F.lit("taken; renamed to "), name))
     return placed.select("media_id", F.concat("folder", F.lit("/"), "name").alias("source"), target.alias("target"), conflict.alias("conflict"))
 

@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from framelake.plans import cards, decisions, exchange, faceted, keeping, naming, timelines  # noqa: E402, F401  they fill the tables above
+from framelake.plans import cards, copies_found, decisions, exchange, faceted, keeping, naming, organised, timelines  # noqa: E402, F401  they fill the tables above
