@@ -16,7 +16,7 @@ MEDIA = (
     "cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf", "mp4", "mov", "avi", "m4v",
 )
 JUNK = (".DS_Store", "Thumbs.db", "desktop.ini")
-PACKAGES = (".photoslibrary", ".aplibrary", ".lrdata")
+PACKAGES = (".photoslibrary", ".photolibrary", ".migratedphotolibrary", ".aplibrary", ".lrdata")
 ORIGINALS = ("originals", "masters")
 
 
