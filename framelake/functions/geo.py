@@ -15,7 +15,7 @@ SHORT_S, FILE_TIME_FACTOR = 120.0, 0.6
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))  # least() would pass over a null
 
 
 def equirectangular_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

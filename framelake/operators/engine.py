@@ -1,12 +1,22 @@
-"""The two runs of the whole catalog: places inherited from donors, and sessions made into trips and events."""
+"""The runs of the whole catalog: places inherited from donors, and sessions made into trips and events, whole or as far
+as new files reach."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.functions.geo import reliable_fields, uncertainty_m
-from framelake.operators import asof, sessions
+from framelake.functions.geo import haversine_km, reliable_fields, uncertainty_m
+from framelake.operators import asof, classify, sessions
+from framelake.session import staged
+
+#: Days without a photo that end a session, files of a session at least, and hours after which a session
+#: is one happening whatever its rhythm.
+GAP_DAYS, LEAST, WHOLE_HOURS = 3, 2, 20.0
+#: Seconds of a gap that never and that always parts two happenings, files of a happening at least.
+NEVER_S, ALWAYS_S, LEAST_BLOCK = 5400.0, 28_800.0, 10
+#: Kilometres from home within which files are at home.
+AT_HOME_KM = 30.0
 
 
 def inherited(media: DataFrame, window_s: float = asof.WINDOW_S, most_mad_s: float = 180.0) -> DataFrame:
@@ -46,3 +56,80 @@ def built(media: DataFrame, owner: str, gap_days: float = 2.0, trip_days: float
     groups = groups.withColumn("group_id", nth).withColumn("kind", F.when(F.col("is_trip"), "trip").otherwise("event"))
     mine = parts.select("id", *key, "block").join(groups.select(*key, "block", "is_trip", "group_id"), [*key, "block"])
     return groups, mine.select("id", F.when(F.col("is_trip"), F.col("group_id")).alias("trip_id"), F.when(~F.col("is_trip"), F.col("group_id")).alias("event_id"))
+
+
+def _gathered(rows: DataFrame, key: str, home: tuple[float, float] | None) -> DataFrame:
+    """key, days, home_km, country, legs, period of each group of rows: what the cascade judges."""
+    km = haversine_km(F.col("lat"), F.col("lon"), F.lit(home[0]), F.lit(home[1])) if home else F.lit(None).cast("double")
+    own = rows.withColumn("km", km)
+    per = own.groupBy(key).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.bool_or("dated").alias("dated"), F.count("*").alias("n"))
+    most = own.where("country IS NOT NULL").groupBy(key, "country").agg(F.count("*").alias("k")).groupBy(key).agg(F.max_by("country", F.struct("k", "country")).alias("country"))
+    stops = sessions.legs(own, [key], "country", "at").select(key, F.split("legs", " - ").alias("legs"))
+    middle = sessions.upper_median(own, [key], "km").select(key, F.col("median").alias("home_km"))
+    per = per.join(most, key, "left").join(stops, key, "left").join(middle, key, "left")
+    return per.withColumns({"days": F.ceil(sessions.seconds(F.col("hi"), F.col("lo")) / 86_400).cast("int"), "period": F.concat_ws("/", F.date_format("lo", "MM-yyyy"), F.when(F.date_format("lo", "MM-yyyy") != F.date_format("hi", "MM-yyyy"), F.date_format("hi", "MM-yyyy")))})
+
+
+def _judged(rows: DataFrame, key: str, home: tuple[float, float] | None, aliases: DataFrame, lexicon: DataFrame | None) -> DataFrame:
+    """key, lo, hi, n, kind, label, rule; groups without a date of capture are neutral."""
+    per = staged(_gathered(rows, key, home), "gathered")
+    said = classify.classified(per, aliases, key, rows.select(key, "folder"), lexicon)
+    undated = ~F.col("dated")
+    return said.select(key, "lo", "hi", "n", F.when(undated, "neutral").otherwise(F.col("kind")).alias("kind"), F.when(~undated, F.col("label")).alias("label"), F.when(undated, "none").otherwise(F.col("rule")).alias("rule"))
+
+
+def gap_sessions(media: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
+    """media with at (time of capture, else of the file) and gap_session; rows without a time are left out."""
+    rows = media.withColumn("at", F.coalesce("taken_at", "mtime")).where("at IS NOT NULL").withColumn("_day", F.to_date("at"))
+    days = sessions.global_days(rows, "at", gap_days).select(F.col("day").alias("_day"), F.col("session").alias("gap_session"))
+    return rows.join(days, "_day").drop("_day")
+
+
+def happenings(media: DataFrame, home: tuple[float, float] | None, aliases: DataFrame, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of the whole catalog. groups: group_id (the least id of its files, so a group keeps its id as
+    long as it keeps that file), kind, label, rule, started, ended, n. members: id, group_id, gap_session.
+
+    media: id, taken_at, mtime, folder, lat, lon (own or inherited), country. In this order: sessions by gaps; parts at
+    home and away, where home is known; parts of fewer than LEAST files go; the cascade; what is no trip and lasts no
+    longer than WHOLE_HOURS is parted where the rhythm breaks, small parts joining their neighbours; and parts of a parted session are judged again, by
+    themselves.
+    """
+    rows = gap_sessions(media).withColumn("dated", F.col("taken_at").isNotNull())
+    if home:
+        away = haversine_km(F.col("lat"), F.col("lon"), F.lit(home[0]), F.lit(home[1])) > AT_HOME_KM
+        rows = sessions.home_away(rows.withColumn("_away", away), "gap_session", "at", "_away").drop("_away")
+    else:
+        rows = rows.withColumn("segment", F.lit(0).cast("long"))
+    per = rows.groupBy("gap_session", "segment").agg(F.min("id").alias("part"), F.count("*").alias("_n")).where(F.col("_n") >= LEAST).drop("_n")
+    rows = staged(rows.join(per, ["gap_session", "segment"]), "parts")
+    first = staged(_judged(rows, "part", home, aliases, lexicon), "first-judgement")
+    short = sessions.seconds(F.col("hi"), F.col("lo")) <= WHOLE_HOURS * 3600
+    open_ = rows.join(first.where((F.col("kind") != "trip") & short).select("part"), "part", "left_semi")
+    # own GPS or an heir's tell of moves, as lat and lon do
+    cut = sessions.by_rhythm(open_.withColumnsRenamed({"lat": "gps_lat", "lon": "gps_lon"}), "part", "at", NEVER_S, ALWAYS_S).withColumnsRenamed({"gps_lat": "lat", "gps_lon": "lon"})
+    cut = staged(cut, "rhythm")
+    sizes = sessions.absorb_small(cut.groupBy("part", "event").agg(F.count("*").alias("_size")), "part", "event", "_size", LEAST_BLOCK).select("part", "event", "merged")
+    blocks = cut.join(sizes, ["part", "event"])
+    several = sizes.groupBy("part").agg(F.count_distinct("merged").alias("_k")).where("_k > 1").select("part")
+    ids = blocks.join(several, "part", "left_semi").groupBy("part", "merged").agg(F.min("id").alias("group_id"))
+    again = staged(blocks.join(ids, ["part", "merged"]).drop("merged", "event"), "blocks")
+    second = _judged(again, "group_id", home, aliases, lexicon)
+    whole = first.join(several, "part", "left_anti").withColumnRenamed("part", "group_id")
+    groups = whole.unionByName(second).withColumnsRenamed({"lo": "started", "hi": "ended"})
+    members = again.select("id", "group_id", "gap_session").unionByName(rows.join(several, "part", "left_anti").select("id", F.col("part").alias("group_id"), "gap_session"))
+    return groups, members
+
+
+def with_new_files(media: DataFrame, groups: DataFrame, members: DataFrame, home: tuple[float, float] | None, aliases: DataFrame, lexicon: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of media, given those of an earlier run over a part of it, and the same home and lists.
+
+    Only sessions by gaps that new files fall into, or join, are built again; the groups of all others stay as they are.
+    """
+    rows = gap_sessions(media).select("id", "gap_session")
+    known = members.select("id").withColumn("_known", F.lit(True))
+    # a session whose files were all judged before, and none else, is as it was; files that were in no group are new to it
+    fresh = rows.join(known, "id", "left").where("_known IS NULL").select("gap_session").distinct()
+    touched = staged(rows.join(fresh, "gap_session", "left_semi").select("id"), "touched")
+    new_groups, new_members = happenings(media.join(touched, "id", "left_semi"), home, aliases, lexicon)
+    still = members.join(touched, "id", "left_anti")
+    return groups.join(still.select("group_id").distinct(), "group_id", "left_semi").unionByName(new_groups), still.unionByName(new_members)

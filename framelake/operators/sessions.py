@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from framelake.functions.geo import equirectangular_km
 
+#: Seconds of one chunk of a timeline; a key is worked on chunk by chunk.
+CHUNK_S = 86_400.0
+
 
 def seconds(after: Column, before: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", before, after) / 1e6
@@ -37,33 +40,71 @@ def home_cells(media: DataFrame, least_points: int = 20, least_share: float = 0.
     return cells.withColumn("share", F.col("n") / F.col("total")).withColumn("is_home", (F.col("rank") == 1) & (F.col("total") >= least_points) & (F.col("share") >= least_share)).drop("total")
 
 
-def home_away(df: DataFrame, key: str, time: str, state: str, tie: str = "id") -> DataFrame:
+def _chunk(time: str, chunk_s: float) -> Column:
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / int(chunk_s * 1e6))
+
+
+def _running(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """rows (key, _chunk) with name, the sum of value up to each row of its key: sums of chunks, and sums within them."""
+    chunks = rows.groupBy(key, "_chunk").agg(F.sum(value).alias("_all"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(F.col(key).alias("_key_of"), F.col("_chunk").alias("_chunk_of"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(chunks, rows[key].eqNullSafe(F.col("_key_of")) & (rows["_chunk"] == F.col("_chunk_of")))
+    return met.withColumn(name, (F.col("_before") + F.sum(value).over(own)).cast("long")).drop("_before", "_key_of", "_chunk_of")
+
+
+def home_away(df: DataFrame, key: str, time: str, state: str, tie: str = "id", chunk_s: float = CHUNK_S) -> DataFrame:
     """segment of each row within its key: cut where the known state changes and the next known one confirms it.
 
-    Unknown states join the running segment.
+    Unknown states join the running segment. Keys are worked on in chunks of time; what a chunk has to know of the
+    others, the next known state and the last confirmed one, comes from a row for each chunk.
     """
-    w = Window.partitionBy(key).orderBy(time, tie)
-    known = df.where(F.col(state).isNotNull()).select(key, time, tie, state)
-    sure = known.withColumn("_ok", F.lead(state).over(w) == F.col(state))
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    last_sure = F.last(F.when(F.col("_ok"), F.col(state)), ignorenulls=True).over(back)
-    first = F.first(state).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    cut = F.coalesce(F.col("_ok"), F.lit(False)) & (F.col(state) != F.coalesce(last_sure, first))
-    marks = sure.withColumn("_cut", cut.cast("int")).select(key, tie, "_cut")
-    rows = df.join(marks, [key, tie], "left")
-    return rows.withColumn("segment", F.sum(F.coalesce("_cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_cut")
-
-
-def by_rhythm(df: DataFrame, key: str, time: str, floor_s: float, always_s: float, factor: float = 6.0, behind: int = 12, move_km: float = 3.0, tie: str = "id") -> DataFrame:
+    order = [time, tie]
+    known = df.where(F.col(state).isNotNull()).select(key, time, tie, state, _chunk(time, chunk_s).alias("_chunk"))
+    at, w = F.struct(*order), Window.partitionBy(key, "_chunk").orderBy(*order)
+    chunks, of_key = known.groupBy(key, "_chunk").agg(F.min_by(state, at).alias("_first")), Window.partitionBy(key).orderBy("_chunk")
+    chunks = chunks.withColumn("_ahead", F.lead("_first").over(of_key)).withColumn("_start", F.first("_first").over(of_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    chunks = chunks.select(F.col(key).alias("_k"), F.col("_chunk").alias("_c"), "_ahead", "_start")
+    sure = known.join(chunks, known[key].eqNullSafe(F.col("_k")) & (known["_chunk"] == F.col("_c"))).drop("_k", "_c")
+    sure = sure.withColumn("_ok", F.coalesce(F.coalesce(F.lead(state).over(w), "_ahead") == F.col(state), F.lit(False)))
+    ends = sure.where("_ok").groupBy(key, "_chunk").agg(F.max_by(state, at).alias("_end"))
+    ends = known.select(key, "_chunk").distinct().alias("x").join(ends.alias("y"), F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & (F.col("x._chunk") == F.col("y._chunk")), "left").select(F.col(f"x.{key}").alias("_k"), F.col("x._chunk").alias("_c"), "_end")
+    ends = ends.select("_k", "_c", F.last("_end", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    sure = sure.join(ends, sure[key].eqNullSafe(F.col("_k")) & (sure["_chunk"] == F.col("_c"))).drop("_k", "_c")
+    last_sure = F.coalesce(F.last(F.when(F.col("_ok"), F.col(state)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_carried", "_start")
+    marks = sure.select(F.col(key).alias("_k"), F.col(tie).alias("_t"), (F.col("_ok") & (F.col(state) != last_sure)).cast("int").alias("_cut"))
+    rows = df.withColumn("_chunk", _chunk(time, chunk_s))
+    rows = rows.join(marks, rows[key].eqNullSafe(F.col("_k")) & (rows[tie] == F.col("_t")), "left").drop("_k", "_t").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
+    return _running(rows, key, order, "_cut", "segment").drop("_cut", "_chunk")
+
+
+def by_rhythm(df: DataFrame, key: str, time: str, floor_s: float, always_s: float, factor: float = 6.0, behind: int = 12, move_km: float = 3.0, tie: str = "id", chunk_s: float = CHUNK_S) -> DataFrame:
     """event of each row within its key: cut at a move of move_km; at a gap of always_s; never under floor_s; else
-    where the gap is longer than factor times the median of the up to behind gaps before it."""
-    w = Window.partitionBy(key).orderBy(time, tie)
-    rows = df.where(F.col(time).isNotNull()).withColumn("_gap", seconds(F.col(time), F.lag(time).over(w)))
+    where the gap is longer than factor times the median of the up to behind gaps before it.
+
+    Keys are worked on in chunks of time. Each chunk gets the last behind + 1 rows before it from the chunks before,
+    and events are numbered by the sums of cuts of whole chunks.
+    """
+    order, halo = [time, tie], behind + 1
+    rows = df.where(F.col(time).isNotNull()).withColumn("_chunk", _chunk(time, chunk_s))
+    last = Window.partitionBy(key, "_chunk").orderBy(F.desc(time), F.desc(tie))
+    tail = rows.select(key, "_chunk", time, tie, "gps_lat", "gps_lon", F.row_number().over(last).alias("_r")).where(F.col("_r") <= halo)
+    chunks = tail.groupBy(key, "_chunk").agg(F.collect_list(F.struct(time, tie, "gps_lat", "gps_lon")).alias("_own"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(-halo, -1)  # each chunk has a row at least
+    carried = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("_own").over(before)))), 1, halo)
+    halos = chunks.withColumn("_tail", carried).select(key, "_chunk", F.explode("_tail").alias("x")).select(key, "_chunk", F.col(f"x.{time}").alias(time), F.col(f"x.{tie}").alias(tie), "x.gps_lat", "x.gps_lon", F.lit(True).alias("_halo"))
+    both = rows.select(key, "_chunk", time, tie, "gps_lat", "gps_lon", F.lit(False).alias("_halo")).unionByName(halos)
+    w = Window.partitionBy(key, "_chunk").orderBy(*order)
+    both = both.withColumn("_gap", seconds(F.col(time), F.lag(time).over(w)))
+    # the first row that was carried has no gap of its own, and nothing looks at it
     usual = F.percentile("_gap", F.lit(0.5)).over(w.rowsBetween(-behind, -1))
     moved = equirectangular_km(F.lag("gps_lat").over(w), F.lag("gps_lon").over(w), F.col("gps_lat"), F.col("gps_lon")) >= move_km
-    rows = rows.withColumn("_usual", usual).withColumn("_moved", F.coalesce(moved, F.lit(False)))
+    both = both.withColumn("_usual", usual).withColumn("_moved", F.coalesce(moved, F.lit(False))).where("NOT _halo")
     cut = F.when(F.col("_gap").isNull(), False).when(F.col("_moved"), True).when(F.col("_gap") >= always_s, True).when(F.col("_gap") < floor_s, False).otherwise(F.coalesce(F.col("_gap") > factor * F.col("_usual"), F.lit(False)))
-    return rows.withColumn("_cut", cut.cast("int")).withColumn("event", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_gap", "_usual", "_moved", "_cut")
+    marks = both.select(F.col(key).alias("_k"), F.col(tie).alias("_t"), cut.cast("int").alias("_cut"))
+    met = rows.join(marks, rows[key].eqNullSafe(F.col("_k")) & (rows[tie] == F.col("_t"))).drop("_k", "_t")
+    return _running(met, key, order, "_cut", "event").drop("_cut", "_chunk")
 
 
 def by_policy(df: DataFrame, key: list[str], time: str, is_trip: str, event: str, most_hours: float = 20.0) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelake.functions import geo
-from framelake.operators import asof, sessions
+from framelake.operators import asof, engine, sessions
 from framelake.plans.registry import query
+from framelake.session import shared_folder, staged, table
 from framelake.sources import catalog
 from framelake.sources.catalog import CATALOG_SQL
+from framelake.streaming import inheritance, live
+
 
 @query(CATALOG_SQL + """, g AS (SELECT *, CASE WHEN (epoch_us(taken_at) - lag(epoch_us(taken_at)) OVER w) / 1e6 > 259200 THEN 1 ELSE 0 END AS cut
   FROM media WHERE taken_at IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY taken_at, id))
@@ -112,6 +117,22 @@ def asof_nearest_other_origin(spark, sf):
     return _donors(spark, sf).select("id", "donor_id", F.round("delta_s", 6).alias("delta_s"))
 
 
+@query(CATALOG_SQL + _ASOF + " SELECT id, donor_id, round(delta_s, 6) AS delta_s FROM r")
+def live_inheritance(spark, sf):
+    """The same as a stream of the events' files: stateful, revised by late donors, and started anew from its checkpoint."""
+    items = catalog.media_of(live.events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    items = items.select("id", F.coalesce("taken_at", "mtime").alias("at"), F.col("source_id").alias("origin"), F.col("gps_lat").isNotNull().alias("has_gps"))
+    folder, key = f"{shared_folder(spark)}/framelake/live-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, inheritance.STATE_STORE)
+    try:
+        told = inheritance.inherited(items, "3650 days").writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        told.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/told/batch={n}")).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return inheritance.latest(spark.read.parquet(f"{folder}/told")).select("id", "donor_id", F.round("delta_s", 6).alias("delta_s"))
+
+
 @query(CATALOG_SQL + _ASOF + """ SELECT CAST(CASE WHEN delta_s <= 120 THEN 0 WHEN delta_s <= 600 THEN 1 WHEN delta_s <= 7200 THEN 2 WHEN delta_s <= 43200 THEN 3 ELSE 4 END AS BIGINT) AS band,
   count(*) AS n, round(avg(delta_s), 6) AS mean_delta_s FROM r GROUP BY 1""")
 def asof_bands(spark, sf):
@@ -162,3 +183,66 @@ def bbox_map(spark, sf):
     box = catalog.media(spark, sf).where("gps_lat IS NOT NULL").groupBy("source_id").agg(F.min("gps_lat").alias("s"), F.max("gps_lat").alias("n"), F.min("gps_lon").alias("w"), F.max("gps_lon").alias("e"))
     north, east = geo.metres_per_degree((F.col("s") + F.col("n")) / 2)
     return box.select("source_id", F.round(F.col("s") - 1000 / north, 6).alias("south"), F.round(F.col("n") + 1000 / north, 6).alias("north"), F.round(F.col("w") - 1000 / east, 6).alias("west"), F.round(F.col("e") + 1000 / east, 6).alias("east"))
+
+
+def _timeline(spark, sf):
+    """Files in forty sessions: away, first at home and then away, at home, of no known place; some days, some hours with a
+    pause; some without a date of capture; one in the folder of an occasion."""
+    e, n, g = table(spark, sf, "events"), F.col("event_id"), F.col("user_id") % 40
+    short = g % 8 >= 2
+    short = short & (g % 8 <= 3)
+    step = F.when(short, (n % 40) * 600 + F.when(n % 40 >= 20, 7800).otherwise(0)).otherwise((n % 97) * 1800)
+    at = F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00")) + F.make_dt_interval(days=(g * 10).cast("int"), secs=step)
+    away = (g % 4 == 0) | ((g % 4 == 1) & (n % 97 >= 48))
+    placed = (g % 4 != 3) & (n % 3 == 0)
+    return e.select(
+        n.alias("id"), F.when(g % 10 != 7, at).alias("taken_at"), F.when(g % 10 == 7, at).alias("mtime"), F.when(g == 2, "/a/Aniversario da Ana").otherwise("/a/misc").alias("folder"),
+        F.when(placed, F.when(away, F.lit(-10.0) - g / 100).otherwise(-23.0)).alias("lat"), F.when(placed, F.when(away, -70.0).otherwise(-43.0)).alias("lon"), F.when(placed & away, "Chile").alias("country"),
+    )
+
+
+_HAPPENINGS = """
+WITH t AS (SELECT event_id AS id, user_id % 40 AS g, event_id % 97 AS k, TIMESTAMP '2020-01-01' + to_days(CAST(10 * (user_id % 40) AS INTEGER)) + to_seconds(CASE WHEN user_id % 40 % 8 IN (2, 3) THEN (event_id % 40) * 600 + CASE WHEN event_id % 40 >= 20 THEN 7800 ELSE 0 END ELSE (event_id % 97) * 1800 END) AS tm,
+  user_id % 40 % 4 <> 3 AND event_id % 3 = 0 AS known, user_id % 40 % 4 = 0 OR (user_id % 40 % 4 = 1 AND event_id % 97 >= 48) AS away FROM events),
+f AS (SELECT *, first_value(CASE WHEN known AND away THEN struct_pack(a := tm, i := id) END IGNORE NULLS) OVER (PARTITION BY g ORDER BY tm, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS edge, count(*) FILTER (known AND away) OVER (PARTITION BY g) AS far, count(*) FILTER (known AND NOT away) OVER (PARTITION BY g) AS near FROM t),
+s AS (SELECT *, CASE WHEN far >= 2 AND near >= 1 AND struct_pack(a := tm, i := id) >= edge THEN 1 ELSE 0 END AS segment FROM f),
+p AS (SELECT *, min(id) OVER w AS part, count(*) OVER w AS n, (epoch_us(max(tm) OVER w) - epoch_us(min(tm) OVER w)) / 3.6e9 AS hours, count(*) FILTER (known AND away) OVER w AS out_, count(*) FILTER (known) OVER w AS placed FROM s WINDOW w AS (PARTITION BY g, segment)),
+q AS (SELECT *, out_ > 0 AND out_ > placed - out_ AND g % 10 <> 7 AS trip FROM p WHERE n >= 2),
+o AS (SELECT *, (epoch_us(tm) - lag(epoch_us(tm)) OVER w) / 1e6 AS gap FROM q WHERE NOT trip AND hours <= 20 WINDOW w AS (PARTITION BY part ORDER BY tm, id)),
+u AS (SELECT *, quantile_cont(gap, 0.5) OVER (PARTITION BY part ORDER BY tm, id ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS usual FROM o),
+c AS (SELECT *, sum(CASE WHEN gap IS NULL THEN 0 WHEN gap >= 28800 THEN 1 WHEN gap < 5400 THEN 0 WHEN gap > 6 * usual THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY tm, id ROWS UNBOUNDED PRECEDING) AS event FROM u),
+b AS (SELECT part, event, count(*) AS n FROM c GROUP BY 1, 2),
+d AS (SELECT *, sum(CASE WHEN r = 1 OR n >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY part ORDER BY event ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY event) AS r FROM b)),
+m AS (SELECT *, CASE WHEN sum(n) FILTER (grp = 1) OVER (PARTITION BY part) < 10 AND max(grp) OVER (PARTITION BY part) > 1 THEN greatest(grp - 2, 0) ELSE grp - 1 END AS merged FROM d),
+k AS (SELECT c.id, c.part, m.merged, count(DISTINCT merged) OVER (PARTITION BY c.part) AS several FROM c JOIN m USING (part, event)),
+v AS (SELECT id, min(id) OVER (PARTITION BY part, merged) AS group_id FROM k WHERE several > 1),
+w AS (SELECT q.id, coalesce(v.group_id, q.part) AS group_id, q.g, q.tm, q.trip FROM q LEFT JOIN v ON v.id = q.id)
+"""
+
+
+@query(_HAPPENINGS + """SELECT group_id, CASE WHEN any_value(trip) THEN 'trip' WHEN any_value(g) = 2 THEN 'occasion' ELSE 'neutral' END AS kind, CASE WHEN any_value(trip) THEN 'Chile' WHEN any_value(g) = 2 THEN 'Aniversario da Ana' END AS label,
+  CASE WHEN any_value(trip) THEN 'distance' WHEN any_value(g) = 2 THEN 'word' ELSE 'none' END AS rule, min(tm) AS started, max(tm) AS ended, count(*) AS n FROM w GROUP BY 1""")
+def session_driver(spark, sf):
+    """DOM-9: gaps, home and away, the cascade, the rhythm, and the second judgement, one after the other."""
+    media = staged(_timeline(spark, sf), "timeline")
+    groups, _ = engine.happenings(media, _home(media), _no_countries(spark))
+    return groups.select("group_id", "kind", "label", "rule", "started", "ended", "n")
+
+
+@query(_HAPPENINGS + "SELECT id, group_id FROM w")
+def session_driver_incremental(spark, sf):
+    """DOM-9, DOM-10: the groups of every file after a third of them came later; only sessions they touch are built again."""
+    media = staged(_timeline(spark, sf), "timeline")
+    home, names = _home(media), _no_countries(spark)
+    earlier = media.where("id % 3 <> 1 OR date_trunc('month', coalesce(taken_at, mtime)) <> TIMESTAMP_NTZ '2020-05-01'")
+    groups, members = (staged(x, "earlier") for x in engine.happenings(earlier, home, names))
+    return engine.with_new_files(media, groups, members, home, names)[1].select("id", "group_id")
+
+
+def _home(media):
+    found = sessions.home_cells(media.withColumnsRenamed({"lat": "gps_lat", "lon": "gps_lon"})).where("is_home").select("lat", "lon").first()  # one row
+    return (found.lat, found.lon) if found else None
+
+
+def _no_countries(spark):
+    return spark.createDataFrame([("peru", "Peru")], "alias string, country string")

@@ -13,7 +13,11 @@ from framelake.session import table
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return media_of(table(spark, sf_dir, "events"))
+
+
+def media_of(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as media."""
     user, event = F.col("user_id"), F.col("event_id")
     gps = F.col("event_type").isin("purchase", "signup")
     prefix = F.when(F.col("event_type") == "click", "IMG-20240115-WA").when(F.col("event_type") == "view", "Screenshot_").otherwise("IMG_")
