@@ -123,12 +123,13 @@ def sweep(pairs: DataFrame, speeds: tuple[float, ...], caps_m: tuple[float, ...]
 
 
 def bootstrap(pairs: DataFrame, reps: int = 400, speed: float = SPEED, most_m: float = MOST_M) -> DataFrame:
-    """p5, p50, p95 of the coverage over reps draws of days with replacement; a day's weight in a draw is the number of
-    the draw's picks, by hash, that fall on it."""
+    """p5, p50, p95 of the coverage over reps draws of days with replacement: the i-th pick of a draw is the day whose
+    number is MD5's first 32 bits of `rep:i`, modulo the number of days."""
     inside = (F.col("km") * 1000 <= F.least(F.lit(most_m), F.greatest(F.lit(LEAST_M), speed * F.abs("delta_s")))).cast("int")
     days = pairs.groupBy("day").agg(F.avg(inside).alias("share"))
     ranked = days.withColumn("i", F.row_number().over(Window.orderBy("day")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))  # days are few
     draws = ranked.select("n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), "i")
-    picks = draws.select("rep", F.pmod(F.xxhash64("rep", "i"), F.col("n")).cast("int").alias("i"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
+    picks = draws.select("rep", (drawn % F.col("n")).cast("int").alias("i"))
     per = picks.join(ranked.select("i", "share"), "i").groupBy("rep").agg(F.avg("share").alias("c"))
     return per.agg(*(F.percentile("c", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.05, 0.5, 0.95)))

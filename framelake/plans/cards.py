@@ -276,9 +276,13 @@ def radius_sweep(spark, sf):
     return asof.sweep(_pairs(spark, sf), (1.0, 3.0, 6.0, 10.0, 20.0), (5000.0, 20000.0, 50000.0, 100000.0, 200000.0))
 
 
-@query()
+@query(CATALOG_SQL + _HELD + """, d AS (SELECT day, avg(CASE WHEN km * 1000 <= least(50000.0, greatest(15.0, 6.0 * delta_s)) THEN 1 ELSE 0 END) AS share FROM pairs GROUP BY day),
+n AS (SELECT *, row_number() OVER (ORDER BY day NULLS FIRST) - 1 AS i, count(*) OVER () AS days FROM d),
+p AS (SELECT rep, CAST('0x' || substr(md5(rep || ':' || i), 1, 8) AS BIGINT) % days AS i FROM n, (SELECT unnest(range(1, 401)) AS rep)),
+c AS (SELECT rep, avg(share) AS c FROM p JOIN n USING (i) GROUP BY rep)
+SELECT round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.95), 6) AS p95 FROM c""")
 def radius_bootstrap(spark, sf):
-    return asof.bootstrap(_pairs(spark, sf))
+    return asof.bootstrap(_pairs(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("p5", "p50", "p95")))
 
 
 @query(CATALOG_SQL + _ANCHORS + """, kept AS (SELECT m.make, m.model, m.o FROM known k JOIN mid m ON k.make IS NOT DISTINCT FROM m.make AND k.model IS NOT DISTINCT FROM m.model GROUP BY 1, 2, 3, m.n HAVING m.n >= 2 AND quantile_cont(abs(k.d - m.o), 0.5) <= 1e9),
