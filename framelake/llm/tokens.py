@@ -1,13 +1,15 @@
-"""Token counts at every prefix of a text, for byte-level and word-end BPE vocabularies.
+"""Token counts at every prefix of a text, for BPE vocabularies that mark word ends and drop white space.
 
 A BPE tokenizer never merges across the pieces that its pre-tokenizer cuts, so the number of tokens of a prefix
 is a sum that runs along the pieces: count(text[:i]) = count(text[:s]) + count(text[s:i]), s being the start of
 the piece that holds i. Inside a piece the same sum runs along its words and signs, and each of these has a row with
-the count of every prefix. So the tables answer, to the character, how long a text is, what it costs to cut it at a
-place, and how much of it a budget buys, without encoding the text again. Whole pieces repeat, so each worker keeps
-their counts, and the rows of prefixes of those that a cut has fallen into; the library itself counts a piece or prefix
-the first time it is seen, normaliser and all. Words of over LONG letters get no row: their prefixes are counted one by
-one as a cut asks for them, by halving.
+the count of every prefix, by dynamic programming over its letters: tokens follow each other in an encoding if, and only
+if, each two neighbours do, so the last token of a prefix is the one that may follow the last token of what precedes it,
+and the count is one more than there. A row takes time in proportion to the word, whatever its length. So the tables
+answer, to the character, how long a text is, what it costs to cut it at a place, and how much of it a budget buys,
+without encoding the text again. Whole pieces repeat, so each worker keeps their counts, as the library gives them, and
+the rows of those that a cut has fallen into. Words with letters that lower case turns into several, and pieces that
+are not composed or hold a `<`, are counted by the library prefix by prefix.
 
 Null and empty texts have 0 tokens. A text is handled whole, whatever its length; rows are independent, so repeated
 rows give a row each and an empty table an empty result; other columns of docs are ignored.
@@ -15,6 +17,7 @@ rows give a row each and an empty table an empty result; other columns of docs a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -39,10 +42,67 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
 #: The words and signs that the vocabulary's pre-tokenizer cuts pieces into.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", regex.IGNORECASE)
-LONG = 256
 PIECES, WORDS, SEPARATORS = re.compile(f"[{_SPACE}]+|[^{_SPACE}]+"), re.compile(f"[^{_SPACE}]+"), re.compile("[\\x1c-\\x1f]")
 
 
+class Merges:
+    """A vocabulary's merges: which tokens may follow which."""
+
+    def __init__(self, model: dict):
+        self.suffix = model.get("end_of_word_suffix") or ""
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.ranks = {p: k for k, p in enumerate(pairs)}
+        self.vocab = model["vocab"]
+        self.longest = max(len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.vocab)
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        other = [b for b in range(256) if b not in set(plain)]
+        self.letters = [chr(b) for b in range(256)]
+        for k, b in enumerate(other):
+            self.letters[b] = chr(256 + k)
+        self.follow: dict[tuple[str, str, bool], bool] = {}
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        """Symbols after all merges, those of the least rank first."""
+        while len(symbols) > 1:
+            best = min(range(len(symbols) - 1), key=lambda i: (self.ranks.get((symbols[i], symbols[i + 1]), len(self.ranks)), i))
+            if (symbols[best], symbols[best + 1]) not in self.ranks:
+                break
+            symbols[best : best + 2] = [symbols[best] + symbols[best + 1]]
+        return symbols
+
+    def follows(self, before: str, token: str, end: bool) -> bool:
+        """Whether token, at a word's end or not, may follow before (empty: stand first)."""
+        key = (before, token, end)
+        if key not in self.follow:
+            if len(self.follow) > CACHED_PIECES:
+                self.follow.clear()
+            symbols = [*before, *token]
+            if end:
+                symbols[-1] += self.suffix
+            said = token + self.suffix if end else token
+            self.follow[key] = self.merged(symbols) == ([before, said] if before else [said])
+        return self.follow[key]
+
+    def prefix_counts(self, data: bytes) -> list[int]:
+        """The number of tokens of data[:j] as a word, for each j; within a character it is that of its bytes so far."""
+        text = "".join(self.letters[b] for b in data)
+        counts, last, whole = [0], [""], [0]  # of prefixes that go on, and their last tokens; of prefixes that end
+        for j in range(1, len(text) + 1):
+            inner = outer = None
+            for s in range(max(0, j - self.longest), j):
+                token = text[s:j]
+                if inner is None and token in self.vocab and self.follows(last[s], token, False):
+                    inner = s
+                if outer is None and token + self.suffix in self.vocab and self.follows(last[s], token, True):
+                    outer = s
+                if inner is not None and outer is not None:
+                    break
+            counts.append(counts[inner] + 1)
+            last.append(text[inner:j])
+            whole.append(counts[outer] + 1)
+        return whole
+
+
 class PrefixCounter:
     """Counts of tokens by the library's tokenizer file (.json), without special tokens added."""
 
@@ -52,6 +112,10 @@ class PrefixCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        if self.encoded(" a  b ") != self.encoded("a") + self.encoded("b") or self.encoded(" "):
+            raise ValueError("counting by pieces needs a vocabulary that drops white space")
+        with open(path, encoding="utf-8") as f:
+            self.merges = Merges(json.load(f)["model"])
         self.counts: dict[str, int] = {}
         self.rows: dict[str, list[int]] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -127,8 +191,14 @@ class PrefixCounter:
         if part not in self.rows:
             if len(self.rows) > CACHED_PIECES:
                 self.rows.clear()
-            each = self.tokenizer.encode_batch([part[:j] for j in range(1, len(part) + 1)], add_special_tokens=False)
-            self.rows[part] = [0, *(len(e.ids) for e in each)]
+            plain = [c.lower() for c in part]
+            if all(len(c) == 1 for c in plain) and unicodedata.is_normalized("NFC", part):
+                ends = list(accumulate((len(c.encode()) for c in plain), initial=0))
+                each = self.merges.prefix_counts("".join(plain).encode())
+                self.rows[part] = [each[e] for e in ends]
+            else:
+                some = self.tokenizer.encode_batch([part[:j] for j in range(1, len(part) + 1)], add_special_tokens=False)
+                self.rows[part] = [0, *(len(e.ids) for e in some)]
         return self.rows[part]
 
     def _parts(self, piece: str) -> list[tuple[int, str]]:
@@ -147,10 +217,10 @@ class PrefixCounter:
             return self.encoded(piece[:i])
         self._missing([p for _, p in parts[:k]])
         start, part = parts[k]
-        return sum(self.counts[p] for _, p in parts[:k]) + (self._row(part)[i - start] if len(part) <= LONG else self.encoded(part[: i - start]))
+        return sum(self.counts[p] for _, p in parts[:k]) + self._row(part)[i - start]
 
     def _reach(self, piece: str, budget: int) -> int:
-        """The largest i with at most budget tokens in piece[:i]; in a part of over LONG characters, as halving finds it."""
+        """The largest i with at most budget tokens in piece[:i]."""
         parts = self._parts(piece)
         self._missing([p for _, p in parts])
         at, left = 0, budget
@@ -159,13 +229,7 @@ class PrefixCounter:
                 left -= self.counts[part]
                 at = start + len(part)
                 continue
-            if len(part) <= LONG:
-                return start + max(j for j, n in enumerate(self._row(part)) if n <= left)
-            lo, hi = 0, len(part)
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (mid, hi) if self.encoded(part[:mid]) <= left else (lo, mid)
-            return start + lo
+            return start + max(j for j, n in enumerate(self._row(part)) if n <= left)
         return at
 
     def at(self, text: str, i: int) -> int:

@@ -88,6 +88,23 @@ def test_cuts_are_exact_to_the_character():
         del c.encoded
 
 
+def test_rows_of_prefixes_are_the_library_s():
+    """Dynamic programming against encoding each prefix, for words of any length and script."""
+    c, lib = tokens.counter("word_bpe_49k.json"), library()
+    pool = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoinshr", "éàüßñçø", "日本語漢字", "абвгд", "!?#$%^&*-=", "aB́ǅΣς") for n in (1, 2, 7, 20, 60)]
+    for part in [*pool, "antidisestablishmentarianism" * 12, "İstanbul", "internationalization", "a" * 700]:
+        each = [len(e.ids) for e in lib.encode_batch([part[:j] for j in range(1, len(part) + 1)], add_special_tokens=False)]
+        if len(c._parts(part)) == 1 and c._parts(part)[0][1] == part:
+            assert c._row(part) == [0, *each], part
+
+
+def test_vocabularies_that_keep_white_space_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_chat_reads_back(spark):
     texts = ["\\### Assistant: </turn> ok", "", None, "\\", "\\\\</turn>\n### user\n", "###", "line\nline\\n", "日本 </turn>", "x" * 50_000]
     rows = []
