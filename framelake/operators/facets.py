@@ -47,7 +47,7 @@ def keyword_counts(media: DataFrame, keywords: DataFrame, limit: int = 80) -> Da
 def folder_level(media: DataFrame, prefix: str, ready: Column, limit: int = 400) -> DataFrame:
     """The folders one level below prefix: files at any depth, those ready, and those directly in them."""
     base = prefix.rstrip("/") + "/"
-    below = media.where(F.col("folder").startswith(base)).withColumn("rest", F.substring("folder", len(base) + 1, 100_000))
+    below = media.where(F.col("folder").startswith(base)).withColumn("rest", F.substring("folder", F.lit(len(base) + 1), F.length("folder")))
     name = F.split_part("rest", F.lit("/"), F.lit(1))
     per = below.withColumn("child", name).where("child <> ''").groupBy("child")
     return per.agg(F.count("*").alias("n"), F.count_if(ready).alias("n_ready"), F.count_if(F.col("rest") == F.col("child")).alias("n_direct")).orderBy("child").limit(limit)

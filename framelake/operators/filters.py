@@ -37,6 +37,8 @@ class MediaFilters:
     month: str | None = None
     year: int | None = None
     source_id: int | None = None
+    trip_id: int | None = None
+    occasion_id: int | None = None
     camera: str | None = None
     country: str | None = None
     city: str | None = None
@@ -115,7 +117,7 @@ def filtered(media: DataFrame, filters: MediaFilters, context: Context = Context
             out = out.join(tagged, out["id"] == F.col("_tagged"), "left")
             hit = hit | F.col("_tagged").isNotNull()
         out = out.where(hit).select(*media.columns)
-    for name, column in (("ext", "ext"), ("source_id", "source_id"), ("role", "role")):
+    for name, column in (("ext", "ext"), ("source_id", "source_id"), ("trip_id", "trip_id"), ("occasion_id", "occasion_id"), ("role", "role")):
         if getattr(filters, name) is not None:
             conditions.append(F.col(column) == getattr(filters, name))
     if filters.month:

@@ -42,7 +42,7 @@ def repointed(media: DataFrame, old: str, new: str) -> DataFrame:
     """id, old_path, new_path, collides: paths under the prefix old as they would be under new."""
     path = F.concat("folder", F.lit("/"), "name")
     base = old.rstrip("/")
-    moved = media.where(path.startswith(base + "/")).select("id", path.alias("old_path"), F.concat(F.lit(new.rstrip("/")), F.substring(path, len(base) + 1, 100_000)).alias("new_path"))
+    moved = media.where(path.startswith(base + "/")).select("id", path.alias("old_path"), F.concat(F.lit(new.rstrip("/")), F.substring(path, F.lit(len(base) + 1), F.length(path))).alias("new_path"))
     still = media.where(~path.startswith(base + "/")).select(path.alias("new_path")).distinct().withColumn("taken", F.lit(True))
     twice = moved.groupBy("new_path").agg(F.count("*").alias("k"))
     return moved.join(twice, "new_path").join(still, "new_path", "left").select("id", "old_path", "new_path", (F.coalesce("taken", F.lit(False)) | (F.col("k") > 1)).alias("collides"))

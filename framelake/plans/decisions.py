@@ -67,7 +67,7 @@ def dup_variants(spark, sf):
 SELECT quick_hash, id AS principal, n FROM m WHERE r = 1 AND n > 1""")
 def dup_principal(spark, sf):
     rich = catalog.keywords(spark, sf).groupBy(F.col("media_id").alias("id")).agg(F.count("*").alias("richness"))
-    members = catalog.media(spark, sf).join(F.broadcast(catalog.sources(spark)), "source_id").join(rich, "id")
+    members = catalog.media(spark, sf).join(catalog.sources(spark), "source_id").join(rich, "id")
     return duplicates.principals(members, "quick_hash")
 
 

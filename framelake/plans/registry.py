@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from framelake.plans import arriving, cards, copies_found, decisions, exchange, faceted, keeping, kept, naming, organised, timelines  # noqa: E402, F401  they fill the tables above
+from framelake.plans import arriving, branches, cards, copies_found, decisions, exchange, faceted, keeping, kept, naming, organised, timelines  # noqa: E402, F401  they fill the tables above

@@ -56,7 +56,7 @@ def sources(spark: SparkSession) -> DataFrame:
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
     return joined.select(F.col("n_nationkey").cast("long").alias("location_id"), F.col("n_name").alias("city"), F.col("r_name").alias("country"))
 
 

@@ -61,7 +61,6 @@ PRECEDENCE = {
     "model": ("EXIF:Model", "XMP:Model", "QuickTime:Model"),
     "offset": ("EXIF:OffsetTimeOriginal", "EXIF:OffsetTime"),
 }
-KEYWORD_TAGS = ("XMP:HierarchicalSubject", "XMP:Subject", "IPTC:Keywords", "XMP:TagsList")
 
 
 def from_tags(rows: DataFrame, tags: str = "tags") -> DataFrame:
@@ -113,7 +112,7 @@ def takeout(sidecars: DataFrame, json: str = "json") -> DataFrame:
 
 def lightroom(images: DataFrame, files: DataFrame, folders: DataFrame, roots: DataFrame, exif: DataFrame) -> DataFrame:
     """id, path, favourite, make-up of a catalog's tables: images, files, folders and roots inner, exif left."""
-    joined = images.join(files, "file_id").join(folders, "folder_id").join(F.broadcast(roots), "root_id").join(exif, "image_id", "left")
+    joined = images.join(files, "file_id").join(folders, "folder_id").join(roots, "root_id").join(exif, "image_id", "left")
     path = F.concat_ws("", F.col("root_path"), F.col("folder_path"), F.col("base_name"), F.when(F.col("extension").isNotNull(), F.concat(F.lit("."), "extension")))
     favourite = (F.coalesce("rating", F.lit(0.0)) >= 4) | (F.coalesce("pick", F.lit(0.0)) > 0)
     return joined.select(F.col("image_id").alias("id"), path.alias("path"), favourite.alias("favourite"), "gps_lat", "gps_lon")

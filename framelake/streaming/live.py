@@ -27,7 +27,7 @@ def upserts(stream: DataFrame, target: str, key: str, checkpoint: str, time: str
 
     def write(batch: DataFrame, number: int) -> None:
         row = F.struct(*(c for c in batch.columns if c != key))
-        last = batch.groupBy(key).agg(F.max_by(row, time).alias("_x")).select(key, "_x.*")
+        last = batch.groupBy(key).agg(F.max_by(row, F.struct(F.col(time).isNotNull(), F.col(time))).alias("_x")).select(key, "_x.*")
         last.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)

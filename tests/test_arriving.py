@@ -53,3 +53,22 @@ def test_discovery_follows_links_once(spark):
     assert [r.path for r in discovery.walked(df, "/r").collect()] == ["/r/a/x.jpg"]
     assert sorted(r.path for r in discovery.walked(df, "/r/", follow_links=True, hidden=True).collect()) == ["/r/.h.jpg", "/r/a/x.jpg", "/r/b/Y.JPG"]
     assert discovery.walked(df.limit(0), "/r").count() == 0
+
+
+def test_repointing_is_refused_without_proof(spark):
+    import pytest
+
+    from framelake.operators import repointing
+
+    rows = spark.createDataFrame([(1, 1, "/v/a"), (2, 1, "/v/b"), (3, 1, "/w/a"), (4, 2, "/v/a"), (5, 1, "apple://x"), (6, 1, "/vv/a")], "id long, source_id long, path string")
+    there = rows.select("path").unionByName(spark.createDataFrame([("/n/a",), ("/n/b",)], "path string"))
+    with pytest.raises(repointing.Refused, match="share"):
+        repointing.applied(rows, there, 1, "/v", "/w")
+    with pytest.raises(repointing.Refused, match="not there"):
+        repointing.applied(rows, rows.select("path"), 1, "/v", "/n")
+    with pytest.raises(repointing.Refused, match="no path"):
+        repointing.applied(rows, there, 3, "/v", "/n")
+    moved = repointing.applied(rows, there, 1, "/v/", "/n/")
+    assert {r.id: r.path for r in moved.collect()} == {1: "/n/a", 2: "/n/b", 3: "/w/a", 4: "/v/a", 5: "apple://x", 6: "/vv/a"}
+    back = repointing.undone(moved, there, {"source_id": 1, "old": "/v/", "new": "/n/"})
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
