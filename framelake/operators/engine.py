@@ -63,10 +63,9 @@ def _gathered(rows: DataFrame, key: str, home: tuple[float, float] | None) -> Da
     km = haversine_km(F.col("lat"), F.col("lon"), F.lit(home[0]), F.lit(home[1])) if home else F.lit(None).cast("double")
     own = rows.withColumn("km", km)
     per = own.groupBy(key).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.bool_or("dated").alias("dated"), F.count("*").alias("n"))
-    most = own.where("country IS NOT NULL").groupBy(key, "country").agg(F.count("*").alias("k")).groupBy(key).agg(F.max_by("country", F.struct("k", "country")).alias("country"))
-    stops = sessions.legs(own, [key], "country", "at").select(key, F.split("legs", " - ").alias("legs"))
+    where = sessions.geography(own if "city" in own.columns else own.withColumn("city", F.lit(None).cast("string")), key, "at").select(key, "country", "legs")
     middle = sessions.upper_median(own, [key], "km").select(key, F.col("median").alias("home_km"))
-    per = per.join(most, key, "left").join(stops, key, "left").join(middle, key, "left")
+    per = per.join(where, key, "left").join(middle, key, "left")
     return per.withColumns({"days": F.ceil(sessions.seconds(F.col("hi"), F.col("lo")) / 86_400).cast("int"), "period": F.concat_ws("/", F.date_format("lo", "MM-yyyy"), F.when(F.date_format("lo", "MM-yyyy") != F.date_format("hi", "MM-yyyy"), F.date_format("hi", "MM-yyyy")))})
 
 

@@ -114,6 +114,26 @@ def inventory(media: DataFrame, sources: DataFrame) -> DataFrame:
     return photos.join(held, "root")
 
 
+def places_of_files(media: DataFrame, sources: DataFrame) -> DataFrame:
+    """root, photos, reachable, ready, sources (their names, sorted) by root volume, most photos first; the last row, of root
+    null, counts the files that no path leads to, references of outside catalogs.
+
+    One photo is what shares a path, whatever its case; its root is that of the least spelling. sources: source_id,
+    available, name.
+    """
+    path = F.concat("folder", F.lit("/"), "name")
+    there = F.coalesce("available", F.lit(False)) & ~F.col("missing") & ~F.col("offline")
+    rows = media.join(sources.select("source_id", "available", F.col("name").alias("source")), "source_id").withColumns({"path": path, "reachable": there, "ready": there & (F.col("role") == "holding")})
+    lost = F.col("folder").isNull() | path.contains("://")
+    photos = rows.where(~lost).groupBy(F.lower("path").alias("key")).agg(F.min("path").alias("path"), F.max("reachable").alias("reachable"), F.max("ready").alias("ready"), F.array_sort(F.collect_set("source")).alias("names"))
+    # names first meet by root and set of names, of which there are few
+    per = photos.groupBy(root_of(F.col("path")).alias("root"), "names").agg(F.count("*").alias("photos"), F.count_if("reachable").alias("reachable"), F.count_if("ready").alias("ready"))
+    per = per.groupBy("root").agg(*(F.sum(c).alias(c) for c in ("photos", "reachable", "ready")), F.flatten(F.collect_set("names")).alias("names"))
+    named = per.select("root", "photos", "reachable", "ready", F.array_join(F.array_sort(F.array_distinct("names")), ",").alias("sources"))
+    none = rows.where(lost).agg(F.count("*").alias("photos")).select(F.lit(None).cast("string").alias("root"), "photos", F.lit(0).cast("long").alias("reachable"), F.lit(0).cast("long").alias("ready"), F.lit("").alias("sources"))
+    return named.unionByName(none).orderBy(F.col("root").isNull(), F.desc("photos"), "root")
+
+
 def funnel(media: DataFrame, sources: DataFrame) -> DataFrame:
     return _known(media, sources).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.count("*").alias("known"), F.count_if("reachable").alias("reachable"), F.count_if("ready").alias("ready"))
 

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from framelake.functions.paths import on_filesystem
 
 
-def changes(catalog: DataFrame, seen: DataFrame) -> DataFrame:
-    """path, change of what a scan saw: new, changed (size or mtime by a microsecond) or same; a path seen twice counts
-    as it was seen last."""
-    seen = once(seen.select("path", "bytes", "mtime"), "path", "mtime")
-    old = catalog.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_old"))
+def changes(catalog: DataFrame, seen: DataFrame, force: bool = False) -> DataFrame:
+    """path, change of what a scan saw: new, changed (size or mtime by a microsecond, or the inode where both tables have
+    one) or same; a path seen twice counts as it was seen last. With force nothing is the same: all is read again."""
+    by_inode = "inode" in catalog.columns and "inode" in seen.columns
+    more = ["inode"] if by_inode else []
+    seen = once(seen.select("path", "bytes", "mtime", *more), "path", "mtime")
+    old = catalog.select("path", F.col("bytes").alias("_bytes"), F.col("mtime").alias("_mtime"), *(F.col(c).alias(f"_{c}") for c in more), F.lit(True).alias("_old"))
     apart = F.coalesce(F.abs(F.timestamp_diff("MICROSECOND", F.col("_mtime"), F.col("mtime"))) >= 1, F.lit(True))
     same = F.col("bytes").eqNullSafe(F.col("_bytes")) & (F.col("mtime").eqNullSafe(F.col("_mtime")) | ~apart)
-    change = F.when(F.col("_old").isNull(), "new").when(same, "same").otherwise("changed")
+    if by_inode:
+        same = same & F.col("inode").eqNullSafe(F.col("_inode"))
+    change = F.when(F.col("_old").isNull(), "new").when(same & F.lit(not force), "same").otherwise("changed")
     return seen.join(old, "path", "left").select("path", change.alias("change"))
 
 

@@ -152,3 +152,21 @@ def overlapping(spans: DataFrame, marks: DataFrame, keys: list[str]) -> DataFram
     days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))))
     hits = days.join(marks.withColumn("_day", F.to_date("at")), "_day").where("at >= lo AND at <= hi")
     return hits.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+
+
+def geography(df: DataFrame, key: str, time: str, least: int = 3, most_places: int = 5, tie: str = "id") -> DataFrame:
+    """key, country (of most rows, the first seen of equals), places (up to most_places `city, country`, as first seen) and
+    legs (countries of at least least rows, as first seen, if there are two or more). df: country and city, of which a
+    row that inherits them has only what its donor's distance allows."""
+    at = F.struct(time, tie)
+    per = df.where("country IS NOT NULL").groupBy(key, "country").agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
+    order = F.array_sort(F.collect_list(F.when(F.col("_n") >= least, F.struct("_first", "country"))))
+    stops = F.transform(order, lambda x: x["country"])
+    best = F.max_by("country", F.struct(F.col("_n"), -F.unix_micros(F.col(f"_first.{time}").cast("timestamp")), -F.col(f"_first.{tie}")))
+    countries = per.groupBy(key).agg(best.alias("country"), stops.alias("legs"))
+    place = F.concat_ws(", ", F.when(F.col("city") != "", F.col("city")), F.when(F.col("country") != "", F.col("country")))
+    spots = df.withColumn("_place", place).where("_place <> ''").groupBy(key, "_place").agg(F.min(at).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
+    spots = spots.withColumn("_r", rank).where(F.col("_r") <= most_places).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_place"))), lambda x: x["_place"]).alias("places"))
+    both = spots.select(F.col(key).alias("_k"), "places").join(countries, F.col("_k").eqNullSafe(countries[key]), "left")
+    return both.select(F.col("_k").alias(key), "country", "places", F.when(F.size("legs") >= 2, F.col("legs")).alias("legs"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions.dates import date_in_name
-from framelake.operators import facets, filters, repointing
+from framelake.operators import facets, filters, ingest, repointing, sessions
 from framelake.plans.registry import query
-from framelake.session import table
-from framelake.sources import catalog, files, scan
+from framelake.session import shared_folder, table
+from framelake.sources import catalog, copies, files, scan
 from framelake.sources.catalog import CATALOG_SQL
 
 
@@ -146,3 +148,57 @@ def repointed_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (2, 3):
         rows = repointing.applied(rows, present, k, "/Volumes/photo/", "/Volumes/new/x")
     return repointing.undone(rows, present, {"source_id": 3, "old": "/Volumes/photo/", "new": "/Volumes/new/x"}).select("id", "path")
+
+
+@query(CATALOG_SQL + """, m AS (SELECT id % 60 AS session, id, taken_at, CASE WHEN id % 5 <> 4 THEN country END AS country, CASE WHEN id % 3 <> 0 AND id % 5 <> 4 THEN city END AS city FROM media LEFT JOIN places USING (location_id) WHERE taken_at IS NOT NULL),
+c AS (SELECT session, country, count(*) AS n, min(struct_pack(a := taken_at, i := id)) AS f FROM m WHERE country IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT session, concat_ws(', ', city, country) AS place, min(struct_pack(a := taken_at, i := id)) AS f FROM m WHERE country IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY f) AS k FROM p)
+SELECT session, (SELECT country FROM c WHERE c.session = r.session ORDER BY n DESC, f LIMIT 1) AS country, string_agg(place, '; ' ORDER BY k) FILTER (k <= 5) AS places,
+  (SELECT CASE WHEN count(*) >= 2 THEN string_agg(country, '; ' ORDER BY f) END FROM c WHERE c.session = r.session AND n >= 3) AS legs FROM r GROUP BY session""")
+def session_geography(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-20: the country of most files, five places and the legs of each session, in the order in which they were seen."""
+    n, m = F.col("id"), catalog.media(spark, sf_dir).where("taken_at IS NOT NULL").join(catalog.places(spark, sf_dir), "location_id", "left")
+    rows = m.select("id", (n % 60).alias("session"), "taken_at", F.when(n % 5 != 4, F.col("country")).alias("country"), F.when((n % 3 != 0) & (n % 5 != 4), F.col("city")).alias("city"))
+    return sessions.geography(rows, "session", "taken_at").select("session", "country", F.array_join("places", "; ").alias("places"), F.array_join("legs", "; ").alias("legs"))
+
+
+@query(CATALOG_SQL + """, m AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'apple://' || id WHEN id % 19 = 0 THEN NULL WHEN id % 23 = 0 THEN upper(folder) ELSE folder END AS f, CASE WHEN id % 4 < 2 THEN 'same' || (id % 50) ELSE name END AS n FROM media JOIN sources USING (source_id)),
+r AS (SELECT *, f || '/' || n AS path, available AND NOT missing AND NOT offline AS up FROM m),
+k AS (SELECT min(path) AS path, bool_or(up) AS up, bool_or(up AND role = 'holding') AS ready, list(DISTINCT 'the ' || kind) AS names FROM r WHERE f IS NOT NULL AND NOT contains(path, '://') GROUP BY lower(path)),
+v AS (SELECT CASE WHEN split_part(path, '/', 2) = 'Volumes' THEN '/Volumes/' || split_part(path, '/', 3) ELSE '/' END AS root, up, ready, names FROM k)
+SELECT root, count(*) AS photos, count(*) FILTER (up) AS reachable, count(*) FILTER (ready) AS ready, array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') AS sources FROM v GROUP BY root
+UNION ALL SELECT NULL, count(*), 0, 0, '' FROM r WHERE f IS NULL OR contains(path, '://')""")
+def inventory_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-11: one photo of several sources and spellings, names of sources, references without a path."""
+    n, m = F.col("id"), catalog.media(spark, sf_dir)
+    folder = F.when(n % 17 == 0, F.concat(F.lit("apple://"), n)).when(n % 19 == 0, None).when(n % 23 == 0, F.upper("folder")).otherwise(F.col("folder"))
+    m = m.withColumns({"folder": folder, "name": F.when(n % 4 < 2, F.concat(F.lit("same"), n % 50)).otherwise(F.col("name"))})
+    named = catalog.sources(spark).withColumn("name", F.concat(F.lit("the "), "kind"))
+    return facets.places_of_files(m, named)
+
+
+@query("""
+SELECT event_id AS path, CASE WHEN event_id % 3 = 0 THEN 'new' WHEN event_id % 7 = 1 OR event_id % 11 = 2 THEN 'changed' ELSE 'same' END AS change, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'changed' END AS forced FROM events""")
+def changes_by_inode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3: a file of the same size and time under another inode has changed; a forced scan reads everything again."""
+    n = F.col("event_id")
+    seen = table(spark, sf_dir, "events").select(n.alias("path"), n.alias("bytes"), F.col("ts").alias("mtime"), (n % 100).alias("inode"))
+    known = seen.where("path % 3 <> 0").withColumns({"inode": F.when(F.col("path") % 7 == 1, -1).otherwise(F.col("inode")), "bytes": F.when(F.col("path") % 11 == 2, 0).otherwise(F.col("bytes"))})
+    return ingest.changes(known, seen).join(ingest.changes(known, seen, force=True).withColumnRenamed("change", "forced"), "path")
+
+
+@query("""
+WITH p AS (SELECT page_id, page_id % 10 = 0 AS unsafe, page_id % 13 = 5 OR html IS NULL AS gone FROM pages)
+SELECT count(*) AS total, count(*) FILTER (NOT unsafe AND NOT gone) AS done, CAST(0 AS BIGINT) AS refused, count(*) FILTER (unsafe OR gone) AS errors, count(*) FILTER (unsafe) AS conflicts, CAST(0 AS BIGINT) AS open,
+  count(*) FILTER (NOT unsafe AND NOT gone) || ' of ' || count(*) || ' ready' AS dry_run FROM p""")
+def copy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-18: a plan's counts after two runs, the second of which found its own copies there, and the last dry run."""
+    root, n = f"{shared_folder(spark).removeprefix('file://')}/copies-{uuid.uuid4().hex}", F.col("page_id")
+    target, content = F.when(n % 10 != 0, F.concat(F.lit("d/"), n % 20, F.lit("/"), n)), F.when(n % 13 != 5, F.encode("html", "utf-8"))
+    plan = table(spark, sf_dir, "pages").select(n.alias("media_id"), target.alias("target"), F.when(n % 10 == 0, "unsafe destination").alias("conflict"), content.alias("content"))
+    about = plan.select("media_id", "target", "conflict", F.octet_length("content").alias("bytes"), F.col("content").isNotNull().alias("there"))
+    for _ in range(2):
+        copies.dry_run(about, about.limit(0), root, "plan")
+        audit = copies.copied(plan, root, "plan")
+    return copies.summary(plan, audit)

@@ -168,5 +168,15 @@ def copied(plan: DataFrame, root: str, name: str) -> DataFrame:
     return audit(spark, root, name)
 
 
+def summary(plan: DataFrame, told: DataFrame) -> DataFrame:
+    """total, done, refused, errors, conflicts, open, dry_run of a plan (media_id, conflict) and its audit: a file counts by
+    its best result, and the last dry run speaks for itself."""
+    rank = F.when(F.col("result") == "ok", 3).when(F.col("result").startswith("refused"), 2).otherwise(1)
+    per = told.where("action IN ('copy', 'verified copy')").groupBy("media_id").agg(F.max(rank).alias("best"))
+    rows = plan.select("media_id", "conflict").join(per, "media_id", "left")
+    n = rows.agg(F.count("*").alias("total"), *(F.count_if(F.col("best") == k).alias(c) for c, k in (("done", 3), ("refused", 2), ("errors", 1))), F.count_if(F.col("conflict").isNotNull()).alias("conflicts"), F.count_if(F.col("best").isNull()).alias("open"))
+    return n.join(told.where("action = 'dry run'").agg(F.max_by("result", F.col("_metadata.file_name")).alias("dry_run")))  # one row each
+
+
 def audit(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(AUDIT).json(f"file://{os.path.join(os.path.realpath(root), OWN, 'audit', name)}")

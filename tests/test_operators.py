@@ -356,4 +356,4 @@ def test_templates_drop_and_trim(spark):
 
     df = spark.createDataFrame([("photo", "2024", None, "Rio", "Rio"), (None, None, "Sea", None, "x/y:z"), (None, None, None, None, None)], "categoria string, ano string, viagem string, pais string, cidade string")
     fields = {c: F.col(c) for c in df.columns}
-    assert [r[0] for r in df.select(templates.render(templates.DEFAULT, fields)).collect()] == ["photo/2024/Rio", "Sea/x y z", ""]
+    assert [r[0] for r in df.select(templates.render(templates.DEFAULT, fields)).collect()] == ["photo/2024/Rio", "Sea/x_y_z", ""]
