@@ -58,5 +58,19 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that staged() and the like have written; nothing outside their own folder is ever touched."""
+    own = f"{shared_folder(spark)}/framelake/".removeprefix("file://")
+    for path in paths:
+        if path.removeprefix("file://").removeprefix("file:").startswith(own):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folder_of(df: DataFrame) -> str:
+    """The folder of a table that staged() has written, empty if it has no file."""
+    return next((f.rsplit("/", 1)[0] for f in df.inputFiles()), "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
