@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.session import shared_folder, staged
+from framelake.session import forget, shared_folder, staged
 
 SCALE = 1024
 ROWS = 16_384
@@ -176,11 +176,14 @@ def _read(data: bytes, rows: int, width: int) -> np.ndarray:
     return quantised(np.frombuffer(data, np.float64).reshape(rows, width))
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/framelake/{name}"
+
+
 def _bucketed(df: DataFrame, buckets: int) -> str:
     """Write df in buckets by block, under a name of its own; joins of two such tables need no exchange."""
     name = f"framelake_{uuid.uuid4().hex}"
-    path = f"{shared_folder(df.sparkSession)}/framelake/{name}"
-    df.write.bucketBy(buckets, "block").sortBy("block").option("path", path).format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, "block").sortBy("block").option("path", _place(df.sparkSession, name)).format("parquet").saveAsTable(name)
     return name
 
 
@@ -226,7 +229,8 @@ class Clustering:
                         b.start()
                     yield pa.RecordBatch.from_pylist([b.state(row["block"])], ARROW_STATE)
 
-        self.state = self._table(self._joined().mapInArrow(step, STATE))
+        before, self.state = self.state, self._table(self._joined().mapInArrow(step, STATE))
+        self._drop(before)
         self.scanned.append(self.spark.table(self.state).agg(F.sum("scanned")).first()[0])
 
     def average(self) -> None:
@@ -263,9 +267,16 @@ class Clustering:
 
         return self._joined().select("block", "ids", "x", "labels").mapInArrow(measured, "vec_id long, cluster int, distance long")
 
-    def drop(self) -> None:
-        for name in self.tables:
+    def _drop(self, name: str | None) -> None:
+        if name in self.tables:
+            self.tables.remove(name)
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            forget(self.spark, _place(self.spark, name))
+
+    def drop(self) -> None:
+        """Forget the tables; what members() gave must be staged by then."""
+        for name in list(self.tables):
+            self._drop(name)
 
 
 ARROW_STATE = pa.schema([
