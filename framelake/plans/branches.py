@@ -194,7 +194,7 @@ SELECT count(*) AS total, count(*) FILTER (NOT unsafe AND NOT gone) AS done, CAS
   count(*) FILTER (NOT unsafe AND NOT gone) || ' of ' || count(*) || ' ready' AS dry_run FROM p""")
 def copy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-18: a plan's counts after two runs, the second of which found its own copies there, and the last dry run."""
-    root, n = f"{shared_folder(spark).removeprefix('file://')}/copies-{uuid.uuid4().hex}", F.col("page_id")
+    root, n = f"{copies.mounted(shared_folder(spark))}/copies-{uuid.uuid4().hex}", F.col("page_id")
     target, content = F.when(n % 10 != 0, F.concat(F.lit("d/"), n % 20, F.lit("/"), n)), F.when(n % 13 != 5, F.encode("html", "utf-8"))
     plan = table(spark, sf_dir, "pages").select(n.alias("media_id"), target.alias("target"), F.when(n % 10 == 0, "unsafe destination").alias("conflict"), content.alias("content"))
     about = plan.select("media_id", "target", "conflict", F.octet_length("content").alias("bytes"), F.col("content").isNotNull().alias("there"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelake.plans.registry import query
 from framelake.session import shared_folder, staged, table
-from framelake.sources import copies, external
+from framelake.sources import copies, external, lightroom
 
 
 def _library(spark: SparkSession, sf_dir: str) -> str:
@@ -61,10 +61,7 @@ UNION ALL SELECT NULL, 'dry run', count(*) FILTER (target IS NOT NULL AND NOT go
 UNION ALL SELECT NULL, 'finished', 'error', count(*) FILTER (target = 'in' AND NOT gone AND html IS NOT NULL AND NOT taken), NULL, NULL FROM p""")
 def copy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-1: the audit of a plan over pages of which some are gone, some targets taken by an earlier plan, some unsafe."""
-    shared = shared_folder(spark)
-    if not shared.startswith(("file:", "/")):
-        raise ValueError("copies need a shared folder that all executors mount")
-    root, n = f"{shared.removeprefix('file://')}/copies-{uuid.uuid4().hex}", F.col("page_id")
+    root, n = f"{copies.mounted(shared_folder(spark))}/copies-{uuid.uuid4().hex}", F.col("page_id")
     pages = table(spark, sf_dir, "pages")
     inside = F.concat(F.lit("pages/"), (n % 50).cast("string"), F.lit("/"), n.cast("string"), F.lit(".html"))
     earlier = pages.where((n % 5 == 1) & (n % 10 != 0) & (n % 11 != 3)).select(n.alias("media_id"), inside.alias("target"), F.lit(None).cast("string").alias("conflict"), F.lit("earlier").cast("binary").alias("content"))
@@ -75,3 +72,24 @@ def copy_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         copies.dry_run(own.select("media_id", "target", "conflict", F.octet_length("content").alias("bytes"), F.col("content").isNotNull().alias("there")), taken, root, name)
         audit = copies.copied(own, root, name)
     return audit.select("media_id", "action", "result", "bytes", "digest_before", "digest_after")
+
+
+@query("""
+WITH e AS (SELECT event_id AS n, ts FROM events), l AS (SELECT *, CASE WHEN n % 11 <> 0 THEN 'b' || n END AS base, CASE WHEN n % 3 <> 0 THEN 'CR3' WHEN n % 6 = 0 THEN '' END AS ext, CASE WHEN n % 4 <> 3 THEN '/Volumes/L' || (n % 4) || '/' END AS root, CASE WHEN n % 20 >= 5 THEN 'f' || (n % 20) || '/' END AS inner_ FROM e WHERE n % 13 <> 0)
+SELECT 'G' || n AS external_id, base || CASE WHEN coalesce(ext, '') <> '' THEN '.' || ext ELSE '' END AS name, root || coalesce(inner_, '') || base || CASE WHEN coalesce(ext, '') <> '' THEN '.' || ext ELSE '' END AS original_path,
+  CASE n % 5 WHEN 0 THEN date_trunc('second', ts) + INTERVAL 670 MILLISECOND WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) END AS taken_at,
+  CASE WHEN n % 2 = 0 THEN n / 1000.0 END :: DOUBLE AS gps_lat, n % 6 >= 4 OR n % 10 = 1 AS favourite, CASE n % 4 WHEN 0 THEN 'Best,Trip 0' WHEN 1 THEN 'Best' ELSE '' END AS albums, CASE WHEN n % 3 = 1 THEN 'sea' ELSE '' END AS keywords FROM l""")
+def lightroom_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-15: a catalog's tables with missing pieces of paths, moments in every form, collections and keywords."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    at = lambda form: F.date_format("ts", form)
+    capture = F.when(n % 5 == 0, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".67"))).when(n % 5 == 1, at("yyyy-MM-dd")).when(n % 5 == 2, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).when(n % 5 == 3, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise("no date")
+    images = e.select(n.alias("image_id"), (n + 7).alias("file_id"), capture.alias("capture"), F.when(n % 6 != 0, (n % 6).cast("double")).alias("rating"), F.when(n % 10 < 3, (n % 10 == 1).cast("double")).alias("pick"))
+    files = e.select((n + 7).alias("file_id"), F.when(n % 13 != 0, F.concat(F.lit("G"), n)).otherwise("").alias("global_id"), (n % 20).alias("folder_id"), F.when(n % 11 != 0, F.concat(F.lit("b"), n)).alias("base"), F.when(n % 3 != 0, "CR3").when(n % 6 == 0, "").alias("extension"))
+    folders = files.select("folder_id").distinct().select("folder_id", (F.col("folder_id") % 4).alias("root_id"), F.when(F.col("folder_id") >= 5, F.concat(F.lit("f"), "folder_id", F.lit("/"))).alias("path"))
+    roots = folders.select("root_id").distinct().select("root_id", F.when(F.col("root_id") != 3, F.concat(F.lit("/Volumes/L"), "root_id", F.lit("/"))).alias("path"))
+    exif = e.where(n % 2 == 0).select(n.alias("image_id"), (n / 1000).alias("gps_lat"), F.lit(1.0).alias("gps_lon"))
+    collections = e.where(n % 4 < 2).select(n.alias("image_id"), F.explode(F.when(n % 4 == 0, F.array(F.lit("Trip 0"), F.lit("Best"), F.lit("Best"))).otherwise(F.array(F.lit("Best"), F.lit("")))).alias("name"))
+    words = e.where(n % 3 == 1).select(n.alias("image_id"), F.lit("sea").alias("name"))
+    found = lightroom.assets(images, files, folders, roots, exif, collections, words)
+    return found.select("external_id", "name", "original_path", "taken_at", "gps_lat", "favourite", F.array_join("albums", ",").alias("albums"), F.array_join("keywords", ",").alias("keywords"))

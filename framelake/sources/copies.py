@@ -18,6 +18,7 @@ import errno
 import hashlib
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -137,6 +138,14 @@ class VerifiedCopies(DataSource):
         return Copies(self.options["root"], self.options["plan"])
 
 
+def mounted(folder: str) -> str:
+    """The path of a folder that executors mount; other stores are refused."""
+    path = re.sub(r"^file:(//)?(?=/)", "", folder)
+    if not path.startswith("/"):
+        raise ValueError("copies need a folder that all executors mount")
+    return path
+
+
 def dry_run(plan: DataFrame, existing: DataFrame, root: str, name: str) -> DataFrame:
     """media_id, verdict (ready, no target, source out of reach, target exists, empty source), bytes; summed up beside the audit.
 

@@ -108,11 +108,3 @@ def takeout(sidecars: DataFrame, json: str = "json") -> DataFrame:
     folder = F.element_at(F.split("path", "/"), -2)
     seconds = F.col("_x.photoTakenTime.timestamp").try_cast("long")
     return x.select("path", F.timestamp_seconds(seconds).cast("timestamp_ntz").alias("taken_utc"), place["latitude"].alias("gps_lat"), place["longitude"].alias("gps_lon"), F.coalesce("_x.favorited", F.lit(False)).alias("favourite"), F.transform("_x.people", lambda p: p["name"]).alias("people"), F.when(~folder.rlike(r"^Photos from \d{4}$"), folder).alias("album"))
-
-
-def lightroom(images: DataFrame, files: DataFrame, folders: DataFrame, roots: DataFrame, exif: DataFrame) -> DataFrame:
-    """id, path, favourite, make-up of a catalog's tables: images, files, folders and roots inner, exif left."""
-    joined = images.join(files, "file_id").join(folders, "folder_id").join(roots, "root_id").join(exif, "image_id", "left")
-    path = F.concat_ws("", F.col("root_path"), F.col("folder_path"), F.col("base_name"), F.when(F.col("extension").isNotNull(), F.concat(F.lit("."), "extension")))
-    favourite = (F.coalesce("rating", F.lit(0.0)) >= 4) | (F.coalesce("pick", F.lit(0.0)) > 0)
-    return joined.select(F.col("image_id").alias("id"), path.alias("path"), favourite.alias("favourite"), "gps_lat", "gps_lon")
