@@ -122,7 +122,7 @@ FROM f
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     scores = toxicity.scored(docs.withColumn("held_out", F.coalesce(toxicity.held_out(), F.lit(False))), model, ["doc_id", "held_out"])
     return scores.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 

@@ -3,12 +3,15 @@
 Words are hashed into a table of embeddings, together with their prefixes of a few lengths, so that words never
 seen share what their beginnings taught. Filters of several widths run over the words; their outputs are max
 pooled over stretches of STRETCH words. A text's features are the largest and the mean of its stretches, and a
-logistic layer makes a score of them, calibrated by cross-fitting: on the scores that all sampled rows get from models
+logistic layer makes a score of them, calibrated by cross-fitting: on the scores that all labelled rows get from models
 that have not seen them. Each language gets a threshold of its own from those scores; language, source, labels and ids are never inputs of a score.
 
-Training takes a bounded sample of labelled rows, whole: of class c at most SAMPLE[c] rows, by smallest hash, as far as
-their texts fit into SAMPLE_CHARS[c] together; a text that no longer fits is passed over and the next one taken. Equal
-rows count once. Scoring reads whole texts.
+trained() learns from every labelled row that is not held out, whole; equal rows count once. Rows are dealt by hash into
+parts of about PART_BYTES. In each round every part takes all models some steps further in a task of its own, and the
+parts' models are averaged in Spark: table rows over the parts that changed them, the rest by the rows seen. Rows of up
+to ALONE_BYTES together are learned by train() at once. fitted() makes a quick model of a bounded sample: of class c at most
+SAMPLE[c] rows, by smallest hash, as far as their texts fit into SAMPLE_CHARS[c] together; no query uses it. Scoring
+reads whole texts.
 A language's threshold is drawn to that of all rows by as much as PRIOR_TOXIC toxic rows weigh, and that to EVEN, so few
 toxic rows say little; null is a language. Null and wordless texts get the score of a text without features; unlabelled tables give
 the constant 0.1 as score. Repeated rows are scored each; an empty table gives an empty result; columns of any names
@@ -17,12 +20,14 @@ are kept.
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +35,7 @@ from pyspark.sql import types as T
 
 from framelake.llm.arrowtext import Rolling, buffers, folded, slices, words
 from framelake.llm.rows import unused
-from framelake.session import staged
+from framelake.session import folder_of, forget, staged
 
 BUCKETS, WIDTH = 1 << 16, 8
 #: Bytes of the hashed prefixes; a shorter word counts as its own prefix.
@@ -51,6 +56,14 @@ EVEN = 0.5
 #: For calibrated scores the best threshold is F0.5 / 1.25, so under 0.2 only where nothing reaches an F0.5 of 0.25.
 LEAST_THRESHOLD, MOST_THRESHOLD = 0.2, 0.95
 GAP = max(FILTERS) - 1
+#: Text bytes learned by one task in a round, and up to which all rows are learned at once, a row counting as ROW_BYTES more.
+PART_BYTES, ALONE_BYTES, ROW_BYTES = 32 << 20, 8 << 20, 64
+#: Rows of the table that are averaged together.
+BLOCK = 1024
+#: Words of the filter of labelled ids.
+WORDS = 1 << 20
+#: Logits that calibrate are rounded to 1 / BINS, for models of many parts.
+BINS = 64
 
 
 def held_out() -> Column:
@@ -152,16 +165,28 @@ def _batch(ids: np.ndarray, rows: np.ndarray, span: np.ndarray) -> Tokens:
     return Tokens(np.concatenate([*parts, np.zeros((GAP, ids.shape[1]), np.uint16)]), first[owner] + within * STRETCH, owner, len(rows))
 
 
-def _learned(ids: np.ndarray, span: np.ndarray, labels: np.ndarray, weights: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> Model:
-    """A model that has seen the rows seen, not calibrated yet."""
+def _fresh(rng: np.random.Generator) -> Model:
     f = sum(FILTERS.values())
-    model = Model(
+    return Model(
         np.concatenate([np.zeros((1, WIDTH)), rng.normal(0, 0.05, (BUCKETS - 1, WIDTH))]).astype(np.float32),
         {w: rng.normal(0, 0.5, (w, WIDTH, n)).astype(np.float32) for w, n in FILTERS.items()},
         {w: np.zeros(n, np.float32) for w, n in FILTERS.items()},
         rng.normal(0, 0.3, 2 * f).astype(np.float32),
         0.0,
     )
+
+
+def _spans(parts: list[Tokens]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all parts, and [first, last) row of each text."""
+    counts = np.concatenate([_lengths(t) for t in parts])
+    ids = np.concatenate([t.ids[: len(t.ids) - GAP] for t in parts])
+    first = np.concatenate([[0], np.cumsum(counts + GAP)[:-1]])
+    return ids, np.stack([first, first + counts + GAP], axis=1)
+
+
+def _learned(ids: np.ndarray, span: np.ndarray, labels: np.ndarray, weights: np.ndarray, seen: np.ndarray, rng: np.random.Generator) -> Model:
+    """A model that has seen the rows seen, not calibrated yet."""
+    model = _fresh(rng)
     state = {"m": {}, "v": {}, "n": 0}
     epochs = int(np.clip(VISITS // max(1, len(seen)), *EPOCHS))
     for epoch in range(epochs):
@@ -175,12 +200,7 @@ def _learned(ids: np.ndarray, span: np.ndarray, labels: np.ndarray, weights: np.
 
 def _part(texts: list[str], labels: np.ndarray, weights: np.ndarray, fold: int, seed: int) -> tuple[Model, np.ndarray, np.ndarray]:
     """(model, rows, logits): a model of the rows outside a fold, and what it says about those inside; fold FOLDS is empty."""
-    parts = [tokenised(*buffers(pa.array(texts[lo : lo + TEXTS_AT_ONCE], pa.string()))) for lo in range(0, len(texts), TEXTS_AT_ONCE)]
-    counts = np.concatenate([_lengths(t) for t in parts])
-    ids = np.concatenate([t.ids[: len(t.ids) - GAP] for t in parts])
-    del parts
-    first = np.concatenate([[0], np.cumsum(counts + GAP)[:-1]])
-    span = np.stack([first, first + counts + GAP], axis=1)
+    ids, span = _spans([tokenised(*buffers(pa.array(texts[lo : lo + TEXTS_AT_ONCE], pa.string()))) for lo in range(0, len(texts), TEXTS_AT_ONCE)])
     rng, folds = np.random.default_rng(seed), np.zeros(len(texts), int)
     for c in (0, 1):
         own = rng.permutation(np.flatnonzero(labels == c))
@@ -207,7 +227,7 @@ def _in_tasks(spark: SparkSession) -> Callable:
 
 
 def train(texts: list[str], labels: np.ndarray, langs: list[str | None], weights: np.ndarray, seed: int = 5, run: Callable = map) -> Model:
-    """weights: how many labelled rows each sampled row stands for.
+    """weights: how many labelled rows each row stands for.
 
     The model learns from all rows; its scale and thresholds come from the scores that each row gets from a model of
     the other folds. run calls a function for each model to be trained.
@@ -218,17 +238,18 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str | None], weights
         z[unseen] = logits
     model.scale = _calibrated(z, labels, weights)
     p = 1 / (1 + np.exp(-np.clip(model.scale[0] * z + model.scale[1], -40, 40)))
-    seen = int(labels.sum())
-    model.threshold = (seen * _threshold(p, labels, weights) + PRIOR_TOXIC * EVEN) / (seen + PRIOR_TOXIC)
+    model.threshold = _drawn(_threshold(p, labels * weights, weights), labels.sum(), EVEN)
     for lang in set(langs):
         own = np.array([x == lang for x in langs])
-        toxic = int(labels[own].sum())
-        if toxic:
-            least = (toxic * _threshold(p[own], labels[own], weights[own]) + PRIOR_TOXIC * model.threshold) / (toxic + PRIOR_TOXIC)
-            model.thresholds[lang] = float(least)
+        if labels[own].any():
+            model.thresholds[lang] = _drawn(_threshold(p[own], (labels * weights)[own], weights[own]), labels[own].sum(), model.threshold)
     return model
 
 
+def _drawn(threshold: float, toxic: int, to: float) -> float:
+    return float((toxic * threshold + PRIOR_TOXIC * to) / (toxic + PRIOR_TOXIC))
+
+
 def _step(model: Model, t: Tokens, y: np.ndarray, weight: np.ndarray, rate: float, state: dict) -> None:
     """One step of Adam on the weighted log loss; the max lets gradients through at one token of each stretch only."""
     x = model.embedded(t.ids)
@@ -319,19 +340,232 @@ def _calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
     return float(a), float(b)
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The score that parts the classes with the best F0.5: a clean document lost weighs more than a toxic one kept."""
+def _threshold(p: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The score that parts the classes with the best F0.5: a clean document lost weighs more than a toxic one kept.
+
+    toxic: how much of the weight of each entry is toxic.
+    """
     order = np.argsort(-p, kind="stable")
-    hit, all_ = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    f = 1.25 * hit / (all_ + 0.25 * (weight * y).sum())
+    hit, all_ = np.cumsum(toxic[order]), np.cumsum(weight[order])
+    f = 1.25 * hit / (all_ + 0.25 * toxic.sum())
     best = int(f.argmax())
     below = p[order][best + 1] if best + 1 < len(p) else 0.0
     return float(np.clip((p[order][best] + below) / 2, LEAST_THRESHOLD, MOST_THRESHOLD))
 
 
+def _learnable(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Trained on all labelled rows that are not held out."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", text).alias("mark"))
+    own, key = _learnable(labels), ["part", "mark", "doc_id", "lang", "toxic"]
+    texts = _marked(texts, own)
+    size = texts.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
+    parts = 1 if size <= ALONE_BYTES else max(2, -(-size // PART_BYTES))
+    dealt = texts.join(own, "doc_id").withColumn("part", F.pmod("mark", F.lit(parts)).cast("int")).repartition(2 * parts, "part")
+    rows = dealt.dropDuplicates(key).sortWithinPartitions(*key)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")  # equal texts share one
+    held = staged(rows.select("part", fold.alias("fold"), "doc_id", F.col("toxic").cast("int").alias("toxic"), "lang", "text"), "labelled")
+    per = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(per) < 2:
+        model = None
+    elif parts == 1:
+        some = sorted(held.collect(), key=lambda r: (r.doc_id, r.text, r.toxic, r.lang is None, r.lang))
+        model = train([r.text for r in some], np.array([r.toxic for r in some]), [r.lang for r in some], np.ones(len(some)), run=_in_tasks(docs.sparkSession))
+    else:
+        model = _in_parts(held, int(np.clip(VISITS // sum(per.values()), *EPOCHS)))
+    forget(docs.sparkSession, folder_of(held))
+    return model
+
+
+def _marked(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be in own: all that are, few that are not, so that few texts are dealt.
+
+    At most WORDS words of 64 bits, one bit for each hash of a doc_id, are sent to the tasks.
+    """
+
+    def place(at: str) -> Column:
+        return F.expr(f"pmod(xxhash64(doc_id) >> 6, {WORDS}L) AS {at}")
+
+    bit = F.xxhash64("doc_id").bitwiseAND(F.lit(63)).cast("int")
+    words = own.select(place("word_of_id"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("word_of_id").agg(F.bit_or("b").alias("bits_of_ids"))
+    met = texts.select("*", place("word_of_id")).join(F.broadcast(words), "word_of_id")
+    return met.where(F.call_function("shiftrightunsigned", F.col("bits_of_ids"), bit).bitwiseAND(F.lit(1)) == 1).select(*texts.columns)
+
+
+def _in_parts(held: DataFrame, rounds: int) -> Model:
+    learners = [(_fresh(np.random.default_rng([5, k])), {"m": {}, "v": {}, "n": 0}) for k in range(FOLDS + 1)]
+    for k in range(rounds):
+        learners = _further(held, learners, RATE * (1 - k / rounds), k)
+    return _with_thresholds(held, [m for m, _ in learners])
+
+
+def _dense(model: Model, state: dict) -> np.ndarray:
+    """All of a model and its optimizer but the table, in one array."""
+    own = _arrays(model)
+    return np.concatenate([np.ravel(x) for x in own.values()] + [np.ravel(state[s].get(name, np.zeros_like(x))) for s in "mv" for name, x in own.items()]).astype(np.float64)
+
+
+def _arrays(model: Model) -> dict[str, np.ndarray]:
+    return {"out": model.out, "bias": np.array(model.bias), **{f"b{w}": x for w, x in model.biases.items()}, **{f"k{w}": x for w, x in model.kernels.items()}}
+
+
+def _set_dense(model: Model, state: dict, flat: np.ndarray) -> None:
+    at = 0
+    for s in ("", "m", "v"):
+        for name, x in _arrays(model).items():
+            new = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+            if s:
+                state[s][name] = new
+            elif name == "bias":
+                model.bias = float(new)
+            elif name == "out":
+                model.out = new.astype(np.float32)
+            else:
+                {"b": model.biases, "k": model.kernels}[name[0]][int(name[1:])] = new.astype(np.float32)
+
+
+def _gradients(state: dict) -> np.ndarray:
+    """Squared gradients of the table's rows so far."""
+    return state["v"].get("table", np.zeros(BUCKETS, np.float32))
+
+
+_CHANGES = "model int, block int, part int, weight long, steps int, data binary"
+
+
+def _changed(part: int, old: list[tuple[Model, dict]], new: list[tuple[Model, dict]], seen: list[int]) -> pa.RecordBatch:
+    """What a part has made of the models: rows of the table that it changed, by blocks, and block -1 with all else."""
+    out = []
+    for k, ((a, before), (b, after)) in enumerate(zip(old, new, strict=True)):
+        if not seen[k]:
+            continue
+        steps = after["n"] - before["n"]
+        out.append((k, -1, part, seen[k], steps, _dense(b, after).tobytes()))
+        rows = np.flatnonzero(_gradients(after) != _gradients(before)).astype(np.int32)
+        change, squares = (b.table[rows] - a.table[rows]).astype(np.float16), (_gradients(after) - _gradients(before))[rows]
+        for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows // BLOCK)) + 1):
+            if len(own):
+                out.append((k, int(rows[own[0]] // BLOCK), part, seen[k], steps, (rows[own] % BLOCK).astype(np.uint16).tobytes() + squares[own].tobytes() + change[own].tobytes()))
+    names = ["model", "block", "part", "weight", "steps", "data"]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of each block of each model; rows come sorted by them."""
+    at, total, weight, steps = None, None, None, 0
+
+    def done() -> pa.RecordBatch:
+        mean = total / (np.maximum(weight, 1)[:, None] if at[1] >= 0 else weight)
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((at[0], pa.int32()), (at[1], pa.int32()), (steps, pa.int32()), (mean.tobytes(), pa.binary()))], ["model", "block", "steps", "data"])
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if at != (r["model"], r["block"]):
+                if at:
+                    yield done()
+                at, steps = (r["model"], r["block"]), 0
+                total, weight = (np.zeros((BLOCK, WIDTH + 1)), np.zeros(BLOCK)) if at[1] >= 0 else (0.0, 0)
+            steps = max(steps, r["steps"])
+            if at[1] < 0:
+                total, weight = total + r["weight"] * np.frombuffer(r["data"]), weight + r["weight"]
+                continue
+            n = len(r["data"]) // (6 + 2 * WIDTH)
+            rows = np.frombuffer(r["data"], np.uint16, n)
+            total[rows, WIDTH] += np.frombuffer(r["data"], np.float32, n, offset=2 * n)
+            total[rows, :WIDTH] += np.frombuffer(r["data"], np.float16, offset=6 * n).reshape(n, WIDTH)
+            weight[rows] += 1
+    if at:
+        yield done()
+
+
+def _further(held: DataFrame, learners: list[tuple[Model, dict]], rate: float, turn: int) -> list[tuple[Model, dict]]:
+    """The models after one more round over all rows; model k sees no row of fold k."""
+    shared = held.sparkSession.sparkContext.broadcast(learners)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, seen, rng = None, [], [], None
+        for batch in slices(batches):
+            parts = batch.column("part").to_numpy()
+            for run in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(parts)) + 1):
+                if part != parts[run[0]]:
+                    if part is not None:
+                        yield _changed(part, shared.value, own, seen)
+                    part, own, seen = int(parts[run[0]]), copy.deepcopy(shared.value), [0] * len(shared.value)
+                    rng = np.random.default_rng([turn, part])
+                rows = batch.slice(run[0], len(run))
+                ids, span = _spans([tokenised(*buffers(rows.column("text")))])
+                fold, y = rows.column("fold").to_numpy(), rows.column("toxic").to_numpy().astype(np.float32)
+                for k, (model, state) in enumerate(own):
+                    order = rng.permutation(np.flatnonzero(fold != k))
+                    seen[k] += len(order)
+                    for some in np.array_split(order, max(1, round(len(order) / BATCH))) if len(order) else []:
+                        _step(model, _batch(ids, some, span), y[some], np.ones(len(some), np.float32), rate, state)
+        if part is not None:
+            yield _changed(part, shared.value, own, seen)
+
+    changes = held.select("part", "fold", "toxic", "text").mapInArrow(learn, _CHANGES)
+    means = changes.repartition("model", "block").sortWithinPartitions("model", "block", "part").mapInArrow(_averaged, "model int, block int, steps int, data binary")
+    out = copy.deepcopy(learners)
+    for r in means.collect():  # as many rows as the models have blocks
+        model, state = out[r.model]
+        if r.block < 0:
+            _set_dense(model, state, np.frombuffer(r.data))
+            state["n"] += r.steps
+        else:
+            mean, at = np.frombuffer(r.data).reshape(BLOCK, WIDTH + 1).astype(np.float32), slice(r.block * BLOCK, (r.block + 1) * BLOCK)
+            model.table[at] += mean[:, :WIDTH]
+            state["v"]["table"] = _gradients(state)
+            state["v"]["table"][at] += mean[:, WIDTH]
+    shared.unpersist()
+    return out
+
+
+def _with_thresholds(held: DataFrame, models: list[Model]) -> Model:
+    """The last of the models, calibrated on what each row gets from the one that has not seen it."""
+    shared = held.sparkSession.sparkContext.broadcast(models)
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, span = _spans([tokenised(*buffers(batch.column("text")))])
+            fold, z = batch.column("fold").to_numpy(), np.zeros(batch.num_rows)
+            for k in range(FOLDS):
+                own = np.flatnonzero(fold == k)
+                for lo in range(0, len(own), BATCH):
+                    z[own[lo : lo + BATCH]] = shared.value[k].logits(_batch(ids, own[lo : lo + BATCH], span))
+            bins = np.rint(np.clip(z, -40, 40) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(bins)], ["lang", "toxic", "bin"])
+
+    each = held.select("fold", "toxic", "lang", "text").mapInArrow(logits, "lang string, toxic int, bin int")
+    bins = staged(each.groupBy("lang", "bin").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")), "bins")
+    all_ = bins.groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).orderBy("bin").toPandas()
+    model, z = models[-1], all_["bin"].to_numpy() / BINS
+    toxic, n = all_["toxic"].to_numpy().astype(float), all_["n"].to_numpy().astype(float)
+    model.scale = _calibrated(np.tile(z, 2), np.repeat([1, 0], len(z)), np.concatenate([toxic, n - toxic]))
+
+    def scores(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(model.scale[0] * z + model.scale[1], -40, 40)))
+
+    model.threshold = _drawn(_threshold(scores(z), toxic, n), toxic.sum(), EVEN)
+
+    def of_language(own: pd.DataFrame) -> pd.DataFrame:
+        toxic = own["toxic"].to_numpy().astype(float)
+        least = _drawn(_threshold(scores(own["bin"].to_numpy() / BINS), toxic, own["n"].to_numpy().astype(float)), toxic.sum(), model.threshold)
+        return pd.DataFrame({"lang": own["lang"].iloc[:1], "toxic": [int(toxic.sum())], "threshold": [least]})
+
+    found = bins.groupBy("lang").applyInPandas(of_language, "lang string, toxic long, threshold double").where("toxic > 0")
+    model.thresholds = {r.lang: r.threshold for r in found.collect()}
+    forget(held.sparkSession, folder_of(bins))
+    return model
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Trained on a bounded sample of the labelled rows that are not held out."""
-    own = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    own = _learnable(labels)
     per = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(per) < 2:
         return None

@@ -472,6 +472,65 @@ def test_sample_takes_whole_texts_within_its_bound(spark, monkeypatch):
         assert 2000 < sum(own) <= (4000, 3000)[c]
 
 
+def test_all_labelled_rows_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {0: 5, 1: 5})
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", {0: 300, 1: 300})
+    texts = [prose(20) + (" vile scum" if i % 3 == 0 else "") for i in range(400)] + ["long " * 2000, "", None]
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(403)] * 2 + [(None, 1), (7, None)], "doc_id long, toxic int")
+    docs = documents(spark, texts).unionByName(documents(spark, texts[:50]))
+    due = sorted((texts[i] or "", int(i % 3 == 0)) for i in range(403) if zlib.crc32(str(i).encode()) % 4 != 2)
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, *_, **how: seen.update(whole=sorted(zip(texts, y.tolist()))))
+    monkeypatch.setattr(toxicity, "_in_parts", lambda held, rounds: seen.update(parts=held.collect()))
+    assert queries.QUERIES["op7_toxicity"] and toxicity.trained(docs, marks) is None and seen["whole"] == due
+    monkeypatch.setattr(toxicity, "ALONE_BYTES", 0)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 8000)
+    toxicity.trained(docs, marks)
+    assert sorted((r.text, r.toxic) for r in seen["parts"]) == due and len({r.part for r in seen["parts"]}) > 4
+
+
+def test_queries_learn_from_no_sample(spark, sf, monkeypatch):
+    def sampled(*_):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(toxicity, "fitted", sampled)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert queries.QUERIES["op7_toxicity"](spark, sf).count() == docs.count()
+
+
+def test_models_of_many_parts_learn_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ALONE_BYTES", 0)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 3 << 20)
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.trained(docs, labels)
+    some = docs.join(F.broadcast(labels), "doc_id").where(toxicity.held_out())
+    out = toxicity.scored(some, model, ["doc_id", "toxic"]).collect()
+    pos, neg = [r.score for r in out if r.toxic], [r.score for r in out if not r.toxic]
+    assert np.mean([[p > n for n in neg] for p in pos]) > 0.95 and np.mean([p >= 0.3 for p in pos]) > 0.85 and np.mean([n >= 0.3 for n in neg]) < 0.05
+    assert set(model.thresholds) <= {r.lang for r in docs.select("lang").distinct().collect()} and len(model.thresholds) == 4
+
+
+def test_parts_are_averaged_where_they_changed():
+    def learner(rows, by, bias):
+        model = toxicity._fresh(np.random.default_rng(1))
+        model.table[rows] += by
+        model.bias = bias
+        return model, {"m": {}, "v": {"table": np.isin(np.arange(toxicity.BUCKETS), rows).astype(np.float32)}, "n": 3}
+
+    old = [(toxicity._fresh(np.random.default_rng(1)), {"m": {}, "v": {}, "n": 0})]
+    one = toxicity._changed(0, old, [learner([5, 70], 0.5, 1.0)], [30])
+    two = toxicity._changed(1, old, [learner([70, 5000], 0.25, 4.0)], [10])
+    rows = sorted(one.to_pylist() + two.to_pylist(), key=lambda r: (r["model"], r["block"], r["part"]))
+    means = {r["block"]: r["data"] for b in toxicity._averaged(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()}
+    first = np.frombuffer(means[0]).reshape(toxicity.BLOCK, -1)
+    assert set(means) == {-1, 0, 4} and np.allclose(first[[5, 70, 6], 0], [0.5, 0.375, 0], atol=1e-3) and first[5, -1] == first[70, -1] == 1
+    assert np.allclose(np.frombuffer(means[4]).reshape(toxicity.BLOCK, -1)[5000 % toxicity.BLOCK, 0], 0.25, atol=1e-3)
+    model, state = learner([], 0, 0.0)
+    toxicity._set_dense(model, state, np.frombuffer(means[-1]))
+    assert np.isclose(model.bias, (30 * 1 + 10 * 4) / 40)
+
+
 def test_null_and_empty_are_languages(spark):
     texts = [prose(30) + (" vile scum" if i % 3 == 0 else "") for i in range(240)]
     langs = [(None, "", "en")[i % 4 % 3] for i in range(240)]
