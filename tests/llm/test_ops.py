@@ -12,6 +12,7 @@ import pytest
 from compare import connection, of_duckdb, of_spark
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from framelake.llm import bitsliced, chat, decontam, mixing, neardup, queries, repeats, ring, tokens, toxicity, warc
 from framelake.llm.arrowtext import buffers
 
@@ -496,6 +497,7 @@ def test_queries_learn_from_no_sample(spark, sf, monkeypatch):
     monkeypatch.setattr(toxicity, "fitted", sampled)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert queries.QUERIES["op7_toxicity"](spark, sf).count() == docs.count()
+    assert 0 < corpus_pipeline.drop_toxic(spark, docs, sf).count() <= docs.count()
 
 
 def test_models_of_many_parts_learn_held_out_rows(spark, monkeypatch):
