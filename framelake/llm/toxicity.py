@@ -6,8 +6,8 @@ pooled over stretches of STRETCH words. A text's features are the largest and th
 logistic layer makes a score of them, calibrated by cross-fitting: on the scores that all labelled rows get from models
 that have not seen them. Each language gets a threshold of its own from those scores; language, source, labels and ids are never inputs of a score.
 
-trained() learns from every labelled row that is not held out, whole; equal rows count once. Rows are dealt by hash into
-parts of about PART_BYTES. In each round every part takes all models some steps further in a task of its own, and the
+trained() learns from every labelled row that is not held out, whole; equal rows count once. Rows are dealt by their id's hash into
+parts of about PART_BYTES, where their labels meet them. In each round every part takes all models some steps further in a task of its own, and the
 parts' models are averaged in Spark: table rows over the parts that changed them, the rest by the rows seen. Rows of up
 to ALONE_BYTES together are learned by train() at once. fitted() makes a quick model of a bounded sample: of class c at most
 SAMPLE[c] rows, by smallest hash, as far as their texts fit into SAMPLE_CHARS[c] together; no query uses it. Scoring
@@ -29,7 +29,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -362,11 +362,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", text).alias("mark"))
     own, key = _learnable(labels), ["part", "mark", "doc_id", "lang", "toxic"]
-    texts = _marked(texts, own)
+    texts = _marked(texts.where(F.col("doc_id").isNotNull()), own)
     size = texts.agg(F.sum(F.octet_length("text") + ROW_BYTES)).first()[0] or 0
     parts = 1 if size <= ALONE_BYTES else max(2, -(-size // PART_BYTES))
-    dealt = texts.join(own, "doc_id").withColumn("part", F.pmod("mark", F.lit(parts)).cast("int")).repartition(2 * parts, "part")
-    rows = dealt.dropDuplicates(key).sortWithinPartitions(*key)
+    rows = _dealt(texts, own, parts).dropDuplicates(key).sortWithinPartitions(*key)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")  # equal texts share one
     held = staged(rows.select("part", fold.alias("fold"), "doc_id", F.col("toxic").cast("int").alias("toxic"), "lang", "text"), "labelled")
     per = {r.toxic: r.n for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -396,6 +395,17 @@ def _marked(texts: DataFrame, own: DataFrame) -> DataFrame:
     return met.where(F.call_function("shiftrightunsigned", F.col("bits_of_ids"), bit).bitwiseAND(F.lit(1)) == 1).select(*texts.columns)
 
 
+def _dealt(texts: DataFrame, own: DataFrame, parts: int) -> DataFrame:
+    """The rows of texts with part and toxic, once for each label of their doc_id.
+
+    Labels go to the part of their doc_id, so texts are shuffled once, not for a join and then again into parts.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    both = texts.unionByName(own, allowMissingColumns=True).withColumn("part", part).repartition(2 * parts, "part")
+    met = both.withColumn("toxic", F.collect_set("toxic").over(Window.partitionBy("part", "doc_id")))
+    return met.where(F.col("text").isNotNull()).withColumn("toxic", F.explode("toxic"))
+
+
 def _in_parts(held: DataFrame, rounds: int) -> Model:
     learners = [(_fresh(np.random.default_rng([5, k])), {"m": {}, "v": {}, "n": 0}) for k in range(FOLDS + 1)]
     for k in range(rounds):

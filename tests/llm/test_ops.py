@@ -1,6 +1,8 @@
 """The ten operators on small tables: brute-force twins, and nulls, empty and long texts, ties, repeats, extra columns."""
 
+import contextlib
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -490,6 +492,29 @@ def test_all_labelled_rows_are_learned(spark, monkeypatch):
     assert sorted((r.text, r.toxic) for r in seen["parts"]) == due and len({r.part for r in seen["parts"]}) > 4
 
 
+def test_labelled_texts_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ALONE_BYTES", 0)
+    monkeypatch.setattr(toxicity, "PART_BYTES", 8000)
+    monkeypatch.setattr(toxicity, "_in_parts", lambda held, rounds: None)
+    plans, staged = [], toxicity.staged
+
+    def seen(df, name):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain("formatted")
+        plans.append(out.getvalue())
+        return staged(df, name)
+
+    monkeypatch.setattr(toxicity, "staged", seen)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for labels that are too many to be sent to all tasks
+    try:
+        toxicity.trained(documents(spark, [prose(20) for _ in range(400)]), marks)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\n]*\btext#", plans[0])) == 1
+
+
 def test_queries_learn_from_no_sample(spark, sf, monkeypatch):
     def sampled(*_):
         raise AssertionError("a sample")
