@@ -87,23 +87,54 @@ def _flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: boo
         best = min(ends, key=lambda e: (abs(sum((x - p[i]) * size[i] for i, x in zip(held, e, strict=True))), abs(sum(x - p[i] for i, x in zip(held, e, strict=True)))))
         for i, x in zip(held, best, strict=True):
             p[i] = x
-        _exchange(p, size, sum(x * s for x, s in zip(p, size, strict=True)) - words)
+        p = _landed(p, size, sum(x * s for x, s in zip(p, size, strict=True)) - words)
     return np.array(p)
 
 
-def _exchange(p: list[float], size: list[float], excess: float) -> None:
-    """Swap a taken and a left document whose sizes differ nearest to the excess, while that lowers it."""
+def _landed(p: list[float], size: list[float], excess: float) -> list[float]:
+    """p with a few documents exchanged, or else taken or left alone, so that the words come near the target.
+
+    Where a source takes or leaves few documents, exchanges alone can stay far off, as can single steps: three of 50 words
+    may have to stand for one of 300. So from over half a word on, filling up from below and from above is tried as well.
+    """
+    ends = [_exchange(p, size, excess)]
+    if abs(ends[0][1]) > 0.5:
+        ends.append(_exchange(*_filled(p, size, excess)))
+        q, _, rest = _filled([1 - x for x in p], size, -excess)
+        ends.append(_exchange([1 - x for x in q], size, -rest))
+    return min(ends, key=lambda end: abs(end[1]))[0]
+
+
+def _filled(p: list[float], size: list[float], excess: float) -> tuple[list[float], list[float], float]:
+    """Leave taken documents until the words are no more than the target, then take left ones, the longest first, as they fit."""
+    p, order = list(p), sorted(range(len(p)), key=lambda i: (-size[i], i))
+    while excess > 0 and (own := [i for i in order if p[i] == 1 and size[i] > 0]):
+        i = next((i for i in reversed(own) if size[i] >= excess), own[0])
+        p[i], excess = 0.0, excess - size[i]
+    for i in order:
+        if p[i] == 0 and 0 < size[i] <= -excess:
+            p[i], excess = 1.0, excess + size[i]
+    return p, size, excess
+
+
+def _exchange(p: list[float], size: list[float], excess: float) -> tuple[list[float], float]:
+    """p and its excess after swaps of a taken and a left document, or single ones taken or left, while that comes nearer."""
+    p, none = list(p), (0.0, -1)
     for _ in range(EXCHANGES):
-        out = sorted((s, i) for i, (x, s) in enumerate(zip(p, size, strict=True)) if x == 0)
-        sizes, best = [s for s, _ in out], (abs(excess), -1, -1)
-        for i, (x, s) in enumerate(zip(p, size, strict=True)):
-            if x == 1:
-                at = bisect_left(sizes, s - excess)
-                best = min([best, *((abs(excess - s + sizes[k]), i, out[k][1]) for k in (at - 1, at) if 0 <= k < len(out))])
-        if best[1] < 0:
-            return
-        p[best[1]], p[best[2]] = 0.0, 1.0
-        excess += size[best[2]] - size[best[1]]
+        own = list(enumerate(zip(p, size, strict=True)))
+        out = sorted([none, *((s, i) for i, (x, s) in own if x == 0)])
+        sizes, best = [s for s, _ in out], (abs(excess), 0, -1, -1)
+        for s, i in [none, *((s, i) for i, (x, s) in own if x == 1)]:
+            at = bisect_left(sizes, s - excess)
+            best = min([best, *((abs(excess - s + sizes[k]), (i < 0) + (out[k][1] < 0), i, out[k][1]) for k in (at - 1, at) if 0 <= k < len(out))])
+        left, taken = best[2:]
+        if left < 0 and taken < 0:
+            break
+        if left >= 0:
+            p[left], excess = 0.0, excess - size[left]
+        if taken >= 0:
+            p[taken], excess = 1.0, excess + size[taken]
+    return p, excess
 
 
 def _flown(blocks: DataFrame, level: int, last: bool) -> DataFrame:

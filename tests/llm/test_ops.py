@@ -161,6 +161,13 @@ def test_mix_comes_near_its_targets(spark, odd):
     assert mixing.mixed(odd).count() == odd.count() and mixing.mixed(odd.limit(0)).count() == 0
 
 
+def test_landing_comes_near_where_few_documents_are_taken_or_left():
+    size = np.sort(np.random.default_rng(2).choice([1.0, 5.0, 50.0, 300.0], 225))[::-1]
+    for seed, p in enumerate([0.01, 0.99, 0.5] * 8):
+        ends = mixing._flight(np.full(len(size), p), size, np.random.default_rng(seed), True)
+        assert set(ends) <= {0, 1} and abs(ends @ size - p * size.sum()) <= 2
+
+
 def test_flight_in_levels_keeps_the_sums(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
     df = documents(spark, [prose(rng.randint(1, 40)) for _ in range(400)], ["a", "b"])
@@ -509,7 +516,7 @@ def test_labelled_texts_are_shuffled_once(spark, monkeypatch):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for labels that are too many to be sent to all tasks
     try:
-        toxicity.trained(documents(spark, [prose(20) for _ in range(400)]), marks)
+        toxicity.trained(documents(spark, [f"word{i} " * 20 for i in range(400)]), marks)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\n]*\btext#", plans[0])) == 1
