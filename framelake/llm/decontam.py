@@ -7,7 +7,9 @@ that lie within k of each other. Shared q-grams are counted in diagonal bands of
 so one band holds them all; bands that reach the bound are verified by banded alignment.
 
 The items' q-gram index goes to the executors in pieces of at most INDEX_CHARS characters of items, one pass
-over the documents for each, so what is broadcast is bounded however large the benchmark is.
+over the documents for each, so what is broadcast is bounded however large the benchmark is. Documents are searched in
+slices of SEARCHED_BYTES, as a search needs some fifty times its slice. decontaminated() drops rows where they lie if the
+index is one piece; what several pieces find meets the documents in a join.
 
 Items of fewer than Q characters after folding have no q-gram and no edits to spare: they are found exactly, as whole
 words. Null texts are empty; items without a letter or digit are not looked for; equal items are found under each of
@@ -18,12 +20,12 @@ table are ignored, whatever their names.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.arrowtext import buffers, folded, slices
@@ -32,6 +34,8 @@ from framelake.llm.rows import unused
 Q = 10
 EDIT_SHARE = 0.08
 INDEX_CHARS = 4 << 20
+#: Text bytes searched at once.
+SEARCHED_BYTES = 1 << 20
 _TABLE_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SEARCHED_BYTES):
                 data, at, places = squeezed(*(raw := buffers(batch.column("text"))))
                 found = index.find(data, at)
                 rows = pa.array([x[0] for x in found], pa.int64())
@@ -256,8 +260,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
+def _holds(spark: SparkSession, index: Index) -> Callable[[Column], Column]:
+    """Whether a text holds an item of index."""
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            found = [np.zeros(0, bool)]
+            for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), limit=SEARCHED_BYTES):
+                data, at, _ = squeezed(*buffers(batch.column("text")))
+                hit = np.zeros(batch.num_rows, bool)
+                hit[[x[0] for x in shared.value.find(data, at)]] = True
+                found.append(hit)
+            yield pa.array(np.concatenate(found))
+
+    return holds
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows in which a benchmark item was found."""
+    indexes = _indexes(benchmark)
+    index, more = next(indexes, None), next(indexes, None)
+    if index is None:
+        return docs
+    if more is None:
+        return docs.where(~_holds(docs.sparkSession, index)(F.col("text").cast("string")))
     mark = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")))
     own = unused(docs, "mark")
     bad = contaminated(docs, benchmark).select(F.col("mark").alias(own)).distinct()

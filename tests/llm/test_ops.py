@@ -703,6 +703,26 @@ def test_index_in_pieces_finds_the_same(spark, odd, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench).collect()} == whole and len(whole) == 12
 
 
+def test_contaminated_rows_are_dropped_where_they_lie(spark, odd, monkeypatch):
+    """No document is shuffled or sorted; several pieces of index drop the same rows."""
+    own = random.Random(31)
+    line = lambda n: " ".join(own.choice(WORDS) for _ in range(n))
+    items = [line(30) for _ in range(6)] + ["tiny"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = documents(spark, [line(50) + (" " + items[i % 7] if i % 2 else "") for i in range(28)] + ["tiny", "atiny", "", None]).unionByName(odd)
+    df = corpus_pipeline.staged(df, "test")
+    bad = [(r.doc_id, r.mark) for r in decontam.contaminated(df, bench).select("doc_id", "mark").distinct().collect()]
+    marked = df.withColumn("hash", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    want = sorted(map(str, (r[:-1] for r in marked.collect() if (r.doc_id, r.hash) not in bad)))
+    clean = decontam.decontaminated(df, bench)
+    assert sorted(map(str, map(tuple, clean.collect()))) == want and len(want) == df.count() - 15
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Sort" not in plan
+    assert sorted(map(str, map(tuple, decontam.decontaminated(df, bench.limit(0)).collect()))) == sorted(map(str, map(tuple, df.collect())))
+    monkeypatch.setattr(decontam, "INDEX_CHARS", 300)
+    assert sorted(map(str, map(tuple, decontam.decontaminated(df, bench).collect()))) == want
+
+
 def test_alignment_counts_edits():
     def row(s):
         return np.frombuffer(s.encode(), np.uint8)
