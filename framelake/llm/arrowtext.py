@@ -67,7 +67,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte range of a buffer, from prefix sums modulo 2**64."""
+    """Hashes of any range of a buffer of bytes, or of hashes, from prefix sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -75,7 +75,7 @@ class Rolling:
         self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         n = len(data)
         self.inverse = _powers(pow(base, -1, 1 << 64), n + 1)
-        sums = self.table[data]
+        sums = data.copy() if data.dtype == np.uint64 else self.table[data]
         sums *= _powers(base, n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(sums, out=self.sums[1:])

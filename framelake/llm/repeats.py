@@ -15,6 +15,12 @@ An anchor with more than HOT different contexts is dealt over several shards. Th
 across shards: each shard sorts the digests of its strings, ranges of digests meet in tasks of bounded size, and
 binary search finds those of one shard in the lists of the others.
 
+Beside this, a document shares a passage if PASSAGE words in a row, whatever blanks stand between them, also stand
+in another document. Most such passages are shorter than LENGTH, so words are anchored too, as a sequence of hashes:
+contexts of word anchors that several documents hold whole settle those documents; where an anchor of several
+documents has one that is not settled, the digests of its strings of PASSAGE words are compared. Nothing is removed
+for it. Rows equal in doc_id and text are one document here.
+
 Null texts are empty; texts shorter than LENGTH keep all; repeated rows are repeats of each other; an empty
 table gives an empty result; other columns are ignored. Memory holds one text and one shard at a time.
 """
@@ -31,36 +37,37 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.arrowtext import Rolling, buffers, mixed, packed, slices
+from framelake.llm.arrowtext import Rolling, buffers, mixed, packed, slices, words
 from framelake.session import staged
 
 LENGTH, GRAM = 400, 100
-WINDOW = LENGTH - GRAM + 1
+PASSAGE, WORD_GRAM = 50, 10
 HOT = 512
 SHARD_BYTES = 2 << 20
 _U = np.uint64
+_BLANKED = np.arange(256, dtype=np.uint8)
+_BLANKED[9:14] = 0x20
 
 
-def _window_minima(v: np.ndarray) -> np.ndarray:
-    """The minimum of each WINDOW consecutive values."""
-    n = len(v) - WINDOW + 1
-    pad = np.full(-(-len(v) // WINDOW) * WINDOW, np.iinfo(np.uint64).max, np.uint64)
+def _window_minima(v: np.ndarray, window: int) -> np.ndarray:
+    """The minimum of each window consecutive values."""
+    n = len(v) - window + 1
+    pad = np.full(-(-len(v) // window) * window, np.iinfo(np.uint64).max, np.uint64)
     pad[: len(v)] = v
-    blocks = pad.reshape(-1, WINDOW)
+    blocks = pad.reshape(-1, window)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[WINDOW - 1 : WINDOW - 1 + n])
+    return np.minimum(back[:n], ahead[window - 1 : window - 1 + n])
 
 
-def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(roll: Rolling, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(row, anchor hash, context hash, first start within the row, number of starts) of each context."""
     empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    if len(data) < LENGTH:
+    if at[-1] < length:
         return empty
-    roll = Rolling(data)
-    grams = roll.each(GRAM)
-    least = _window_minima((grams & ~_U(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)) & _U(0xFFFFFFFF)
-    last = np.repeat(at[1:] - LENGTH, np.diff(at))[: len(least)]  # the last start of each place's row
+    grams = roll.each(gram)
+    least = _window_minima((grams & ~_U(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _U(0xFFFFFFFF)
+    last = np.repeat(at[1:] - length, np.diff(at))[: len(least)]  # the last start of each place's row
     start = np.flatnonzero(np.arange(len(least)) <= last)
     if not len(start):
         return empty
@@ -71,8 +78,23 @@ def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     lo, spot, row = start[first], spot[first], row[first]
-    own = mixed(roll.of(lo, lo + count - 1 + LENGTH) + (spot - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + count.astype(np.uint64))
-    return row, mixed(grams[spot] + _U(7)), own, lo - at[row], count
+    own = mixed(roll.of(lo, lo + count - 1 + length) + (spot - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15) + count.astype(np.uint64))
+    return row, mixed(grams[spot] + _U(length)), own, lo - at[row], count
+
+
+def _word_hashes(data: np.ndarray, at: np.ndarray, roll: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the words between blanks, and where each row's words begin."""
+    start, end, row = words(_BLANKED[data], at)
+    return start, end, roll.of(start, end), np.searchsorted(row, np.arange(len(at)))
+
+
+def word_contexts(data: np.ndarray, at: np.ndarray, roll: Rolling) -> tuple[np.ndarray, ...]:
+    """(row, anchor hash, context hash, first byte within the row, number of bytes) of each context of words."""
+    start, end, word, begin = _word_hashes(data, at, roll)
+    row, f, ctx, lo, count = contexts(Rolling(word), begin, PASSAGE, WORD_GRAM)
+    lo = begin[row] + lo
+    first = start[lo]
+    return row, f, ctx, first - at[row], end[lo + count - 1 + PASSAGE - 1] - first
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,15 +199,19 @@ def _runs(starts: np.ndarray) -> list[list[int]]:
 def _anchored(docs: DataFrame) -> DataFrame:
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, f, ctx, lo, count = contexts(*buffers(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(row)), pa.array(f.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(count.astype(np.int32))], ["mark", "f", "ctx", "lo", "starts"])
+            data, at = buffers(batch.column("text"))
+            roll = Rolling(data)
+            row, f, ctx, lo, count = contexts(roll, at)
+            for of_words, (row, f, ctx, lo, size) in ((False, (row, f, ctx, lo, count - 1 + LENGTH)), (True, word_contexts(data, at, roll))):
+                yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(row)), pa.array(f.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.full(len(row), of_words))], ["mark", "f", "ctx", "lo", "size", "words"])
 
-    return docs.select("mark", "text").mapInArrow(anchor, "mark long, f long, ctx long, lo int, starts int")
+    return docs.select("mark", "text").mapInArrow(anchor, "mark long, f long, ctx long, lo int, size int, words boolean")
 
 
 def _cut_out(wanted: DataFrame, blobs: DataFrame) -> DataFrame:
     """wanted with the bytes of each context."""
-    lists = wanted.groupBy("mark").agg(F.collect_list(F.struct("f", "ctx", "n", "d", "lo", "starts")).alias("w"))
+    lists = wanted.groupBy("mark").agg(F.collect_list(F.struct("f", "ctx", "n", "d", "lo", "size", "words")).alias("w"))
+    names = ["mark", "f", "ctx", "n", "d", "lo", "words", "bytes"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
@@ -193,14 +219,14 @@ def _cut_out(wanted: DataFrame, blobs: DataFrame) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 text = z.decompress(r.blob) if r.blob else b""
-                out += [(r.mark, x["f"], x["ctx"], x["n"], x["d"], x["lo"], text[x["lo"] : x["lo"] + x["starts"] - 1 + LENGTH]) for x in r.w]
+                out += [(r.mark, x["f"], x["ctx"], x["n"], x["d"], x["lo"], x["words"], text[x["lo"] : x["lo"] + x["size"]]) for x in r.w]
                 if len(out) > 4096:
-                    yield pd.DataFrame(out, columns=["mark", "f", "ctx", "n", "d", "lo", "bytes"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
-            yield pd.DataFrame(out, columns=["mark", "f", "ctx", "n", "d", "lo", "bytes"])
+            yield pd.DataFrame(out, columns=names)
 
     # rows that repeat as a whole share a mark and would cut the same contexts
-    return blobs.join(lists, "mark").mapInPandas(cut, "mark long, f long, ctx long, n long, d long, lo int, bytes binary").dropDuplicates(["f", "ctx"])
+    return blobs.join(lists, "mark").mapInPandas(cut, "mark long, f long, ctx long, n long, d long, lo int, words boolean, bytes binary").dropDuplicates(["f", "ctx"])
 
 
 def _in_shards(found: DataFrame) -> DataFrame:
@@ -290,26 +316,49 @@ def _across_shards(hot: DataFrame) -> DataFrame:
     return hot.groupBy("f", "sub").cogroup(merged.groupBy("f", "sub")).applyInPandas(spans, "mark long, a long, b long")
 
 
+def _word_strings(found: DataFrame) -> DataFrame:
+    """mark, s: digests of the strings of PASSAGE words in contexts of words."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes"):
+            data, at = buffers(batch.column("bytes"))
+            _, _, word, begin = _word_hashes(data, at, Rolling(data))
+            last = np.repeat(begin[1:] - PASSAGE, np.diff(begin))
+            start = np.flatnonzero(np.arange(len(word)) <= last)
+            row = np.searchsorted(begin, start, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(row)), pa.array(Rolling(word).of(start, start + PASSAGE).view(np.int64))], ["mark", "s"])
+
+    return found.select("mark", "bytes").mapInArrow(strings, "mark long, s long")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """mark, a, b: byte ranges to remove, not yet united. docs: doc_id, mark, text."""
+    """mark, a, b: byte ranges to remove, not yet united; a and b null: mark shares a passage. docs: doc_id, mark, text."""
     anchors = staged(_anchored(docs), "anchors")
-    each = anchors.groupBy("f", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("mark", "lo", "starts")).alias("x"))
-    per = each.groupBy("f").agg(F.count("*").alias("d"), F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1").select("f", "d", "least")
-    known = staged(each.join(per, "f").select("f", "ctx", "n", "d", "least", "x.mark", "x.lo", "x.starts"), "contexts")
-    again = known.where("n > 1").select("f", "ctx")
-    whole = anchors.join(again, ["f", "ctx"]).select("mark", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.col("starts") - 1 + LENGTH).alias("b"))
+    each = anchors.groupBy("f", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("mark", "lo", "size", "words")).alias("x"), F.max("mark").alias("other"))
+    per = each.groupBy("f").agg(F.count("*").alias("d"), F.sum("n").alias("all"), F.min("n").alias("least"), (F.min("x.mark") < F.max("other")).alias("apart"), F.max("x.words").alias("of_words"))
+    per = per.where("all > 1 AND (apart OR NOT of_words)").select("f", "d", "least")
+    known = staged(each.join(per, "f").select("f", "ctx", "n", "d", "least", "x.*", "other"), "contexts")
+    again = known.where("n > 1 AND NOT words").select("f", "ctx")
+    whole = anchors.where("NOT words").join(again, ["f", "ctx"]).select("mark", F.col("lo").cast("long").alias("a"), (F.col("lo").cast("long") + F.col("size")).alias("b"))
+    settled = staged(anchors.where("words").join(known.where("words AND mark < other").select("f", "ctx"), ["f", "ctx"]).select("mark").distinct(), "passages")
+    unsettled = known.where("words AND mark = other").join(settled, "mark", "left_anti").select("f").distinct()
     parts = F.ceil(F.col("d") / HOT)
     # where every context of an anchor occurs again, all its strings do
-    found = _cut_out(known.where("d > 1 AND least = 1"), packed(docs.select("mark", "text"))).withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("ctx"), F.col("parts")))
+    wanted = known.where("d > 1 AND least = 1 AND NOT words").unionByName(known.where("d > 1 AND words").join(unsettled, "f", "left_semi"))
+    found = _cut_out(wanted, packed(docs.select("mark", "text"))).withColumn("parts", parts).withColumn("sub", F.pmod(F.xxhash64("ctx"), F.col("parts")))
     found = staged(found, "context-bytes")
-    return whole.unionByName(_in_shards(found)).unionByName(_across_shards(found.where("parts > 1")))
+    strings = staged(_word_strings(found.where("words")), "passage-strings")
+    shared = strings.groupBy("s").agg(F.min("mark").alias("one"), F.max("mark").alias("other")).where("one < other").select("s")
+    passages = settled.unionByName(strings.join(shared, "s").select("mark")).distinct().select("mark", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    found = found.where("NOT words")
+    return whole.unionByName(_in_shards(found)).unionByName(_across_shards(found.where("parts > 1"))).unionByName(passages)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans of each row of docs (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, shares_passage of each row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select("doc_id", F.xxhash64(F.lit("row"), "doc_id", text).alias("mark"), text.alias("text"))
-    spans = repeated_spans(read).groupBy("mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    spans = repeated_spans(read).groupBy("mark").agg(F.array_sort(F.collect_set(F.when(F.col("a").isNotNull(), F.struct("a", "b")))).alias("spans"), F.bool_or(F.col("a").isNull()).alias("shares_passage"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
@@ -328,8 +377,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     at = b
                 kept.update(raw[at:])
                 out.append((len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs))
-            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).assign(doc_id=pdf["doc_id"].to_numpy())
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).assign(doc_id=pdf["doc_id"].to_numpy(), shares_passage=pdf["shares_passage"].to_numpy())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = packed(read).join(spans, "mark", "left").select("doc_id", "blob", "spans")
-    return joined.mapInPandas(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    joined = packed(read).join(spans, "mark", "left").select("doc_id", "blob", "spans", F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
+    return joined.mapInPandas(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, shares_passage boolean")

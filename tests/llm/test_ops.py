@@ -231,6 +231,26 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     assert repeats.without_repeats(documents(spark, texts).limit(0)).count() == 0
 
 
+def brute_passages(texts):
+    """Whether 50 words in a row also stand in another text."""
+    grams = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for w in ((t or "").split() for t in texts)]
+    held = Counter(g for own in grams for g in own)
+    return [any(held[g] > 1 for g in own) for own in grams]
+
+
+def test_passages_of_fifty_words_are_found_across_documents(spark):
+    short = " ".join(rng.choice(["a", "of", "the", "to", "in"]) + str(rng.randint(0, 9)) for _ in range(60))
+    far = [prose(70) for _ in range(3)]
+    texts = [prose(40) + " " + short + " " + prose(30) for _ in range(4)] + [short.replace(" ", "\n\t"), prose(9) + " " + short[:-3]]
+    texts += [" ".join(short.split()[:49]) + " " + prose(200), " ".join(short.split()[11:]) + "x " + prose(30), " ".join(short.split()[10:])]
+    texts += [prose(30) + " " + " ".join(far[k].split()[:n]) + " " + prose(30) for k, n in ((0, 70), (0, 50), (1, 70), (1, 49))]
+    texts += [far[2] + " " + prose(20) + " " + far[2], prose(300), "w " * 500, None, "", "one"]
+    assert len(short.encode()) < repeats.LENGTH
+    out = {r.doc_id: r for r in repeats.without_repeats(documents(spark, texts)).collect()}
+    assert [out[i].shares_passage for i in range(len(texts))] == brute_passages(texts)
+    assert [out[i].n_removed for i in range(len(texts))] == [x[1] for x in brute_repeats(texts)]
+
+
 def test_suffix_array_is_sorted():
     pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(400, 500))) for _ in range(4)] + [b"ab" * 300]
     size = np.array([len(p) for p in pieces])
