@@ -48,7 +48,9 @@ def assets(rows: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
     wall = pc.add(col["moment"], pc.cast(pc.multiply(pc.fill_null(pc.cast(zone, pa.int64()), 0), 1_000_000), pa.duration("us")))
     placed = pc.and_(pc.and_(pc.is_valid(col["gps_lat"]), pc.is_valid(col["gps_lon"])), pc.invert(pc.and_(pc.equal(col["gps_lat"], 0), pc.equal(col["gps_lon"], 0))))
     placed = pc.fill_null(placed, False)
-    written = {n: pc.if_else(pc.equal(pc.utf8_trim_whitespace(col[n]), ""), pa.scalar(None, pa.string()), col[n]) for n in ("path", "title", "description", "external_id")}
+    own = pa.array(range(rows.num_rows), pa.int64())
+    # a null index takes null; if_else() reads past the end of strings that don't begin at an array's start, as in all batches of a row group but the first
+    written = {n: pc.take(col[n], pc.if_else(pc.equal(pc.utf8_trim_whitespace(col[n]), ""), pa.scalar(None, pa.int64()), own)) for n in ("path", "title", "description", "external_id")}
     lists = {n: pa.array([list(dict.fromkeys(x)) if x else [] for x in col[n].to_pylist()], _TEXTS) for n in ("albums", "people", "keywords")}
     out = {
         **col, **written, **lists, "taken_at": wall, "taken_at_utc": pc.if_else(pc.is_valid(zone), col["moment"], pa.scalar(None, _MOMENT)),
