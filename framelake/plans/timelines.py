@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from framelake.functions import geo
-from framelake.operators import asof, engine, sessions
+from framelake.operators import asof, clocks, engine, sessions
 from framelake.plans.registry import query
 from framelake.session import shared_folder, staged, table
 from framelake.sources import catalog
@@ -164,7 +164,7 @@ def clock_offsets_mad(spark, sf):
   FROM known k JOIN mid m ON k.make IS NOT DISTINCT FROM m.make AND k.model IS NOT DISTINCT FROM m.model GROUP BY 1, 2, 3, 4, m.o""")
 def clock_offsets_either_key(spark, sf):
     media = catalog.media(spark, sf).withColumn("perceptual_hash", F.concat(F.lit("p"), F.col("id") % 3001))
-    out = asof.clock_offsets(asof.anchors(media, "quick_hash", "perceptual_hash"))
+    out = clocks.offsets(media, "quick_hash", "perceptual_hash")
     return out.withColumns({"offset_s": F.round("offset_s", 6), "mad_s": F.round("mad_s", 6)})
 
 

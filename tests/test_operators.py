@@ -357,3 +357,22 @@ def test_templates_drop_and_trim(spark):
     df = spark.createDataFrame([("photo", "2024", None, "Rio", "Rio"), (None, None, "Sea", None, "x/y:z"), (None, None, None, None, None)], "categoria string, ano string, viagem string, pais string, cidade string")
     fields = {c: F.col(c) for c in df.columns}
     assert [r[0] for r in df.select(templates.render(templates.DEFAULT, fields)).collect()] == ["photo/2024/Rio", "Sea/x_y_z", ""]
+
+
+@pytest.mark.parametrize(("together", "keys"), [(1 << 18, 1), (1 << 18, 2), (16, 2)])
+def test_clock_offsets_of_counted_pairs(spark, monkeypatch, together, keys):
+    """Counted pairs give the offsets of listed ones: several sources, cameras and unknown ones, files that share both keys,
+    and keys that are more frequent than what a task holds at once."""
+    from framelake.operators import clocks
+
+    monkeypatch.setattr(clocks, "TOGETHER", together)
+    r = random.Random(keys)
+    when = lambda: T0 + dt.timedelta(seconds=r.randint(0, 10**5), microseconds=r.choice([0, 1, 500_001]))
+    rows = [(i, r.randint(1, 3), r.choice([None, when(), when(), when()]), *r.choice([("A", "a"), ("A", None), (None, "b"), (None, None), ("C", "c")]), r.choice([None, 1.0]), f"q{r.randint(0, 6)}", r.choice([None, "", f"p{r.randint(0, 2)}"])) for i in range(300)]
+    rows += [(1000, 1, dt.datetime(1, 1, 1), "far", None, None, "z", None), (1001, 2, dt.datetime(9999, 1, 1), None, None, 1.0, "z", None), (1002, 2, dt.datetime(2024, 1, 1), "alone", None, None, "y", None)]
+    media = spark.createDataFrame(rows, "id long, source_id long, taken_at timestamp_ntz, make string, model string, gps_lat double, quick_hash string, perceptual_hash string")
+    names = ("quick_hash", "perceptual_hash")[:keys]
+    told = lambda df: sorted((str(x.make), str(x.model), x.n, round(x.offset_s, 6), round(x.mad_s, 6), x.kept) for x in df.collect())
+    got = told(clocks.offsets(media, *names, most_mad_s=40_000.0))
+    assert got == told(asof.clock_offsets(asof.anchors(media, *names), most_mad_s=40_000.0)) and len(got) >= 5
+    assert clocks.offsets(media.limit(0), *names).count() == 0
