@@ -156,7 +156,7 @@ mid AS (SELECT make, model, count(*) AS n, quantile_cont(d, 0.5) AS o FROM known
 @query(CATALOG_SQL + _ANCHORS + """ SELECT m.make, m.model, m.n, round(m.o, 6) AS offset_s, round(quantile_cont(abs(k.d - m.o), 0.5), 6) AS mad_s, m.n >= 2 AND quantile_cont(abs(k.d - m.o), 0.5) <= 180 AS kept
   FROM known k JOIN mid m ON k.make IS NOT DISTINCT FROM m.make AND k.model IS NOT DISTINCT FROM m.model GROUP BY 1, 2, 3, 4, m.o""")
 def clock_offsets_mad(spark, sf):
-    out = asof.clock_offsets(asof.anchors(catalog.media(spark, sf)))
+    out = clocks.offsets(catalog.media(spark, sf))
     return out.withColumns({"offset_s": F.round("offset_s", 6), "mad_s": F.round("mad_s", 6)})
 
 
