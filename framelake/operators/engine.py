@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.functions.geo import haversine_km, reliable_fields, uncertainty_m
-from framelake.operators import asof, classify, sessions
+from framelake.operators import asof, classify, clocks, sessions
 from framelake.session import staged
 
 #: Days without a photo that end a session, files of a session at least, and hours after which a session
@@ -25,7 +25,7 @@ def inherited(media: DataFrame, window_s: float = asof.WINDOW_S, most_mad_s: flo
     Clocks are set right first: a camera whose anchors agree on an offset has it taken off its times. A time of the
     file system makes a place less sure. The result is a function of the catalog, so a run replaces the last one.
     """
-    offsets = asof.clock_offsets(asof.anchors(media), most_mad_s=most_mad_s).where("kept").select(F.col("make").alias("_make"), F.col("model").alias("_model"), "offset_s")
+    offsets = clocks.offsets(media, most_mad_s=most_mad_s).where("kept").select(F.col("make").alias("_make"), F.col("model").alias("_model"), "offset_s")
     same = F.col("make").eqNullSafe(F.col("_make")) & F.col("model").eqNullSafe(F.col("_model"))
     off = F.round(F.coalesce("offset_s", F.lit(0.0)) * 1e6).cast("long")
     right = F.timestamp_micros(F.unix_micros(F.col("taken_at").cast("timestamp")) - off).cast(media.schema["taken_at"].dataType)
