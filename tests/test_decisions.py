@@ -107,3 +107,12 @@ def test_kind_of_image_by_folder(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, folder string, camera boolean, want string")
     kind = image_type.image_type(F.col("name"), F.lit("jpg"), F.col("camera"), F.lit(False), folder=F.col("folder"))
     assert all(r.kind == r.want and r.reason for r in df.select("want", kind.alias("x")).select("want", "x.*").collect())
+
+
+def test_greedy_groups_within_a_column(spark):
+    """Near and equal signatures of different fives don't meet, and without the column they do."""
+    rows = [(0, 0, 0), (1, 1, 0), (2, 3, 1), (3, 3, 1), (4, 0, 2), (5, 1 << 40, 2), (6, 0, 1)]
+    signed = spark.createDataFrame(rows, "id long, sig long, five long")
+    got = {(r.seed, r.id, r.distance) for r in duplicates.greedy_groups(signed, within="five").collect()}
+    assert got == {(0, 0, 0), (0, 1, 1), (2, 2, 0), (2, 3, 0), (4, 4, 0), (4, 5, 1)}
+    assert {(r.seed, r.id) for r in duplicates.greedy_groups(signed).collect()} == {(0, 0), (0, 4), (0, 6), (1, 1), (1, 2), (1, 3), (1, 5)}
