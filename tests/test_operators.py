@@ -376,3 +376,25 @@ def test_clock_offsets_of_counted_pairs(spark, monkeypatch, together, keys):
     got = told(clocks.offsets(media, *names, most_mad_s=40_000.0))
     assert got == told(asof.clock_offsets(asof.anchors(media, *names), most_mad_s=40_000.0)) and len(got) >= 5
     assert clocks.offsets(media.limit(0), *names).count() == 0
+
+
+def marked(spark):
+    """Spans that touch marks, lie between them, end before they begin, have the same key, and last for days; marks without label or time."""
+    r = random.Random(5)
+    marks = [(at(r.choice([0, 3600, 86_399, 86_400, 90_000, 200_000, 400_000])), r.choice(["a", "b", None])) for _ in range(60)] + [(None, "a")]
+    spans = [(k, at(x), at(y)) for k, x, y in ((1, 0, 0), (1, 3600, 90_000), (2, 3601, 86_398), (3, 90_000, 0), (4, -100_000, 900_000), (5, 86_400, 86_400), (6, 200_000, 400_000), (None, 1, 86_400))] + [(7, None, at(0)), (8, at(0), None)]
+    return spans, marks
+
+
+def test_overlapping_without_listing_marks(spark):
+    spans, marks = marked(spark)
+    want = {}
+    for k, lo, hi in spans:
+        for t, label in marks:
+            if lo and hi and t and lo <= t <= hi:
+                want[k, label] = want.get((k, label), 0) + 1
+    found = sessions.overlapping(spark.createDataFrame(spans, "k long, lo timestamp_ntz, hi timestamp_ntz"), spark.createDataFrame(marks, "at timestamp_ntz, label string"), ["k"])
+    assert {(x.k, x.label): x.n for x in found.collect()} == want
+    assert "taken" not in found.columns and "_day" not in found.columns
+    # marks meet counts of spans' ends, not spans: no join has a mark on a side
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
