@@ -398,3 +398,31 @@ def test_overlapping_without_listing_marks(spark):
     assert "taken" not in found.columns and "_day" not in found.columns
     # marks meet counts of spans' ends, not spans: no join has a mark on a side
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+@pytest.mark.parametrize("strips", [1, 3, 512])
+def test_distinct_values_between_numbers(spark, strips):
+    from framelake.operators import evaluate
+
+    r = random.Random(strips)
+    rows = [(i, r.choice(["a", "b", "c", "d", None])) for i in range(1, 60)]
+    spans = [(i, a, b) for i, (a, b) in enumerate([(0, 59), (0, 1), (58, 59), (20, 21), *((a, a + r.randint(1, 12)) for a in range(0, 47, 2))])]
+    found = evaluate.distinct_between(spark.createDataFrame(rows, "nth long, value string"), spark.createDataFrame(spans, "k long, a long, b long"), "k", strips)
+    assert {x.k: x.n for x in found.collect()} == {k: len({v for i, v in rows if a < i <= b} - {None}) for k, a, b in spans}
+
+
+def test_clusters_do_not_list_files(spark):
+    """Spans over several days, with fewer files than names, without a folder or a city, and without a file."""
+    from framelake.operators import evaluate
+
+    spans, marks = marked(spark)
+    spans = [(str(i), lo, hi) for i, (_, lo, hi) in enumerate(spans)] + [("none", at(10), at(20))]
+    media = [(i, t, r, f"n{i}", len(r or "") + i % 3) for i, (t, r) in enumerate(marks)]
+    places = [(1, "B"), (2, "A"), (3, None)]
+    want = {}
+    for k, lo, hi in spans:
+        hits = sorted((t, i, f, n, dict(places).get(p)) for i, t, f, n, p in media if lo and hi and t and lo <= t <= hi) if lo and hi else []
+        if hits:
+            want[k] = (len(hits), len({h[2] for h in hits} - {None}), ",".join(sorted({h[4] for h in hits} - {None})), ",".join(h[3] for h in hits[:8]))
+    found = evaluate.clusters(spark.createDataFrame(spans, "span string, lo timestamp_ntz, hi timestamp_ntz"), spark.createDataFrame(media, "id long, taken_at timestamp_ntz, folder string, name string, location_id long"), spark.createDataFrame(places, "location_id long, city string"), "span")
+    assert {x.span: (x.n, x.folders, x.cities, x.names) for x in found.collect()} == want and len(want) > 5
