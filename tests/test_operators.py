@@ -426,3 +426,19 @@ def test_clusters_do_not_list_files(spark):
             want[k] = (len(hits), len({h[2] for h in hits} - {None}), ",".join(sorted({h[4] for h in hits} - {None})), ",".join(h[3] for h in hits[:8]))
     found = evaluate.clusters(spark.createDataFrame(spans, "span string, lo timestamp_ntz, hi timestamp_ntz"), spark.createDataFrame(media, "id long, taken_at timestamp_ntz, folder string, name string, location_id long"), spark.createDataFrame(places, "location_id long, city string"), "span")
     assert {x.span: (x.n, x.folders, x.cities, x.names) for x in found.collect()} == want and len(want) > 5
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_near_pairs_of_few_and_many_signatures(spark, monkeypatch, few):
+    """Eight bits apart in any places, also one in each block but some, whichever blocks signatures meet in."""
+    monkeypatch.setattr(duplicates, "FEW", few)
+    r = random.Random(9)
+    sigs = {r.getrandbits(64) for _ in range(20)}
+    for s in list(sigs):
+        for n in (1, 7, 8, 9):
+            sigs.add(s ^ sum(1 << b for b in r.sample(range(64), n)))
+        sigs.add(s ^ sum(1 << min(63, 6 * k + r.randint(0, 5)) for k in r.sample(range(11), 8)))
+    rows = [(i, s - (1 << 64) if s >> 63 else s) for i, s in enumerate(sorted(sigs))]
+    want = {(i, j, (s ^ t).bit_count()) for i, s in enumerate(sorted(sigs)) for j, t in enumerate(sorted(sigs)) if i < j and (s ^ t).bit_count() <= 8}
+    found = duplicates.near_pairs(spark.createDataFrame(rows, "id long, sig long"))
+    assert {(x.a, x.b, x.distance) for x in found.collect()} == want and len(want) >= 70
